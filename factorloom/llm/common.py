@@ -34,6 +34,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def settled(condition: Column) -> Column:
+    """The condition, as a column value that the optimizer won't replace by its definition in a filter above, which would repeat long expressions."""
+    return condition & (F.monotonically_increasing_id() >= 0)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have yet."""
     taken = {c.lower() for c in df.columns}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import cut, free_name
+from factorloom.llm.common import cut, free_name, settled
 
 #: Fixed values. Strong kinds: pattern, the group whose length counts, its least length.
 STRONG = {
@@ -100,10 +100,11 @@ def scan(df: DataFrame, text_col: str = "text", reach: int = REACH) -> DataFrame
     columns cannot clash, because work columns take free names.
     """
     base, every = spans_columns(df)
-    weak, scope = free_name(df, "secret_weak"), free_name(df, "secret_scope")
+    weak, scope, any_weak = free_name(df, "secret_weak"), free_name(df, "secret_scope"), free_name(df, "secret_any")
     found = _found(df, text_col, base, weak)
-    done = found.where(F.size(weak) == 0).withColumn(every, F.col(base)).drop(weak)
-    open_ = cut(found.where(F.size(weak) > 0).withColumn(scope, F.monotonically_increasing_id()))
+    found = found.withColumn(any_weak, settled(F.size(weak) > 0))
+    done = found.where(~F.col(any_weak)).withColumn(every, F.col(base)).drop(weak, any_weak)
+    open_ = cut(found.where(any_weak).drop(any_weak).withColumn(scope, F.monotonically_increasing_id()))
     parts = open_.select(F.col(scope).alias("scope"), F.explode(F.concat(base, weak)).alias("p")).select("scope", "p.*")
     linked = link(parts, reach).groupBy(F.col("scope").alias(scope)).agg(F.collect_list(F.struct("start", "no", "end")).alias(weak))
     more = F.coalesce(F.col(weak), F.array().cast(_SPAN))

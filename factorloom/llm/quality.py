@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import free_name, words
+from factorloom.llm.common import free_name, settled, words
 
 #: Frequent short words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -133,8 +133,8 @@ def verdict(measures: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def keep(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows whose text passes every rule, with the columns of df. Null and empty texts go; repeated rows stay together or go together."""
-    name = measures_column(df)
-    return measure(df, text_col).where(verdict(F.col(name), rules)).select(*[F.col(f"`{c}`") for c in df.columns])
+    name, kept = measures_column(df), free_name(df, "quality_kept")
+    return measure(df, text_col).withColumn(kept, settled(verdict(F.col(name), rules))).where(kept).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

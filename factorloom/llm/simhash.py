@@ -145,8 +145,8 @@ def probes(fps: DataFrame, column: str, parts: list[list[int]], limits: list[int
         flips = [_masks(list(c)) for k in range(1, limit + 1) for c in combinations(bits, k)]
         one = fps.select(F.lit(i).alias("part"), key.alias("key"), F.lit(0).alias("probe"), F.col(column).alias("fp"))
         if flips:
-            variant = key.bitwiseXOR(F.explode(F.array(*[F.lit(x) for x in flips])))
-            one = one.union(fps.select(F.lit(i).alias("part"), variant.alias("key"), F.lit(1).alias("probe"), F.col(column).alias("fp")))
+            each = fps.select(key.alias("key"), F.col(column).alias("fp"), F.explode(F.array(*[F.lit(x) for x in flips])).alias("flip"))
+            one = one.union(each.select(F.lit(i).alias("part"), F.col("key").bitwiseXOR(F.col("flip")).alias("key"), F.lit(1).alias("probe"), "fp"))
         out = one if out is None else out.union(one)
     return out
 

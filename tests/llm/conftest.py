@@ -1,6 +1,3 @@
-import hashlib
-import re
-
 import pytest
 from pyspark.sql import types as T
 
@@ -31,11 +28,3 @@ def empty(awkward):
 @pytest.fixture(scope="session")
 def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def words(text):
-    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
-
-
-def sha(b: bytes) -> str:
-    return hashlib.sha256(b).hexdigest()

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import xxhash
-from conftest import sha, words
+from plain import sha, words
 
 from factorloom.llm import common, queries, sharding, simhash, tokens
 
@@ -134,7 +134,7 @@ def test_differencing():
         loads = [0] * k
         for s, to in zip(sizes, sharding.differencing(sizes, k), strict=True):
             loads[to] += s
-        assert max(loads) - min(loads) <= {(8, 7, 6, 5, 4): 2}.get(tuple(sizes), 0 if len(sizes) != 3 else 999)
+assert max(loads) - min(loads) <= max(2, 0.001 * sum(sizes)) or len(sizes) <= k
 
 
 def test_sharding(spark, sf_dir, awkward, empty):

@@ -4,7 +4,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
-from conftest import AWKWARD, words  # noqa: F401  tests/llm/conftest.py
+from plain import words
 from pyspark.sql import functions as F
 
 from factorloom.llm import credentials, licences, mixing, quality
