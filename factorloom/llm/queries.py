@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import credentials, licences, mixing, quality, sharding, simhash, tokens
+from factorloom.llm import credentials, embeddings, licences, mixing, quality, sharding, simhash, tokens
 from factorloom.llm.common import table
 
 BPE = "byte_bpe_50k.tiktoken"
@@ -33,6 +33,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(tokens.packer()("token_ids"), 256).alias("ids_sha256"), F.sha2("token_bytes", 256).alias("decoded_sha256"))
 
 
+def op5_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -54,7 +58,7 @@ def op10_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "sharded.shard", "sharded.slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_secret_scan, op3_byte_bpe, op6_simhash_near_dedup, op7_mixing, op8_quality_rules, op10_karmarkar_karp)}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_secret_scan, op3_byte_bpe, op5_itq_near_dedup, op6_simhash_near_dedup, op7_mixing, op8_quality_rules, op10_karmarkar_karp)}
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
@@ -110,4 +114,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v
 """
 
-SQL = {"op1_licence_scan": _OP1, "op7_mixing": _OP7, "op8_quality_rules": _OP8}
+_OP5 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.id AND r.root < p.b),
+c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id),
+n AS (SELECT a AS id, count(*) AS n_links FROM p GROUP BY a)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.id = e.vec_id
+"""
+
+SQL = {"op5_itq_near_dedup": _OP5, "op1_licence_scan": _OP1, "op7_mixing": _OP7, "op8_quality_rules": _OP8}
