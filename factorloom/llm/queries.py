@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import credentials, embeddings, licences, mixing, quality, sharding, simhash, tokens
-from factorloom.llm.common import table
+from factorloom.llm import credentials, embeddings, licences, mixing, quality, sharding, simhash, tokens, warc
+from factorloom.llm.common import shared_dir, table
 
 BPE = "byte_bpe_50k.tiktoken"
 
@@ -33,6 +35,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(tokens.packer()("token_ids"), 256).alias("ids_sha256"), F.sha2("token_bytes", 256).alias("decoded_sha256"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), out)
+    return warc.read(spark, out).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
+
+
 def op5_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -58,7 +66,7 @@ def op10_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "sharded.shard", "sharded.slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_secret_scan, op3_byte_bpe, op5_itq_near_dedup, op6_simhash_near_dedup, op7_mixing, op8_quality_rules, op10_karmarkar_karp)}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_secret_scan, op3_byte_bpe, op4_warc, op5_itq_near_dedup, op6_simhash_near_dedup, op7_mixing, op8_quality_rules, op10_karmarkar_karp)}
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
@@ -123,4 +131,13 @@ n AS (SELECT a AS id, count(*) AS n_links FROM p GROUP BY a)
 SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.id = e.vec_id
 """
 
-SQL = {"op5_itq_near_dedup": _OP5, "op1_licence_scan": _OP1, "op7_mixing": _OP7, "op8_quality_rules": _OP8}
+_BITS = "(unhex(sha1(coalesce(html, '')))::BIT)::VARCHAR"
+_BASE32 = f"array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + {' + '.join(f'{16 >> k} * substr(bits, (i * 5 + {k + 1})::INT, 1)::INT' for k in range(5))})::INT, 1)), '')"
+_OP4 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, {_BITS} AS bits FROM pages),
+g AS (SELECT payload, max(page_id) AS top FROM p GROUP BY payload)
+SELECT page_id, strlen(payload) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p JOIN g USING (payload)
+"""
+
+SQL = {"op4_warc": _OP4, "op5_itq_near_dedup": _OP5, "op1_licence_scan": _OP1, "op7_mixing": _OP7, "op8_quality_rules": _OP8}
