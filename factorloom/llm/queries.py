@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import credentials, embeddings, licences, mixing, quality, sharding, simhash, tokens, warc
+from factorloom.llm import credentials, embeddings, licences, mixing, quality, sharding, simhash, suffixes, tokens, warc
 from factorloom.llm.common import shared_dir, table
 
 BPE = "byte_bpe_50k.tiktoken"
@@ -58,6 +58,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.deduplicate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size, crc = F.octet_length("text").cast("long") + 1, F.crc32("text")
@@ -66,7 +71,7 @@ def op10_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "sharded.shard", "sharded.slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_secret_scan, op3_byte_bpe, op4_warc, op5_itq_near_dedup, op6_simhash_near_dedup, op7_mixing, op8_quality_rules, op10_karmarkar_karp)}
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_secret_scan, op3_byte_bpe, op4_warc, op5_itq_near_dedup, op6_simhash_near_dedup, op7_mixing, op8_quality_rules, op9_suffix_dedup, op10_karmarkar_karp)}
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
