@@ -343,30 +343,28 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     """
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("same", F.sha2("text", 256))
+    docs = docs.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("no_id"), "text", F.sha2("text", 256).alias("same"))
     count, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).head()
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = max(parallel, math.ceil((size or 0) / run_bytes))
     ranges = max(parallel, math.ceil((size or 0) / ((_SPAN + 1) / 2) / entries_in_range))
     docs = docs.withColumn("run", F.pmod(F.xxhash64("id", "same"), F.lit(runs)).cast("int"))
-    firsts = docs.where("id is not null").where(F.octet_length("text") >= WIDTH).groupBy("same").agg(F.min("id").alias("id"))
-    firsts = firsts.withColumn("run", F.pmod(F.xxhash64("id", "same"), F.lit(runs)).cast("int"))
+    firsts = docs.where("not no_id").where(F.octet_length("text") >= WIDTH).groupBy("same").agg(F.min("id").alias("id"))
+    firsts = firsts.select(F.pmod(F.xxhash64("id", "same"), F.lit(runs)).cast("int").alias("run"), F.col("id").alias("first_id"), F.concat("same", F.lit("")).alias("first_same"))
     bounds = _bounds(docs, count, ranges)
 
     def send(group: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        run, _ = _run_of(left, set(zip(right["id"], right["same"], strict=True)))
-        number = int(group[0])
-        return pd.DataFrame([(number, k, blob) for k, blob in run.parts(bounds)], columns=["run", "range", "part"])
+        run, _ = _run_of(left, set(zip(right["first_id"], right["first_same"], strict=True)) if len(right) else set())
+        return pd.DataFrame([(int(group[0]), k, blob) for k, blob in run.parts(bounds)], columns=["run", "range", "part"])
 
     def join(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("run")
         return pd.DataFrame(answers([int(r) for r in f["run"]], [bytes(b) for b in f["part"]]), columns=["run", "told"])
 
     def finish(group: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = right[right["told"].isna()]
-        first = set(zip(names["id"].astype("int64"), names["same"], strict=True))
-        run, own = _run_of(left, first)
-        told = [np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(b)), dtype=_ANSWER) for b in right["told"] if b is not None]
+        names = right[right["told"].isna()] if len(right) else right
+        run, own = _run_of(left[~left["no_id"]], set(zip(names["first_id"], names["first_same"], strict=True)) if len(names) else set())
+        told = [np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(b)), dtype=_ANSWER) for b in (right["told"] if len(right) else []) if b is not None]
         told = np.concatenate(told) if told else np.zeros(0, dtype=_ANSWER)
         gone = run.removed((told["entry"].astype(np.int64), told["near"].astype(np.int64), told["far"].astype(np.int64), told["doc"]))
         at, kept = 0, {}
@@ -375,15 +373,14 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
             kept[key] = (int(g.sum()), int((g & ~np.r_[False, g[:-1]]).sum()), run.raw[at : at + n][~g].tobytes())
             at += n
         out = []
-        for i, same, raw in zip(left["id"], left["same"], _bytes(left["text"]), strict=True):
-            no_id = pd.isna(i)
+        for i, no_id, same, raw in zip(left["id"], left["no_id"], left["same"], _bytes(left["text"]), strict=True):
             gone_all = (len(raw), 1, b"") if len(raw) >= WIDTH and not no_id else (0, 0, raw)
             out.append((None if no_id else int(i), len(raw), *(gone_all if no_id or (i, same) not in kept else kept[i, same])))
         return pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"]).astype({"id": "Int64"})
 
-    parts = docs.where("id is not null").groupBy("run").cogroup(firsts.groupBy("run")).applyInPandas(send, "run int, range int, part binary")
+    parts = docs.where("not no_id").groupBy("run").cogroup(firsts.groupBy("run")).applyInPandas(send, "run int, range int, part binary")
     told = parts.groupBy("range").applyInPandas(join, "run int, told binary")
-    told = firsts.select("run", "id", "same", F.lit(None).cast("binary").alias("told")).unionByName(told.select("run", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("same"), "told"))
+    told = firsts.withColumn("told", F.lit(None).cast("binary")).unionByName(told.select("run", F.lit(0).cast("long").alias("first_id"), F.lit("").alias("first_same"), "told"))
     out = docs.groupBy("run").cogroup(told.groupBy("run")).applyInPandas(finish, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("id", id_col)
 
