@@ -71,6 +71,20 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return raw[:n], owner[new], starts[new], starts[last]
 
 
+def sorted_rows(words: np.ndarray) -> np.ndarray:
+    """The order of rows of big-endian words: by the first two, and by the others only where those are equal."""
+    first, second = words[:, 0].astype(np.uint64), words[:, 1].astype(np.uint64)
+    order = np.lexsort((second, first))
+    first, second = first[order], second[order]
+    tied = np.r_[False, (first[1:] == first[:-1]) & (second[1:] == second[:-1])] if len(order) else np.zeros(0, bool)
+    group = np.cumsum(~tied)
+    tied[:-1] |= tied[1:]
+    some = np.flatnonzero(tied)
+    rest = words[order[some]]
+    order[some] = order[some[np.lexsort([*(rest[:, w].astype(np.uint64) for w in range(rest.shape[1] - 1, 1, -1)), group[some]])]]
+    return order
+
+
 class Run:
     """The sorted distinct suffixes of some documents, with where each occurs."""
 
@@ -82,14 +96,15 @@ class Run:
         right, left = high + WIDTH - at, at - low
         key = np.zeros((m, 8 * _WORDS), dtype=np.uint8)
         padded = np.concatenate([np.zeros(_LEFT, np.uint8), self.raw, np.zeros(WIDTH, np.uint8)])
-        for k in range(WIDTH):
-            key[:, k] = np.where(k < right, padded[at + k + _LEFT], 0)
+        rows = np.lib.stride_tricks.sliding_window_view
+        key[:, :WIDTH] = rows(padded, WIDTH)[at + _LEFT]
+        key[:, :WIDTH] *= np.arange(WIDTH) < right[:, None]
         key[:, WIDTH] = right
-        for k in range(_LEFT):  # backwards from the anchor
-            key[:, WIDTH + 1 + k] = np.where(k < left, padded[at - 1 - k + _LEFT], 0)
+        key[:, WIDTH + 1 : WIDTH + 1 + _LEFT] = rows(padded, _LEFT)[at][:, ::-1]  # backwards from the anchor
+        key[:, WIDTH + 1 : WIDTH + 1 + _LEFT] *= np.arange(_LEFT) < left[:, None]
         key[:, WIDTH + 1 + _LEFT] = left
         words = key.view(">u8")
-        order = np.lexsort([words[:, w].astype(np.uint64) for w in range(_WORDS - 1, -1, -1)])
+        order = sorted_rows(words)
         words = words[order]
         new = np.r_[True, (words[1:] != words[:-1]).any(axis=1)] if m else np.zeros(0, bool)
         self.of = np.empty(m, dtype=np.int64)  # each occurrence's entry
@@ -354,7 +369,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     bounds = _bounds(docs, count, ranges)
 
     def send(group: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        run, _ = _run_of(left, set(zip(right["first_id"], right["first_same"], strict=True)) if len(right) else set())
+        run, _ = _run_of(left[~left["no_id"]], set(zip(right["first_id"], right["first_same"], strict=True)) if len(right) else set())
         return pd.DataFrame([(int(group[0]), k, blob) for k, blob in run.parts(bounds)], columns=["run", "range", "part"])
 
     def join(f: pd.DataFrame) -> pd.DataFrame:
@@ -378,7 +393,8 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
             out.append((None if no_id else int(i), len(raw), *(gone_all if no_id or (i, same) not in kept else kept[i, same])))
         return pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"]).astype({"id": "Int64"})
 
-    parts = docs.where("not no_id").groupBy("run").cogroup(firsts.groupBy("run")).applyInPandas(send, "run int, range int, part binary")
+    # Both steps read the documents by run, so Spark shuffles them once.
+    parts = docs.groupBy("run").cogroup(firsts.groupBy("run")).applyInPandas(send, "run int, range int, part binary")
     told = parts.groupBy("range").applyInPandas(join, "run int, told binary")
     told = firsts.withColumn("told", F.lit(None).cast("binary")).unionByName(told.select("run", F.lit(0).cast("long").alias("first_id"), F.lit("").alias("first_same"), "told"))
     out = docs.groupBy("run").cogroup(told.groupBy("run")).applyInPandas(finish, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
