@@ -115,7 +115,7 @@ def thresholds(rows: int, both: np.ndarray, distance: int, most_parts: int = 8)
             if e == 0:
                 return 0.0
             probes = sum(math.comb(len(parts[i]), k) for k in range(e)) + (e > 1)  # noqa: B023
-            return 20.0 * rows * probes + rows * rows * within[i][e - 1] / 2  # noqa: B023
+            return 20.0 * rows * probes + rows * rows * within[i][min(e, len(within[i])) - 1] / 2  # noqa: B023
 
         table = {0: (0.0, [])}  # by the sum of threshold + 1 so far
         for i in range(m):

@@ -1,7 +1,7 @@
 """Repeated byte strings: a distributed merge sort of sampled suffixes that never compares a known common prefix again.
 
-Every 50-byte string has one anchor: the leftmost of its 16-byte strings with the least hash. Equal strings have equal
-anchors, so only suffixes at anchors (about one position in eighteen) are sorted; with each goes the text before it that its
+Every 50-byte string has one anchor: the leftmost of its 12-byte strings with the least hash. Equal strings have equal
+anchors, so only suffixes at anchors (about one position in twenty) are sorted; with each goes the text before it that its
 strings need. Documents are dealt to runs by hash. A run sorts its suffixes, equal ones once with their smallest document,
 cuts the order at range bounds and sends each range front-coded. A range joins its parts in a loser tree of strings whose
 common prefixes with the last output are known, finds for each string its smallest document, and tells runs what they cannot
@@ -21,13 +21,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WIDTH, SEED = 50, 16
+WIDTH, SEED = 50, 12  # the seed has 8 to 16 bytes
 _SPAN = WIDTH - SEED + 1  # anchors that one string has to choose from
 _LEFT = _SPAN - 1
 RUN_BYTES = 8 << 20
 ENTRIES_IN_RANGE = 200_000
 #: Documents that range bounds are drawn from, and suffixes, at most about.
 SAMPLE_DOCS, SAMPLE_KEYS = 4_000, 50_000
+_CHUNK = 1 << 20
 _WORDS = (WIDTH + 1 + _LEFT + 1 + 7) // 8
 
 
@@ -49,26 +50,35 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     none = np.zeros(0, dtype=np.int64)
     if n < WIDTH:
         return raw[:n], none, none, none
-    words = _loads(raw)
-    h = words[:n] * np.uint64(0x9E3779B97F4A7C15) + words[8 : n + 8] * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    least = (h >> np.uint64(40) << np.uint64(40)) | np.arange(n, dtype=np.uint64)  # ties go to the left
-    done = 1
-    while done < _SPAN:
-        step = min(done, _SPAN - done)
-        least = np.minimum(least[:-step], least[step:])
-        done += step
-    at = (least & np.uint64((1 << 40) - 1)).astype(np.int64)[: n - WIDTH + 1]
-    inside = np.zeros(n + 1, dtype=np.int32)
+    inside = np.zeros(n + 1, dtype=np.int8)
     long = lengths >= WIDTH
     np.add.at(inside, (ends - lengths)[long], 1)
     np.add.at(inside, (ends - WIDTH + 1)[long], -1)
-    starts = np.flatnonzero(np.cumsum(inside)[: n - WIDTH + 1])
-    owner = at[starts]
-    new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (starts[1:] != starts[:-1] + 1)])
-    last = np.r_[new[1:], len(starts)] - 1
-    return raw[:n], owner[new], starts[new], starts[last]
+    owners, starts = [], []
+    level = 0
+    for low in range(0, n - WIDTH + 1, _CHUNK):  # in pieces, so that the numbers of all positions never stand in memory together
+        high = min(low + _CHUNK, n - WIDTH + 1)
+        words = _loads(raw[low : high + _SPAN + 24])
+        size = high - low + _SPAN - 1
+        h = words[:size] * np.uint64(0x9E3779B97F4A7C15) + words[SEED - 8 : SEED - 8 + size] * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        least = (h >> np.uint64(40) << np.uint64(40)) | np.arange(low, low + size, dtype=np.uint64)  # ties go to the left
+        done = 1
+        while done < _SPAN:
+            step = min(done, _SPAN - done)
+            least = np.minimum(least[:-step], least[step:])
+            done += step
+        own = np.cumsum(inside[low:high], dtype=np.int32) + level
+        level = int(own[-1])
+        own = np.flatnonzero(own)
+        at = (least[own] & np.uint64((1 << 40) - 1)).astype(np.int64)
+        turn = np.r_[True, (at[1:] != at[:-1]) | (own[1:] != own[:-1] + 1)] if len(own) else np.zeros(0, bool)
+        owners.append(at[turn])
+        starts.append(np.stack([own[turn], np.r_[own[np.flatnonzero(turn)[1:] - 1], own[-1:]]]) + low if len(own) else np.zeros((2, 0), np.int64))
+    owner, (first, last) = np.concatenate(owners), np.concatenate(starts, axis=1)
+    new = np.r_[True, (owner[1:] != owner[:-1]) | (first[1:] != last[:-1] + 1)] if len(owner) else np.zeros(0, bool)
+    return raw[:n], owner[new], first[new], last[np.r_[np.flatnonzero(new)[1:] - 1, len(owner) - 1]] if len(owner) else none
 
 
 def sorted_rows(words: np.ndarray) -> np.ndarray:

@@ -74,6 +74,15 @@ def test_merge_and_front_coding():
     assert (key == run.key).all() and (doc == run.least).all() and (shared == suffixes.common_prefixes(run.key)).all() and first == 17
 
 
+def test_pieces_do_not_show(monkeypatch):
+    rng = random.Random(4)
+    t = [bytes(rng.choice(b"ab ") for _ in range(n)) for n in (300, 49, 700, 50, 120)] + [b"a" * 300]
+    want = suffixes.anchors(t)
+    for size in (1, 37, 250):
+        monkeypatch.setattr(suffixes, "_CHUNK", size)
+        assert all((a == b).all() for a, b in zip(want, suffixes.anchors(t), strict=True))
+
+
 def test_every_string_has_one_anchor():
     rng = random.Random(3)
     t = [bytes(rng.choice(b"abc ") for _ in range(n)) for n in (30, 50, 400, 0, 51)]
