@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("panel",)
 
 
 def queries() -> dict[str, Query]:
