@@ -7,10 +7,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from factorloom.llm.common import free_name
 
@@ -51,14 +51,26 @@ def pieces(text: str, most: int = PIECE) -> Iterator[str]:
     yield text[start:]
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(offsets, np.concatenate([*arrays, np.zeros(0, np.int32)]).astype(np.int32))
+
+
+def _ids(lists: pa.ListArray) -> Iterator[np.ndarray]:
+    """The ids of each row; null has none."""
+    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    for a, b, there in zip(offsets[:-1], offsets[1:], lists.is_valid(), strict=True):
+        yield values[a:b] if there.as_py() else values[:0]
+
+
 def encoder(path: str, pattern: str, piece: int = PIECE):
-    """A column function: text to ids. Null is taken as empty. path must be readable on the executors."""
+    """A column function: text to ids. Null is taken as empty. path must be readable on the executors. Ids stay in arrays of four bytes each."""
 
-    @pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = _encoding(path, pattern)
         for texts in batches:
-            yield pd.Series([[i for p in pieces(t or "", piece) for i in enc.encode_ordinary(p)] for t in texts], dtype=object)
+            yield _lists([np.concatenate([enc.encode_to_numpy(p, disallowed_special=()).astype(np.int32) for p in pieces(t.as_py() or "", piece)]) for t in texts])
 
     return encode
 
@@ -66,11 +78,11 @@ def encoder(path: str, pattern: str, piece: int = PIECE):
 def decoder(path: str, pattern: str):
     """A column function: ids to raw bytes, which need not be a whole text in UTF-8. Null is taken as no ids."""
 
-    @pandas_udf("binary")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("binary")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = _encoding(path, pattern)
-        for ids in batches:
-            yield pd.Series([b"" if x is None else enc.decode_bytes(list(map(int, x))) for x in ids], dtype=object)
+        for lists in batches:
+            yield pa.array([enc.decode_bytes(ids.tolist()) for ids in _ids(lists)], pa.binary())
 
     return decode
 
@@ -78,9 +90,9 @@ def decoder(path: str, pattern: str):
 def packer():
     """A column function: ids to little-endian unsigned 32-bit integers."""
 
-    @pandas_udf("binary")
-    def packed(ids: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(x if x is not None else [], dtype="<u4").tobytes() for x in ids], dtype=object)
+    @arrow_udf("binary")
+    def packed(lists: pa.Array) -> pa.Array:
+        return pa.array([ids.astype("<u4").tobytes() for ids in _ids(lists)], pa.binary())
 
     return packed
 
