@@ -23,18 +23,18 @@ def rank(x: Column, *groups: str) -> Column:
 
 def bucket(x: Column, k: int, *groups: str) -> Column:
     """The rank's k-th, from 1 to k."""
-    return F.greatest(F.lit(1), F.least(F.lit(k), F.ceil(rank(x, *groups) * k).cast("int")))
+    return F.when(x.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(k), F.ceil(rank(x, *groups) * k).cast("int"))))
 
 
 def scale(x: Column) -> Column:
-    """Shares of the date's sum of absolute values."""
-    return x / F.sum(F.abs(x)).over(_day())
+    """Shares of the date's sum of absolute values; null where that is 0."""
+    return F.try_divide(x, F.sum(F.abs(x)).over(_day()))
 
 
 def zscore(x: Column, limit: float = 3.0) -> Column:
     """Standardised by the date's mean and sample deviation, clipped."""
-    z = (x - F.avg(x).over(_day())) / F.stddev_samp(x).over(_day())
-    return F.greatest(F.lit(-limit), F.least(F.lit(limit), z))
+    z = F.try_divide(x - F.avg(x).over(_day()), F.stddev_samp(x).over(_day()))
+    return F.when(z.isNotNull(), F.greatest(F.lit(-limit), F.least(F.lit(limit), z)))
 
 
 def neutralize(x: Column, group: str) -> Column:

@@ -66,7 +66,8 @@ def covariance(x: Column, y: Column, d: int) -> Column:
 def correlation(x: Column, y: Column, d: int) -> Column:
     """Pearson, 0 if a side is constant, within -1 and 1."""
     flat = (ts_min(x, d) == ts_max(x, d)) | (ts_min(y, d) == ts_max(y, d))
-    return F.when(flat, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(covariance(x, y, d), stddev(x, d) * stddev(y, d)))))
+    r = F.try_divide(covariance(x, y, d), stddev(x, d) * stddev(y, d))
+    return F.when(flat, F.lit(0.0)).when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def decay_linear(x: Column, d: int) -> Column:

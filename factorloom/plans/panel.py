@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,6 @@ from factorloom.operators import series as ts
 from factorloom.sources.bars import BARS_SQL, bars
 
 C = F.col
-CLOSE, VOLUME, HIGH, LOW, OPEN, AMOUNT, CAP, VWAP = (C(x) for x in ("close", "volume", "high", "low", "open", "amount", "cap", "vwap"))
 
 
 def _w(d: int, until: int = 0) -> str:
@@ -36,35 +36,35 @@ def _rank(x: str, groups: str = "") -> str:
 _FLAT = f"min(close) {_w(6)} = max(close) {_w(6)} OR min(volume) {_w(6)} = max(volume) {_w(6)}"
 
 #: Name: the column over bars, and its SQL.
-PANEL: dict[str, tuple[Callable[[], Column], str]] = {
-    "ts_delay": (lambda: ts.delay(CLOSE, 3), _lag("close", 3)),
-    "ts_delta": (lambda: ts.delta(CLOSE, 2), f"close - {_lag('close', 2)}"),
-    "ts_returns": (lambda: ts.returns(CLOSE), f"close / {_lag('close', 1)} - 1"),
-    "ts_sum": (lambda: ts.ts_sum(VOLUME, 5), _full(5, "sum(volume)", "volume")),
-    "ts_mean": (lambda: ts.ts_mean(CLOSE, 10), _full(10, "avg(close)", "close")),
-    "ts_min": (lambda: ts.ts_min(LOW, 8), _full(8, "min(low)", "low")),
-    "ts_max": (lambda: ts.ts_max(HIGH, 8), _full(8, "max(high)", "high")),
-    "ts_stddev": (lambda: ts.stddev(CLOSE, 6), f"CASE WHEN min(close) {_w(6)} = max(close) {_w(6)} AND count(close) {_w(6)} = 6 THEN 0.0 ELSE {_full(6, 'stddev_samp(close)', 'close')} END"),
-    "ts_covariance": (lambda: ts.covariance(CLOSE, VOLUME, 6), _full(6, "covar_samp(close, volume)", "close", "volume")),
-    "ts_correlation": (lambda: ts.correlation(CLOSE, VOLUME, 6), f"CASE WHEN count(close) {_w(6)} = 6 THEN CASE WHEN {_FLAT} THEN 0.0 ELSE greatest(-1.0, least(1.0, corr(close, volume) {_w(6)})) END END"),
-    "ts_decay_linear": (lambda: ts.decay_linear(CLOSE, 4), f"(4 * close + 3 * {_lag('close', 1)} + 2 * {_lag('close', 2)} + {_lag('close', 3)}) / 10"),
-    "ts_wma": (lambda: ts.wma(CLOSE, 3), f"(close + 0.9 * {_lag('close', 1)} + 0.81 * {_lag('close', 2)}) / 2.71"),
-    "ts_rank": (lambda: ts.ts_rank(VOLUME, 6), ""),  # its SQL needs a step of its own, see _sql
-    "ts_days_since_max": (lambda: ts.days_since_max(HIGH, 6), f"CASE WHEN count(high) {_w(6)} = 6 THEN list_position(list_reverse(list(high) {_w(6)}), max(high) {_w(6)}) - 1 END"),
-    "ts_quantile": (lambda: ts.quantile(CLOSE, 0.8, 5), _full(5, "quantile_cont(close, 0.8)", "close")),
-    "ts_slope": (lambda: ts.slope(CLOSE, 8), _full(8, "regr_slope(close, week_no::DOUBLE)", "close")),
-    "ts_count_if": (lambda: ts.count_if(CLOSE > OPEN, CLOSE, 10), _full(10, "sum(CASE WHEN close > open THEN 1.0 ELSE 0.0 END)", "close")),
-    "ts_sum_if": (lambda: ts.sum_if(CLOSE > OPEN, VOLUME, 10), _full(10, "sum(CASE WHEN close > open THEN volume ELSE 0.0 END)", "volume")),
-    "xs_rank": (lambda: xs.rank(VOLUME), _rank("volume")),
-    "xs_group_rank": (lambda: xs.rank(VOLUME, "sector"), _rank("volume", ", sector")),
-    "xs_bucket": (lambda: xs.bucket(CLOSE, 5), f"greatest(1, least(5, ceil({_rank('close')} * 5)))"),
-    "xs_scale": (lambda: xs.scale(CLOSE - OPEN), "(close - open) / sum(abs(close - open)) OVER (PARTITION BY week_no)"),
-    "xs_zscore": (lambda: xs.zscore(VOLUME), "greatest(-3.0, least(3.0, (volume - avg(volume) OVER (PARTITION BY week_no)) / stddev_samp(volume) OVER (PARTITION BY week_no)))"),
-    "xs_neutralize": (lambda: xs.neutralize(CLOSE, "sector"), "close - avg(close) OVER (PARTITION BY week_no, sector)"),
-    "xs_weighted_mean": (lambda: xs.weighted_mean(CLOSE, CAP, "sector"), "sum(CASE WHEN cap > 0 THEN close * cap END) OVER (PARTITION BY week_no, sector) / sum(CASE WHEN cap > 0 THEN cap END) OVER (PARTITION BY week_no, sector)"),
-    "xs_residual": (lambda: xs.residual(CLOSE, VOLUME), "close - avg(close) OVER d - covar_samp(close, volume) OVER d / var_samp(volume) OVER d * (volume - avg(volume) OVER d)"),
-    "row_safe_div": (lambda: scalars.safe_div(HIGH - LOW, CLOSE - OPEN), "CASE WHEN abs(close - open) > 1e-12 THEN (high - low) / (close - open) END"),
-    "row_indicator": (lambda: scalars.indicator(VWAP > CLOSE), "CASE WHEN vwap > close THEN 1.0 ELSE 0.0 END"),
+PANEL: dict[str, tuple[Callable[[SimpleNamespace], Column], str]] = {
+    "ts_delay": (lambda b: ts.delay(b.close, 3), _lag("close", 3)),
+    "ts_delta": (lambda b: ts.delta(b.close, 2), f"close - {_lag('close', 2)}"),
+    "ts_returns": (lambda b: ts.returns(b.close), f"close / {_lag('close', 1)} - 1"),
+    "ts_sum": (lambda b: ts.ts_sum(b.volume, 5), _full(5, "sum(volume)", "volume")),
+    "ts_mean": (lambda b: ts.ts_mean(b.close, 10), _full(10, "avg(close)", "close")),
+    "ts_min": (lambda b: ts.ts_min(b.low, 8), _full(8, "min(low)", "low")),
+    "ts_max": (lambda b: ts.ts_max(b.high, 8), _full(8, "max(high)", "high")),
+    "ts_stddev": (lambda b: ts.stddev(b.close, 6), f"CASE WHEN min(close) {_w(6)} = max(close) {_w(6)} AND count(close) {_w(6)} = 6 THEN 0.0 ELSE {_full(6, 'stddev_samp(close)', 'close')} END"),
+    "ts_covariance": (lambda b: ts.covariance(b.close, b.volume, 6), _full(6, "covar_samp(close, volume)", "close", "volume")),
+    "ts_correlation": (lambda b: ts.correlation(b.close, b.volume, 6), f"CASE WHEN count(close) {_w(6)} = 6 THEN CASE WHEN {_FLAT} THEN 0.0 ELSE greatest(-1.0, least(1.0, corr(close, volume) {_w(6)})) END END"),
+    "ts_decay_linear": (lambda b: ts.decay_linear(b.close, 4), f"(4 * close + 3 * {_lag('close', 1)} + 2 * {_lag('close', 2)} + {_lag('close', 3)}) / 10"),
+    "ts_wma": (lambda b: ts.wma(b.close, 3), f"(close + 0.9 * {_lag('close', 1)} + 0.81 * {_lag('close', 2)}) / 2.71"),
+    "ts_rank": (lambda b: ts.ts_rank(b.volume, 6), ""),  # its SQL needs a step of its own, see _sql
+    "ts_days_since_max": (lambda b: ts.days_since_max(b.high, 6), f"CASE WHEN count(high) {_w(6)} = 6 THEN list_position(list_reverse(list(high) {_w(6)}), max(high) {_w(6)}) - 1 END"),
+    "ts_quantile": (lambda b: ts.quantile(b.close, 0.8, 5), _full(5, "quantile_cont(close, 0.8)", "close")),
+    "ts_slope": (lambda b: ts.slope(b.close, 8), _full(8, "regr_slope(close, week_no::DOUBLE)", "close")),
+    "ts_count_if": (lambda b: ts.count_if(b.close > b.open, b.close, 10), _full(10, "sum(CASE WHEN close > open THEN 1.0 ELSE 0.0 END)", "close")),
+    "ts_sum_if": (lambda b: ts.sum_if(b.close > b.open, b.volume, 10), _full(10, "sum(CASE WHEN close > open THEN volume ELSE 0.0 END)", "volume")),
+    "xs_rank": (lambda b: xs.rank(b.volume), _rank("volume")),
+    "xs_group_rank": (lambda b: xs.rank(b.volume, "sector"), _rank("volume", ", sector")),
+    "xs_bucket": (lambda b: xs.bucket(b.close, 5), f"greatest(1, least(5, ceil({_rank('close')} * 5)))"),
+    "xs_scale": (lambda b: xs.scale(b.close - b.open), "(close - open) / nullif(sum(abs(close - open)) OVER (PARTITION BY week_no), 0)"),
+    "xs_zscore": (lambda b: xs.zscore(b.volume), "greatest(-3.0, least(3.0, (volume - avg(volume) OVER (PARTITION BY week_no)) / stddev_samp(volume) OVER (PARTITION BY week_no)))"),
+    "xs_neutralize": (lambda b: xs.neutralize(b.close, "sector"), "close - avg(close) OVER (PARTITION BY week_no, sector)"),
+    "xs_weighted_mean": (lambda b: xs.weighted_mean(b.close, b.cap, "sector"), "sum(CASE WHEN cap > 0 THEN close * cap END) OVER (PARTITION BY week_no, sector) / sum(CASE WHEN cap > 0 THEN cap END) OVER (PARTITION BY week_no, sector)"),
+    "xs_residual": (lambda b: xs.residual(b.close, b.volume), "close - avg(close) OVER d - covar_samp(close, volume) OVER d / var_samp(volume) OVER d * (volume - avg(volume) OVER d)"),
+    "row_safe_div": (lambda b: scalars.safe_div(b.high - b.low, b.close - b.open), "CASE WHEN abs(close - open) > 1e-12 THEN (high - low) / (close - open) END"),
+    "row_indicator": (lambda b: scalars.indicator(b.vwap > b.close), "CASE WHEN vwap > close THEN 1.0 ELSE 0.0 END"),
 }
 
 
@@ -77,8 +77,13 @@ def _snapped(text: str) -> str:
     return f"floor(({text})::DOUBLE * 10000 + 0.37)::BIGINT / 10000"
 
 
-def _query(column: Callable[[], Column]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: bars(spark, sf_dir).select("instrument", "week_no", snapped(column()).alias("value"))
+def _columns() -> SimpleNamespace:
+    """The bars' columns; made when a query runs, because columns need a session."""
+    return SimpleNamespace(**{x: C(x) for x in ("open", "high", "low", "close", "volume", "amount", "cap", "vwap")})
+
+
+def _query(column: Callable[[SimpleNamespace], Column]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: bars(spark, sf_dir).select("instrument", "week_no", snapped(column(_columns())).alias("value"))
 
 
 def _sql(name: str, text: str) -> str:
@@ -95,7 +100,7 @@ def bars_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forward_rank_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By week: the correlation of a factor's ranks with those of the next week's return, and the spread of its outer fifths."""
-    out = bars(spark, sf_dir).withColumn("factor", -ts.returns(CLOSE)).withColumn("label", F.max("close").over(ts.frame(1, -1)) / CLOSE - 1).where("factor is not null and label is not null")
+    out = bars(spark, sf_dir).withColumn("factor", -ts.returns(C("close"))).withColumn("label", F.max("close").over(ts.frame(1, -1)) / C("close") - 1).where("factor is not null and label is not null")
     out = out.withColumns({"rf": xs.rank(C("factor")), "rl": xs.rank(C("label")), "q": xs.bucket(C("factor"), 5)})
     spread = F.avg(F.when(C("q") == 5, C("label"))) - F.avg(F.when(C("q") == 1, C("label")))
     return out.groupBy("week_no").agg(F.count("*").alias("n"), snapped(F.corr("factor", "label")).alias("ic"), snapped(F.corr("rf", "rl")).alias("rank_ic"), snapped(spread).alias("spread")).where("n >= 20")

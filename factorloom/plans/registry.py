@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: tuple[str, ...] = ("panel",)
+MODULES: tuple[str, ...] = ("panel", "study")
 
 
 def queries() -> dict[str, Query]:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from factorloom.functions import scalars
 from factorloom.operators import series as ts
-from factorloom.plans import panel, registry
+from factorloom.plans import registry
 
 
-@pytest.mark.parametrize("name", list(panel.QUERIES))
+@pytest.mark.parametrize("name", list(registry.queries()))
 def test_like_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for f in os.listdir(sf_dir):
