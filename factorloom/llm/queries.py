@@ -30,9 +30,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path(BPE), public_tokenizers.PATTERN
-    out = tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
+    out = tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern, packed=True)
     out = tokens.decode(out.drop("text"), path, pattern, "token_ids")
-    return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(tokens.packer()("token_ids"), 256).alias("ids_sha256"), F.sha2("token_bytes", 256).alias("decoded_sha256"))
+    n_tokens = F.expr("octet_length(token_ids) div 4").cast("long")
+    return out.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("token_bytes", 256).alias("decoded_sha256"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,21 +56,30 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, np.concatenate([*arrays, np.zeros(0, np.int32)]).astype(np.int32))
 
 
-def _ids(lists: pa.ListArray) -> Iterator[np.ndarray]:
-    """The ids of each row; null has none."""
+def _packed(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.array([ids.astype("<u4").tobytes() for ids in arrays], pa.binary())
+
+
+def _ids(lists: pa.Array) -> Iterator[np.ndarray]:
+    """The ids of each row, from lists or from packed bytes; null has none."""
+    if not isinstance(lists, pa.ListArray):
+        for row in lists:
+            yield np.frombuffer(row.as_py() or b"", dtype="<u4")
+        return
     offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
     for a, b, there in zip(offsets[:-1], offsets[1:], lists.is_valid(), strict=True):
         yield values[a:b] if there.as_py() else values[:0]
 
 
-def encoder(path: str, pattern: str, piece: int = PIECE):
-    """A column function: text to ids. Null is taken as empty. path must be readable on the executors. Ids stay in arrays of four bytes each."""
+def encoder(path: str, pattern: str, piece: int = PIECE, packed: bool = False):
+    """A column function: text to ids, as an array or packed as little-endian unsigned 32-bit integers. Null is taken as empty. path must be readable on the executors. Ids stay in arrays of four bytes each."""
+    told = _packed if packed else _lists
 
-    @arrow_udf("array<int>")
+    @arrow_udf("binary" if packed else "array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = _encoding(path, pattern)
         for texts in batches:
-            yield _lists([np.concatenate([enc.encode_to_numpy(p, disallowed_special=()).astype(np.int32) for p in pieces(t.as_py() or "", piece)]) for t in texts])
+            yield told([np.concatenate([enc.encode_to_numpy(p, disallowed_special=()).astype(np.int32) for p in pieces(t.as_py() or "", piece)]) for t in texts])
 
     return encode
 
@@ -92,18 +101,18 @@ def packer():
 
     @arrow_udf("binary")
     def packed(lists: pa.Array) -> pa.Array:
-        return pa.array([ids.astype("<u4").tobytes() for ids in _ids(lists)], pa.binary())
+        return _packed(list(_ids(lists)))
 
     return packed
 
 
-def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """Adds the column ids_column(df) with the ids of each whole text; null and empty texts have none."""
-    return df.withColumn(ids_column(df), encoder(path, pattern)(F.col(f"`{text_col}`").cast("string")))
+def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", packed: bool = False) -> DataFrame:
+    """Adds the column ids_column(df) with the ids of each whole text, packed or as an array; null and empty texts have none."""
+    return df.withColumn(ids_column(df), encoder(path, pattern, packed=packed)(F.col(f"`{text_col}`").cast("string")))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str) -> DataFrame:
-    """Adds the column bytes_column(df) with the bytes that the ids stand for."""
+    """Adds the column bytes_column(df) with the bytes that the ids, packed or in an array, stand for."""
     return df.withColumn(bytes_column(df), decoder(path, pattern)(F.col(f"`{ids_col}`")))
 
 

@@ -34,6 +34,10 @@ def test_tokens(awkward, empty, documents):
         for r in out.collect():
             want = enc.encode_ordinary(r["text"] or "")
             assert r[name] == want and bytes(r[raw]) == (r["text"] or "").encode() and sha(r["packed"]) == sha(struct.pack(f"<{len(want)}I", *want))
+        short = tokens.encode(df, PATH, PATTERN, packed=True)
+        for r in tokens.decode(short, PATH, PATTERN, name).collect():
+            want = enc.encode_ordinary(r["text"] or "")
+            assert bytes(r[name]) == struct.pack(f"<{len(want)}I", *want) and bytes(r[raw]) == (r["text"] or "").encode()
     assert tokens.encode(empty, PATH, PATTERN).count() == 0
 
 
