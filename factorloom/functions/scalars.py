@@ -24,3 +24,22 @@ def indicator(condition: Column) -> Column:
 def select(condition: Column, a: Column, b: Column) -> Column:
     """a where the condition holds, else b, also where it is missing."""
     return F.when(condition, a).otherwise(b)
+
+
+def element_max(a: Column, b: Column) -> Column:
+    """Missing if either side is."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b))
+
+
+def element_min(a: Column, b: Column) -> Column:
+    """Missing if either side is."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.least(a, b))
+
+
+def clip(x: Column, low: float, high: float) -> Column:
+    """Missing stays missing."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
+
+
+def signed_power(x: Column, e: float) -> Column:
+    return F.signum(x) * F.pow(F.abs(x), F.lit(e))

@@ -54,3 +54,22 @@ def residual(y: Column, x: Column) -> Column:
     a, b = F.when(both, x), F.when(both, y)
     beta = F.covar_samp(b, a).over(_day()) / F.var_samp(a).over(_day())
     return F.when(both, y - F.avg(b).over(_day()) - beta * (x - F.avg(a).over(_day())))
+
+
+def rank_zscore(x: Column) -> Column:
+    """Ranks less their mean, by the deviation of 1 to n."""
+    n = F.count(x).over(_day())
+    return F.try_divide(rank(x) * n - (n + 1) / 2, F.sqrt(n * (n + 1) / 12))
+
+
+def group_median(x: Column, group: str) -> Column:
+    return F.median(x).over(_day(group))
+
+
+def group_count(x: Column, group: str) -> Column:
+    return F.count(x).over(_day(group))
+
+
+def weight(x: Column) -> Column:
+    """Shares of the date's sum."""
+    return F.try_divide(x, F.sum(x).over(_day()))

@@ -112,3 +112,33 @@ def count_if(condition: Column, x: Column, d: int) -> Column:
 
 def sum_if(condition: Column, x: Column, d: int) -> Column:
     return full(d, lambda: F.sum(F.when(condition, x).otherwise(0.0)), x)
+
+
+def stddev_pop(x: Column, d: int) -> Column:
+    return full(d, lambda: F.stddev_pop(x), x)
+
+
+def product(x: Column, d: int) -> Column:
+    return full(d, lambda: F.product(x), x)
+
+
+def momentum(x: Column, end: int, start: int) -> Column:
+    """The change from start rows ago to end rows ago."""
+    return delay(x, end) / delay(x, start) - 1
+
+
+def days_since_min(x: Column, d: int) -> Column:
+    """Rows back to the latest minimum; 0 is today."""
+    v = values(x, d)
+    return F.array_position(F.reverse(v), F.array_min(v)) - 1
+
+
+def argmax(x: Column, d: int) -> Column:
+    """The first maximum's place, from 1 at the oldest row."""
+    v = values(x, d)
+    return F.array_position(v, F.array_max(v))
+
+
+def top_mean(x: Column, k: int, d: int) -> Column:
+    """The mean of the k largest values."""
+    return F.aggregate(F.slice(F.sort_array(values(x, d), False), 1, k), F.lit(0.0), lambda s, y: s + y) / k

@@ -65,6 +65,20 @@ PANEL: dict[str, tuple[Callable[[SimpleNamespace], Column], str]] = {
     "xs_residual": (lambda b: xs.residual(b.close, b.volume), "close - avg(close) OVER d - covar_samp(close, volume) OVER d / var_samp(volume) OVER d * (volume - avg(volume) OVER d)"),
     "row_safe_div": (lambda b: scalars.safe_div(b.high - b.low, b.close - b.open), "CASE WHEN abs(close - open) > 1e-12 THEN (high - low) / (close - open) END"),
     "row_indicator": (lambda b: scalars.indicator(b.vwap > b.close), "CASE WHEN vwap > close THEN 1.0 ELSE 0.0 END"),
+    "ts_stddev_pop": (lambda b: ts.stddev_pop(b.close, 6), _full(6, "stddev_pop(close)", "close")),
+    "ts_product": (lambda b: ts.product(b.close / b.open, 4), _full(4, "product(close / open)", "close")),
+    "ts_momentum": (lambda b: ts.momentum(b.close, 2, 6), f"{_lag('close', 2)} / {_lag('close', 6)} - 1"),
+    "ts_days_since_min": (lambda b: ts.days_since_min(b.low, 6), f"CASE WHEN count(low) {_w(6)} = 6 THEN list_position(list_reverse(list(low) {_w(6)}), min(low) {_w(6)}) - 1 END"),
+    "ts_argmax": (lambda b: ts.argmax(b.high, 6), f"CASE WHEN count(high) {_w(6)} = 6 THEN list_position(list(high) {_w(6)}, max(high) {_w(6)}) END"),
+    "ts_top_mean": (lambda b: ts.top_mean(b.high, 3, 8), f"CASE WHEN count(high) {_w(8)} = 8 THEN list_avg(list_slice(list_reverse_sort(list(high) {_w(8)}), 1, 3)) END"),
+    "xs_rank_zscore": (lambda b: xs.rank_zscore(b.volume), f"({_rank('volume')} * count(volume) OVER d - (count(volume) OVER d + 1) / 2) / sqrt(count(volume) OVER d * (count(volume) OVER d + 1) / 12)"),
+    "xs_group_median": (lambda b: xs.group_median(b.close, "sector"), "median(close) OVER (PARTITION BY week_no, sector)"),
+    "xs_group_count": (lambda b: xs.group_count(b.close, "sector"), "count(close) OVER (PARTITION BY week_no, sector)"),
+    "xs_weight": (lambda b: xs.weight(b.amount), "amount / sum(amount) OVER d"),
+    "row_element_max": (lambda b: scalars.element_max(b.vwap, b.close), "greatest(vwap, close)"),
+    "row_element_min": (lambda b: scalars.element_min(b.vwap, b.close), "least(vwap, close)"),
+    "row_clip": (lambda b: scalars.clip(b.close / b.open - 1, -0.1, 0.1), "greatest(-0.1, least(0.1, close / open - 1))"),
+    "row_signed_power": (lambda b: scalars.signed_power(b.close - b.open, 0.5), "sign(close - open) * sqrt(abs(close - open))"),
 }
 
 

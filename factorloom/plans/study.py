@@ -121,12 +121,32 @@ def sma_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("instrument", "week_no", snapped(C("value")).alias("value"))
 
 
+FIT_WEEKS = 1500
+
+
+def zscore_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Close and volume by the mean and population deviation of the weeks before FIT_WEEKS, one row that every task gets; a constant column passes."""
+    out = bars(spark, sf_dir)
+    sd = lambda x: F.stddev_pop(x)
+    fit = out.where(C("week_no") < FIT_WEEKS).agg(*[f(x).alias(f"{x}_{n}") for x in ("close", "volume") for n, f in (("mean", F.avg), ("sd", sd))])
+    norm = lambda x: F.when(C(f"{x}_sd") == 0, C(x)).otherwise(F.try_divide(C(x) - C(f"{x}_mean"), C(f"{x}_sd")))
+    return out.crossJoin(F.broadcast(fit)).select("instrument", "week_no", *[snapped(norm(x)).alias(x) for x in ("close", "volume")])
+
+
+def label_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next week's label by its week's mean and deviation; rows without a label go."""
+    week = Window.partitionBy("week_no")
+    out = bars(spark, sf_dir).withColumn("label", _label(1)).where("label is not null")
+    return out.select("instrument", "week_no", snapped(F.try_divide(C("label") - F.avg("label").over(week), F.stddev_samp("label").over(week))).alias("value"))
+
+
 _BUSY = """
 s AS (SELECT instrument, min(week_no) AS since, max(week_no) AS until FROM (SELECT instrument, week_no, week_no - row_number() OVER (PARTITION BY instrument ORDER BY week_no) AS island FROM bars WHERE volume > 50) GROUP BY instrument, island)"""
 
 QUERIES = {
     "labels": labels, "asof_join": asof_join, "membership_spans": _volume_spans, "interval_join": interval_join, "newest_rows": newest_rows, "top_k": top_k, "every_kth_date": every_kth,
     "attribution": attribution, "pockets": pockets, "ic_summary": ic_summary, "weighted_return": weighted_return, "on_balance_volume": on_balance, "gain_share": gain_share, "sma_recursive": sma_recursive,
+    "zscore_norm": zscore_norm, "label_zscore": label_zscore,
 }
 
 SQL = {
@@ -150,4 +170,6 @@ SELECT floor(week_no / 52)::INT AS year, count(*) AS weeks, {_snapped('avg(ic)')
 y AS (SELECT b.instrument, b.week_no, b.close AS v FROM bars b LEFT JOIN bars p ON p.instrument = b.instrument AND p.week_no = b.week_no - 1 WHERE p.week_no IS NULL
 UNION ALL SELECT b.instrument, b.week_no, (b.close + 2 * y.v) / 3 FROM y JOIN bars b ON b.instrument = y.instrument AND b.week_no = y.week_no + 1)
 SELECT instrument, week_no, {_snapped('v')} AS value FROM y""",
+    "zscore_norm": f"WITH {BARS_SQL}, f AS (SELECT avg(close) AS cm, stddev_pop(close) AS cs, avg(volume) AS vm, stddev_pop(volume) AS vs FROM bars WHERE week_no < {FIT_WEEKS}) SELECT instrument, week_no, {_snapped('CASE WHEN cs = 0 THEN close ELSE (close - cm) / cs END')} AS close, {_snapped('CASE WHEN vs = 0 THEN volume ELSE (volume - vm) / vs END')} AS volume FROM bars, f",
+    "label_zscore": f"WITH {BARS_SQL}, k AS (SELECT *, {_label_sql(1)} AS label FROM bars), n AS (SELECT * FROM k WHERE label IS NOT NULL) SELECT instrument, week_no, {_snapped('(label - avg(label) OVER d) / nullif(stddev_samp(label) OVER d, 0)')} AS value FROM n WINDOW d AS (PARTITION BY week_no)",
 }
