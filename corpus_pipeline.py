@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import credentials, mixing, quality, simhash, tokens
+from factorloom.llm import credentials, mixing, quality, shingles, tokens
 from factorloom.llm.common import shared_dir, table
 from factorloom.llm.queries import BPE
 
@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays. Fingerprints are of shingles of five words; a similarity of 0.8 puts them 9.7 bits apart on average."""
-    return simhash.deduplicate(docs, shingle=5, distance=9)
+    """Of each group of near duplicates the smallest doc_id stays. Texts are near if their sets of shingles of five words have a Jaccard similarity of 0.8 or more."""
+    return shingles.deduplicate(docs, shingle=5, least=0.8)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,22 +28,33 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ROWS = 65_536
 
 
-def fingerprint_of(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """The fingerprint as a signed 64-bit integer: per bit, whether it is set in over half the shingles' hashes."""
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text, split at white space, ASCII letters lowered."""
+    return (text or "").encode("utf-8", "replace").translate(_LOWER).split()
+
+
+def shingle_hashes(words: list[bytes], shingle: int, seed: int = 42) -> np.ndarray:
+    """The hash of each run of so many words, in order; fewer words are one shingle, none have none."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined, ends, n = b" ".join(words), np.cumsum([len(w) + 1 for w in words]), max(1, len(words) - shingle + 1)
     starts = np.concatenate([[0], ends[: n - 1]]).tolist()
     stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
     hash_of = xxhash.xxh64_intdigest
+    return np.fromiter((hash_of(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)), dtype="<u8", count=n)
+
+
+def fingerprint_of(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """The fingerprint as a signed 64-bit integer: per bit, whether it is set in over half the shingles' hashes."""
+    hashes = shingle_hashes(words_of(text), shingle, seed)
+    if not len(hashes):
+        return 0
     counts = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, n, _ROWS):
-        h = np.array([hash_of(joined[a:b], seed) for a, b in zip(starts[at : at + _ROWS], stops[at : at + _ROWS], strict=True)], dtype="<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+    for at in range(0, len(hashes), _ROWS):
+        counts += np.unpackbits(hashes[at : at + _ROWS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(df: DataFrame, text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -255,6 +266,17 @@ def links(fps: DataFrame, column: str, distance: int = 3) -> DataFrame:
     return verified(blocks(probes(fps, column, parts, limits), ["part", "key"], "fp"), distance)
 
 
+def _grouped(rows: DataFrame, text_col: str, shingle: int, distance: int) -> DataFrame:
+    """rows (id, text_col and others) with fp, component (of fingerprints) and component_id in place of the text."""
+    print_ = fingerprint_column(rows)
+    rows = cut(fingerprints(rows, text_col, shingle).withColumnRenamed(print_, "fp").drop(text_col))
+    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
+    found = components(links(nodes, "fp", distance)).select(F.col("node").alias("fp"), "component")
+    nodes = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    firsts = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
+    return rows.join(nodes.join(firsts, "component").select("fp", "component", "component_id"), "fp")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
     """Per row of df: the id, its fingerprint (long) and component_id, the smallest id that links reach.
 
@@ -262,14 +284,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     each other. Rows without an id take part and belong to a component, but give it no name: it is null if no member has
     an id. Repeated rows give repeated results; an empty table gives an empty table.
     """
-    print_ = fingerprint_column(df.select(id_col, text_col))
-    rows = cut(fingerprints(df.select(id_col, text_col), text_col, shingle).select(F.col(f"`{id_col}`").alias("id"), F.col(print_).alias("fp")))
-    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
-    found = components(links(nodes, "fp", distance)).select(F.col("node").alias("fp"), "component")
-    nodes = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    firsts = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
-    nodes = nodes.join(firsts, "component").select("fp", "component_id")
-    return rows.join(nodes, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return _grouped(rows, "text", shingle, distance).select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
+
+
+def identified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per row of df: id, text, and the longs one and two, which together tell apart rows that differ in any column."""
+    every = [F.col(f"`{c}`") for c in df.columns]
+    return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.xxhash64(*every).alias("one"), F.xxhash64(F.lit(1), *every).alias("two"))
+
+
+def first_rows(df: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of groups (group, id, one, two) over the rows of df: df with exactly one row of each group, that with the smallest id.
+
+    A null id comes last, the row's hashes decide where an id repeats, and rows that are equal throughout are one.
+    """
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "one", "two")).alias("m")).select("m.one", "m.two")
+    one, two, rank = (free_name(df, f"row_{x}") for x in ("one", "two", "rank"))
+    every = [F.col(f"`{c}`") for c in df.columns]
+    out = df.select(*every, F.xxhash64(*every).alias(one), F.xxhash64(F.lit(1), *every).alias(two))
+    out = out.join(first.select(F.col("one").alias(one), F.col("two").alias(two)), [one, two], "left_semi")
+    return out.withColumn(rank, F.row_number().over(Window.partitionBy(one, two).orderBy(F.lit(0)))).where(F.col(rank) == 1).select(*every)
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
