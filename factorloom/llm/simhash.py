@@ -308,12 +308,6 @@ def first_rows(df: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
-    """df with one row of each group of near duplicates: that with the smallest id, the first by text where an id repeats.
-
-    Of rows without an id, one stays if some group has no other rows; the others go.
-    """
-    rank = free_name(df, "simhash_rank")
-    kept = near_duplicates(df, id_col, text_col, shingle, distance).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(rank)).distinct()
-    out = df.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(rank)), "left_semi")
-    own = Window.partitionBy(id_col).orderBy(text_col)
-    return out.withColumn(rank, F.row_number().over(own)).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in df.columns])
+    """df with exactly one row of each group of near duplicates: that with the smallest id; rows without an id come last."""
+    groups = _grouped(identified(df, id_col, text_col), "text", shingle, distance)
+    return first_rows(df, groups.select(F.col("component").alias("group"), "id", "one", "two"))

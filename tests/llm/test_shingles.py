@@ -74,3 +74,17 @@ def test_chains_in_one_bucket_and_blocks(spark):
     for block in (7, 1024):
         got = {r["id"]: r["group"] for r in shingles.near_duplicates(df, block=block).collect()}
         assert len({(got[k], group[k]) for k in range(len(texts))}) == len(set(got.values())) == len(set(group))
+
+
+def test_rows_without_id_stay(spark):
+    """Distinct texts without an id all stay, and so do different texts of one id; copies still shrink to one."""
+    text = lambda k: " ".join(f"t{k}x{j}" for j in range(40))
+    rows = [(None, text(k)) for k in range(5)] + [(None, text(0)), (7, text(10)), (7, text(11)), (8, text(12)), (None, text(12)), (9, text(12)), (8, text(12)), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'a' AS one", "1 AS id")
+    want = sorted([(None, text(k)) for k in range(5)] + [(7, text(10)), (7, text(11)), (8, text(12))], key=str)
+    for f in (simhash.deduplicate, shingles.deduplicate):
+        got = f(df)
+        assert got.columns == df.columns
+        out = [(r["doc_id"], r["text"]) for r in got.collect()]
+        assert sorted([x for x in out if x[1]], key=str) == want and len(out) == len(want) + 1
+    assert shingles.deduplicate(df.where("false")).count() == 0
