@@ -19,6 +19,7 @@ SENTENCES = {
     "apache-header": "Licensed under the Apache License, Version 2.0 (the \"License\")",
     "apache-may-not": "you may not use this file except in compliance with the License",
     "apache-copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-copy-at": "You may obtain a copy of the License at",
     "apache-unless": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
     "gpl-notice-3": "This work is licensed under the GNU General Public License, version 3",
     "gpl-free": "This program is free software",
@@ -37,6 +38,7 @@ RULES = (
     ("MIT", ("mit-grant", "mit-condition", "mit-warranty")),
     ("Apache-2.0", ("apache-notice",)),
     ("Apache-2.0", ("apache-header", "apache-may-not", "apache-copy", "apache-unless")),
+    ("Apache-2.0", ("apache-header", "apache-may-not", "apache-copy-at", "apache-unless")),
     ("GPL-3.0", ("gpl-notice-3",)),
     ("GPL-2.0-or-later", ("gpl-free", "gpl-redistribute-2")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-redistribute-3")),
@@ -44,17 +46,13 @@ RULES = (
     ("CC-BY-4.0", ("cc-by-4",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-4",)),
 )
-#: Where a sentence ends: at a line feed pair or single line feed, or at . ! ? ; : before white space or the end.
-END = r"\n+|[.!?;:]+(?:[\x20\x09-\x0D]+|$)"
+#: Where a sentence ends for certain: at . ! ? ; : before white space or the end. It also ends at a blank line; at a single line feed it may end or go on.
+END = r"[.!?;:]+(?:[\x20\x09-\x0D]+|$)"
 NOISE = "[^a-z0-9.]+"
 
 
-def normal_form(sentence: Column) -> Column:
-    """Lower case; all but letters a to z, digits and points become single spaces."""
-    return F.trim(F.regexp_replace(F.lower(sentence), NOISE, " "))
-
-
 def _plain(sentence: str) -> str:
+    """Lower case; all but letters a to z, digits and points become single spaces."""
     import re
 
     return re.sub(NOISE, " ", sentence.lower()).strip()
@@ -65,12 +63,19 @@ def known_sentences(sentences: dict[str, str] = SENTENCES) -> dict[str, str]:
     return {_plain(text): name for name, text in sentences.items()}
 
 
+def _pattern(known: list[str]) -> str:
+    """Any of the sentences from a line's start to a line's end, over single line feeds; of several that start together the longest."""
+    each = ["[ \\n]".join(x.replace(".", r"\.") for x in s.split()) for s in sorted(known, key=len, reverse=True)]
+    return rf"(?<![^\n])(?:{'|'.join(each)})(?![^\n])"
+
+
 def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
-    """The identifiers of the known sentences of a text, in its order; licence texts that wrap lines need them joined first."""
+    """The identifiers of the known sentences of a text, in its order; lines may wrap inside of them, with comment signs before each."""
     known = known_sentences(sentences)
-    split = F.transform(F.split(F.coalesce(text.cast("string"), F.lit("")), END), normal_form)
+    ended = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), END, "\n\n")
+    lines = F.regexp_replace(F.regexp_replace(ended, r"[^a-z0-9.\n]+", " "), " ?\n ?", "\n")
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    return F.transform(F.filter(split, lambda s: s.isin(list(known))), lambda s: F.element_at(table, s))
+    return F.transform(F.regexp_extract_all(F.trim(lines), F.lit(_pattern(list(known))), F.lit(0)), lambda s: F.element_at(table, F.translate(s, "\n", " ")))
 
 
 def _holds(ids: Column, rule: tuple[str, ...]) -> Column:
