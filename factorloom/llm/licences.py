@@ -30,6 +30,28 @@ SENTENCES = {
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "cc-by-4": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "cc-by-sa-4": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "gpl-notice-2": "This work is licensed under the GNU General Public License, version 2",
+    "gpl-short-2": "Licensed under the GNU General Public License, version 2",
+    "gpl-short-3": "Licensed under the GNU General Public License, version 3",
+    "gpl-only": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "gpl-version-2": "version 2 of the License",
+    "lgpl-free": "This library is free software",
+    "lgpl-redistribute-21": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version",
+    "lgpl-redistribute-3": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "lgpl-short-21": "Licensed under the GNU Lesser General Public License, version 2.1",
+    "lgpl-short-3": "Licensed under the GNU Lesser General Public License, version 3",
+    "agpl-redistribute-3": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl-short-3": "Licensed under the GNU Affero General Public License, version 3",
+    "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-short-2": "Licensed under the BSD 2-Clause License",
+    "bsd-short-3": "Licensed under the BSD 3-Clause License",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-grant-and": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-short": "Licensed under the ISC License",
+    "mpl-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
+    "mpl-copy-s": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    "mpl-short": "Licensed under the Mozilla Public License, Version 2.0",
 }
 #: A licence is found if the identifiers of one of its rules occur in this order; others may stand between them.
 RULES = (
@@ -45,7 +67,36 @@ RULES = (
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("CC-BY-4.0", ("cc-by-4",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-4",)),
+    ("GPL-2.0", ("gpl-notice-2",)),
+    ("GPL-2.0", ("gpl-short-2",)),
+    ("GPL-2.0", ("gpl-free", "gpl-only", "gpl-version-2")),
+    ("GPL-3.0", ("gpl-short-3",)),
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl-redistribute-21")),
+    ("LGPL-3.0-or-later", ("lgpl-free", "lgpl-redistribute-3")),
+    ("LGPL-3.0-or-later", ("gpl-free", "lgpl-redistribute-3")),
+    ("LGPL-2.1", ("lgpl-short-21",)),
+    ("LGPL-3.0", ("lgpl-short-3",)),
+    ("AGPL-3.0-or-later", ("gpl-free", "agpl-redistribute-3")),
+    ("AGPL-3.0", ("agpl-short-3",)),
+    ("BSD-2-Clause", ("bsd-short-2",)),
+    ("BSD-3-Clause", ("bsd-short-3",)),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
+    ("ISC", ("isc-short",)),
+    ("ISC", ("isc-grant",)),
+    ("ISC", ("isc-grant-and",)),
+    ("MPL-2.0", ("mpl-short",)),
+    ("MPL-2.0", ("mpl-header", "mpl-copy")),
+    ("MPL-2.0", ("mpl-header", "mpl-copy-s")),
 )
+#: The Creative Commons licences: the code, and the name in the long notices.
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+for _code, _name in _CC.items():
+    for _no, _port in (("4.0", "International"), ("3.0", "Unported")):
+        for _kind, _text in {"short": f"Licensed under CC {_code} {_no}", "work": f"This work is licensed under CC {_code} {_no}", "long": f"This work is licensed under a Creative Commons {_name} {_no} {_port} License"}.items():
+            _id = f"cc-{_code.lower()}-{_no[0]}-{_kind}"
+            if _text not in SENTENCES.values():
+                SENTENCES[_id] = _text
+                RULES = (*RULES, (f"CC-{_code}-{_no}", (_id,)))
 #: Where a sentence ends for certain: at . ! ? ; : before white space or the end. It also ends at a blank line; at a single line feed it may end or go on.
 END = r"[.!?;:]+(?:[\x20\x09-\x0D]+|$)"
 NOISE = "[^a-z0-9.]+"

@@ -33,3 +33,19 @@ def test_wrapped_texts(spark, sign):
 def test_sentences_end_at_blank_lines_and_start_at_lines(spark):
     texts = ["Released under\nthe MIT License", "Released under\n\nthe MIT License", "It is released under the MIT License", "Copyright me\nReleased under\n  the MIT License\nand more", "a\x01Released under the MIT License\x01", "Released under the MIT License\nReleased under the MIT License. released under the mit license"]
     assert [len(r["sentence_ids"]) for r in found(spark, texts)] == [1, 0, 0, 1, 0, 3]
+
+
+def test_every_licence_line_of_the_documents(spark, documents):
+    """Each line that says under what a text is licensed or released is recognised."""
+    said = documents.selectExpr("explode(split(text, '\n')) AS text").where("text rlike '(?i)(licensed|released) under'").distinct().selectExpr("text", "1 AS doc_id")
+    rows = licences.scan(said).collect()
+    assert rows and all(r["licence"]["licences"] for r in rows), rows
+
+
+def test_more_licences(spark):
+    texts = {
+        "Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0"], "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": ["CC-BY-NC-ND-4.0"], "This work is licensed under CC BY-SA 3.0": ["CC-BY-SA-3.0"],
+        BSD.replace("\n\nTHIS", f"\n3. {S['bsd-names']}.\n\nTHIS"): ["BSD-2-Clause", "BSD-3-Clause"], f"{S['isc-grant']}.": ["ISC"], f"{S['mpl-header']}. 2.0. {S['mpl-copy-s']}.": ["MPL-2.0"], f"{S['lgpl-free']}; {S['lgpl-redistribute-21']}.": ["LGPL-2.1-or-later"],
+        f"{S['gpl-free']}: {S['agpl-redistribute-3']}.": ["AGPL-3.0-or-later"], f"{S['gpl-free']}; {S['gpl-only']}; {S['gpl-version-2']}.": ["GPL-2.0"], "Licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0"],
+    }
+    assert [r["licences"] for r in found(spark, [wrapped(t, 60, "# ") for t in texts])] == list(texts.values())
