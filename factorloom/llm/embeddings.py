@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import components, cut
@@ -24,8 +24,10 @@ from factorloom.llm.simhash import Forest, blocks, pairs_in_groups, whole_groups
 BITS = 64
 #: Vectors that the rotation is learnt from, at most.
 SAMPLE = 20_000
-#: Differing bits of a candidate pair at most; at a cosine of 0.93, 7.7 are to be expected, with a deviation of 2.6.
+#: Differing bits that tables cover where no radius is learnt; of centred vectors at a cosine of 0.93, 7.7 are to be expected, with a deviation of 2.6.
 RADIUS = 11
+#: The part of the pairs at the least cosine whose codes may differ in more bits than the learnt radius.
+MISS = 0.001
 _PAIRS = 1 << 15
 
 
@@ -50,6 +52,32 @@ def codes(vectors: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.n
     return np.packbits(wide, axis=1, bitorder="little").view("<i8").ravel()
 
 
+def learnt_radius(sample: np.ndarray, mean: np.ndarray, projection: np.ndarray, least: float, seed: int = 5) -> int:
+    """The distance that the codes of all but MISS of the pairs at the least cosine stay within.
+
+    Pairs are planted at exactly that cosine beside vectors of the sample, once in any direction and once in the direction
+    of another vector of it; the sample's own pairs count as well. The largest of the three distances is taken.
+    """
+    rng = np.random.default_rng(seed)
+    at = rng.integers(0, len(sample), 20_000)
+    own = sample[at]
+    own_codes, most = codes(own, mean, projection).view(np.uint64), 0
+    for toward in (rng.normal(size=own.shape), sample[rng.integers(0, len(sample), len(at))] - own):
+        away = toward - (toward * own).sum(axis=1)[:, None] * own
+        size = np.linalg.norm(away, axis=1)
+        fine = size > 1e-9
+        if fine.any():
+            pair = least * own[fine] + math.sqrt(max(0.0, 1 - least * least)) * away[fine] / size[fine, None]
+            apart = np.bitwise_count(own_codes[fine] ^ codes(pair, mean, projection).view(np.uint64))
+            most = max(most, int(np.quantile(apart, 1 - MISS, method="higher")))
+    some = sample[:4000]
+    i, j = np.nonzero(np.triu(some @ some.T >= least, 1))
+    if len(i):
+        known = codes(some, mean, projection).view(np.uint64)
+        most = max(most, int(np.quantile(np.bitwise_count(known[i] ^ known[j]), 1 - MISS, method="higher")))
+    return most
+
+
 def tables(rows: float, radius: int = RADIUS, bits: int = BITS) -> list[tuple[list[int], int]]:
     """Substrings of nearly equal length and their radii, as many as make probes plus candidates fewest for so many rows in a class."""
     best = None
@@ -63,6 +91,13 @@ def tables(rows: float, radius: int = RADIUS, bits: int = BITS) -> list[tuple[li
     return best[1]
 
 
+def plan_of(rows: float, radius: int) -> list[tuple[list[int], int]]:
+    """The tables, or one bucket for all of a label where tables would cost more."""
+    plan = tables(rows, radius)
+    cost = sum(sum(math.comb(len(p), d) for d in range(r + 1)) * (4 + rows / 2 ** len(p)) for p, r in plan)
+    return plan if cost < 4 + rows else [([], 0)]
+
+
 def _mask(bits: list[int]) -> int:
     m = sum(1 << b for b in bits)
     return m - (1 << 64) if m >= 1 << 63 else m
@@ -84,7 +119,7 @@ def _blocked(nodes: DataFrame, plan: list[tuple[list[int], int]], carried: list[
     return out.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "side", "probe", "node", "code", *carried)
 
 
-def _candidates(f: pd.DataFrame, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _candidates(f: pd.DataFrame, group: np.ndarray, radius: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     code, side, probe, node = f["code"].to_numpy(dtype=np.int64).view(np.uint64), f["side"].to_numpy(), f["probe"].to_numpy(), f["node"].to_numpy()
     for i, j in pairs_in_groups(group, side, _PAIRS):
         near = (probe[i] + probe[j] < 2) & (np.bitwise_count(code[i] ^ code[j]) <= radius) & (node[i] != node[j])
@@ -95,7 +130,7 @@ def _candidates(f: pd.DataFrame, group: np.ndarray, radius: int) -> Iterator[tup
 def links(nodes: DataFrame, least: float, radius: int = RADIUS, block: int = 2048) -> DataFrame:
     """Of nodes (label, node, code, n, vector): rows (node, other, links) that add up to each node's links, weighted by n, and join what is linked."""
     size = nodes.groupBy("label").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).head()[0] or 1.0
-    first = tables(size, radius)
+    first = plan_of(size, radius)
 
     def with_candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f, group in whole_groups(batches, [*_KEYS, "lo", "hi"]):
@@ -108,16 +143,19 @@ def links(nodes: DataFrame, least: float, radius: int = RADIUS, block: int = 204
     some = _blocked(nodes, first, [], block).mapInPandas(with_candidates, "node long").distinct()
     nodes = cut(nodes.join(some, "node", "left_semi"))
     size = nodes.groupBy("label").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).head()[0] or 1.0
-    plan = tables(size, radius)
+    plan = plan_of(size, radius)
     masks = [np.uint64(_mask(bits) % (1 << 64)) for bits, _ in plan]
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f, group in whole_groups(batches, [*_KEYS, "lo", "hi"]):
             code, part, probe, n = f["code"].to_numpy(dtype=np.int64).view(np.uint64), f["part"].to_numpy(), f["probe"].to_numpy(), f["n"].to_numpy()
-            unit = np.stack(f["vector"].to_numpy()).astype(np.float64)
+            length = f["vector"].map(len).to_numpy()
+            unit = np.zeros((len(f), length.max()))  # lengths differ between labels only; zeros change no cosine
+            for size in np.unique(length):
+                unit[length == size, :size] = np.stack(f["vector"][length == size].to_numpy())
             unit /= np.linalg.norm(unit, axis=1)[:, None]
             forest, count = Forest(len(f)), np.zeros(len(f), dtype=np.int64)
-            for i, j in _candidates(f, group, radius):
+            for i, j in _candidates(f, group):  # of all that have met, the cosine decides
                 near = np.einsum("ij,ij->i", unit[i], unit[j]) >= least
                 for t, (mask, (_, r)) in enumerate(zip(masks, plan, strict=True)):
                     near &= (part[i] <= t) | (np.bitwise_count((code[i] ^ code[j]) & mask) > r)  # not met in an earlier table
@@ -133,40 +171,48 @@ def links(nodes: DataFrame, least: float, radius: int = RADIUS, block: int = 204
     return _blocked(nodes, plan, ["n", "vector"], block).mapInPandas(verify, "node long, other long, links long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, radius: int = RADIUS, sample: int = SAMPLE) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, radius: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """Per row of df: the id, n_links (other rows linked directly), component_id (the smallest id that links reach) and kept.
 
     Rows link if their labels are equal and not null and the cosine of their vectors, in double precision, is least or more.
     Equal vectors of a label are one node with their number, so copies never make pairs. Vectors that are null, zero, or hold
-    null or non-finite numbers link with nothing, nor do those whose length is not that of most of the sample. Rows without
-    an id count as links, but name no component; kept is then whether the component has no id. Pairs further apart in
-    their codes than the radius are missed; tests measure the recall against brute force.
+    null or non-finite numbers link with nothing, nor do vectors of different lengths; each length has
+    its own rotation and radius, learnt from a sample. Rows without an id count as links, but name no component; kept is
+    then whether the component has no id. The radius leaves out MISS of the pairs at the least cosine, as far as the
+    sample tells, and fewer above; tests measure the recall against brute force.
     """
     v = F.col(f"`{vector_col}`").cast("array<double>")
     fine = F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vector", lambda x: x != 0)
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label"), v.alias("vector"))
     valid = rows.where("label is not null").where(fine)
     groups = cut(valid.groupBy("label", "vector").agg(F.count("*").alias("n"), F.min("id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
-    drawn = groups.select("vector", F.xxhash64("vector").alias("h")).orderBy("h").limit(sample).select("vector").toPandas()["vector"]
-    lengths = drawn.map(len)
-    length = int(lengths.mode().iloc[0]) if len(drawn) else 1
-    known = np.stack([x for x in drawn if len(x) == length]) if len(drawn) else np.zeros((1, 1))
-    known = known / np.abs(known).max(axis=1).clip(1e-300)[:, None]
-    known = known / np.linalg.norm(known, axis=1).clip(1e-300)[:, None]
-    mean, projection = learn(known)
+    lengths = [r[0] for r in groups.select(F.size("vector").alias("length")).distinct().orderBy("length").collect()]
+    each = max(sample // max(len(lengths), 1), 256)
+    own = Window.partitionBy(F.size("vector")).orderBy("h")
+    drawn = groups.select("vector", F.xxhash64("vector").alias("h")).withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= each).select("vector").toPandas()["vector"]
+    learnt, radii = {}, {}
+    for length in lengths:
+        known = np.stack([x for x in drawn if len(x) == length])
+        known = known / np.abs(known).max(axis=1)[:, None]
+        known = known / np.linalg.norm(known, axis=1)[:, None]
+        learnt[length] = learn(known)
+        radii[length] = learnt_radius(known, *learnt[length], least) if radius is None else radius
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                x = np.stack(b["vector"].to_numpy())
+            for length, f in b.groupby(b["vector"].map(len)):
+                x = np.stack(f["vector"].to_numpy())
                 x = x / np.abs(x).max(axis=1)[:, None]  # so that squares neither overflow nor vanish
-                b["code"] = codes(x / np.linalg.norm(x, axis=1)[:, None], mean, projection)
-                b["vector"] = list(x)
-                yield b[["label", "node", "n", "vector", "code"]]
-
-    kind = dict(groups.dtypes)["label"]
-    coded = cut(groups.where(F.size("vector") == length).select("label", "node", "n", "vector").mapInPandas(encode, f"label {kind}, node long, n long, vector array<double>, code long"))
-    found = cut(links(coded, least, radius))
+                f = f.assign(code=codes(x / np.linalg.norm(x, axis=1)[:, None], *learnt[length]), vector=list(x))
+                yield f[["label", "node", "n", "vector", "code"]]
+
+    label = F.concat_ws(":", F.size("vector").cast("string"), F.col("label").cast("string")).alias("label")
+    coded = cut(groups.select(label, "node", "n", "vector").mapInPandas(encode, "label string, node long, n long, vector array<double>, code long"))
+    found = None
+    for r in sorted(set(radii.values())) or [RADIUS]:
+        some = links(coded.where(F.size("vector").isin([k for k, x in radii.items() if x == r])), least, r)
+        found = some if found is None else found.union(some)
+    found = cut(found)
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     reach = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     nodes = groups.join(counts, "node", "left").join(reach, "node", "left").withColumn("component", F.coalesce("component", "node"))
