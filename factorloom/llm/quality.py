@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from factorloom.llm.common import free_name, settled, words
 
+#: The languages of the lists, as a language column names them.
+LANGUAGES = ("en", "de", "fr", "es")
 #: Frequent short words of English, German, French and Spanish.
 STOP_WORDS = (
     "the of and to in is that it for on was with as be by are this from at or an a",
@@ -35,7 +37,6 @@ class Rule:
 RULES = (
     Rule("n_words", least=20),
     Rule("repeat_share", most=0.30),
-    Rule("n_words", most=1_000_000),
     Rule("mean_word_chars", least=2.0, most=15.0),
     Rule("symbol_share", most=0.10),
     Rule("stop_word_share", least=0.02),
@@ -66,10 +67,11 @@ def _of_equal_neighbours(pairs: Column) -> Column:
     return F.filter(hits, lambda at: at.isNotNull())
 
 
-def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds the measures of each text as one struct column, whose name measures_column(df) tells.
+def measure(df: DataFrame, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+    """Adds the measures of each text as one struct column, whose name measures_column(df) tells; filters on it are safe, because they don't repeat its definition.
 
-    Null and empty texts have no words and all measures zero; shares without a denominator are zero. Very long texts are
+    Null and empty texts have no words and all measures zero; shares without a denominator are zero. Where lang_col names a
+    language without a list of stop words, their share is 1; a null language is judged by all lists. Very long texts are
     measured whole: windows meet in a sorted array of hashes, about 100 bytes for each word of one text at a time. Other
     columns pass through, and no name of theirs can clash, because work columns take free names.
     """
@@ -93,6 +95,7 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
     out = put(out, "starts", F.when(c["texts"].isNotNull(), F.sort_array(_of_equal_neighbours(c["texts"]))))
     gaps = F.zip_with(c["starts"], F.slice(c["starts"], 2, F.size(c["starts"])), lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
     repeated = F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0).cast("long"))
+    unlisted = ~F.lower(F.col(f"`{lang_col}`")).isin(*LANGUAGES) if lang_col else F.lit(False)
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     n_words, n_lines, chars = _size(c["words"]), _size(c["lines"]), F.length(F.array_join(c["words"], "")).cast("long")
     n_symbols = F.regexp_count(c["text"], F.lit("[#*$%&|<>]")).cast("long")
@@ -105,10 +108,10 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
     measures = {
         "n_words": n_words, "word_chars": chars, "n_symbols": n_symbols, "n_dup_lines": dup_lines, "n_repeat_words": repeated,
         "repeat_share": share(repeated, n_words), "mean_word_chars": share(chars, n_words), "symbol_share": share(n_symbols, chars),
-        "stop_word_share": share(stop_words, n_words), "dup_line_share": share(dup_lines, n_lines), "bar_line_share": share(bars, n_lines),
+        "stop_word_share": F.when(unlisted, F.lit(1.0)).otherwise(share(stop_words, n_words)), "dup_line_share": share(dup_lines, n_lines), "bar_line_share": share(bars, n_lines),
         "ellipsis_line_share": share(dots, n_lines), "alpha_share": share(letters, chars), "shout_share": share(shouts, n_words),
     }
-    out = put(out, "measures", F.struct(*[v.alias(k) for k, v in measures.items()]))
+    out = put(out, "measures", F.when(settled(F.lit(True)), F.struct(*[v.alias(k) for k, v in measures.items()])))
     return out.drop(*[v for k, v in names.items() if k != "measures"])
 
 
@@ -131,15 +134,18 @@ def verdict(measures: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return out
 
 
-def keep(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def _lang(df: DataFrame, lang_col: str) -> str | None:
+    return lang_col if lang_col in df.columns else None
+
+
+def keep(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, lang_col: str = "lang") -> DataFrame:
     """The rows whose text passes every rule, with the columns of df. Null and empty texts go; repeated rows stay together or go together."""
-    name, kept = measures_column(df), free_name(df, "quality_kept")
-    return measure(df, text_col).withColumn(kept, settled(verdict(F.col(name), rules))).where(kept).select(*[F.col(f"`{c}`") for c in df.columns])
+    return measure(df, text_col, _lang(df, lang_col)).where(verdict(F.col(measures_column(df)), rules)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, lang_col: str = "lang") -> DataFrame:
     """One row per input row: the id, the measures, base_failed and kept."""
-    name = measures_column(df)
-    m = F.col(name)
-    out = measure(df.select(id_col, text_col), text_col)
+    slim = df.select(*dict.fromkeys([id_col, text_col, *([lang_col] if _lang(df, lang_col) else [])]))
+    m = F.col(measures_column(slim))
+    out = measure(slim, text_col, _lang(df, lang_col))
     return out.select(id_col, *[m[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], (~verdict(m, BASE_RULES)).alias("base_failed"), (verdict(m, BASE_RULES) & verdict(m, rules)).alias("kept"))

@@ -106,23 +106,23 @@ FROM o JOIN b USING (none, src)
 _STOPS = ", ".join("'" + w + "'" for w in quality._stop_words())
 _MOST = {(r.measure, "most"): r.most for r in quality.RULES} | {(r.measure, "least"): r.least for r in quality.RULES if r.least is not None}
 _OP8 = rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, {_WORDS} AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lower(lang) NOT IN ('en', 'de', 'fr', 'es'), false) AS unlisted FROM documents),
+w AS (SELECT doc_id, text, unlisted, {_WORDS} AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 windows AS (SELECT doc_id, i, array_to_string(w[i:i+7], ' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS i FROM w)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM windows) WHERE n > 1),
 rep AS (SELECT doc_id, sum(least(8, coalesce(after - i, 8)))::BIGINT AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM twice) GROUP BY doc_id),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(l) AS lines, len(list_filter(w, lambda x: x IN ({_STOPS}))) AS stops,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(l) AS lines, len(list_filter(w, lambda x: x IN ({_STOPS}))) AS stops, unlisted,
   length(regexp_replace(text, '\P{{L}}+', '', 'g')) AS letters, len(list_filter(l, lambda x: regexp_matches(x, '\|[^|]*\|[^|]*\|'))) AS bars,
   len(list_filter(l, lambda x: rtrim(x, ' ') LIKE '%...' OR rtrim(x, ' ') LIKE '%…')) AS dots, len(regexp_extract_all(text, '[!?]')) AS shouts
   FROM w LEFT JOIN rep USING (doc_id)),
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_chars, CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END AS symbols,
-  CASE WHEN n_words > 0 THEN stops / n_words ELSE 0 END AS stop_share, CASE WHEN lines > 0 THEN n_dup_lines / lines ELSE 0 END AS dup_share,
+  CASE WHEN unlisted THEN 1 WHEN n_words > 0 THEN stops / n_words ELSE 0 END AS stop_share, CASE WHEN lines > 0 THEN n_dup_lines / lines ELSE 0 END AS dup_share,
   CASE WHEN lines > 0 THEN bars / lines ELSE 0 END AS bar_share, CASE WHEN lines > 0 THEN dots / lines ELSE 0 END AS dot_share,
   CASE WHEN word_chars > 0 THEN letters / word_chars ELSE 0 END AS letter_share, CASE WHEN n_words > 0 THEN shouts / n_words ELSE 0 END AS shout_share FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND n_words <= 1000000 AND mean_chars BETWEEN {_MOST["mean_word_chars", "least"]} AND {_MOST["mean_word_chars", "most"]} AND symbols <= {_MOST["symbol_share", "most"]}
+  NOT base_failed AND mean_chars BETWEEN {_MOST["mean_word_chars", "least"]} AND {_MOST["mean_word_chars", "most"]} AND symbols <= {_MOST["symbol_share", "most"]}
   AND stop_share >= {_MOST["stop_word_share", "least"]} AND dup_share <= {_MOST["dup_line_share", "most"]} AND bar_share <= {_MOST["bar_line_share", "most"]}
   AND dot_share <= {_MOST["ellipsis_line_share", "most"]} AND letter_share >= {_MOST["alpha_share", "least"]} AND shout_share <= {_MOST["shout_share", "most"]} AS kept
 FROM v
