@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import cut, free_name, settled
+from factorloom.llm.common import cut, free_name
 
 #: Fixed values. Strong kinds: pattern, the group whose length counts, its least length.
 STRONG = {
@@ -25,6 +25,7 @@ KINDS = (*STRONG, *WEAK)
 REACH = 200
 _SPAN = "array<struct<start:int,no:int,end:int>>"
 _BLOCK = 256
+_TEXT_BLOCK = 4096
 
 
 def _prefix_sums(df: DataFrame, column: str) -> DataFrame:
@@ -73,38 +74,41 @@ def _role(no: Column) -> Column:
 
 
 def link(parts: DataFrame, reach: int = REACH) -> DataFrame:
-    """Of rows (scope, start, no, end), the weak ones within reach of a part that complements them, in the same scope.
+    """Of rows (scope, start, no, end), the weak ones with a part beside them that complements them: in the same scope, at most reach away, and not overlapping, so that nothing complements itself.
 
-    An interval join on buckets of 2 * reach characters. Each part enters the buckets it touches, and a bucket keeps only
-    the first start and last end of each role; a weak part's reach, at least a bucket long, meets one edge of every bucket
-    it touches, so these two decide exactly. No bucket gives more than a row for each weak part and role.
+    An interval join on buckets of reach characters. A part lends its end to what follows and its start to what comes
+    before. A weak part asks for an end from reach before its start to its start, and for a start from its end to reach
+    after it; such a range meets at most two buckets, one from below and one from above, so a bucket's least and greatest
+    position of each role decide exactly. No bucket gives more than a row for each weak part, role and side.
     """
-    width = 2 * reach
-    touched = lambda a, b: F.explode(F.sequence(F.floor(a / width).cast("int"), F.floor(b / width).cast("int")))
-    each = parts.select("scope", "start", "end", "no", _role(F.col("no")).alias("role"), touched(F.col("start"), F.greatest("start", F.col("end") - 1)).alias("bucket"))
-    first, last = F.greatest(F.col("start"), F.col("bucket") * width), F.least(F.col("end"), (F.col("bucket") + 1) * width)
-    edges = each.groupBy("scope", "bucket", "role").agg(F.min(first).alias("first"), F.max(last).alias("last"))
+    in_bucket = lambda x: F.floor(x / reach).cast("int")
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("end").alias("at")), F.struct(F.lit(1).alias("side"), F.col("start").alias("at")))).alias("lent")
+    lent = parts.select("scope", _role(F.col("no")).alias("role"), sides).select("scope", "role", "lent.side", "lent.at", in_bucket(F.col("lent.at")).alias("bucket"))
+    edges = lent.groupBy("scope", "bucket", "role", "side").agg(F.min("at").alias("least"), F.max("at").alias("most"))
     needs = F.array(*[F.struct(F.lit(KINDS.index(k)).alias("no"), F.lit(r).alias("role")) for k, (_, roles) in WEAK.items() for r in roles])
-    weak = parts.where(F.col("no") >= len(STRONG)).select("scope", "start", "end", "no", F.explode(needs).alias("need")).where("need.no = no")
-    near, far = F.greatest(F.col("start") - reach, F.lit(0)), F.col("end") + reach
-    weak = weak.select("scope", "start", "end", "no", F.col("need.role").alias("role"), near.alias("near"), far.alias("far"), touched(near, far).alias("bucket"))
-    met = (F.when(F.col("near") <= F.col("bucket") * width, F.col("first") <= F.col("far")).otherwise(F.col("last") >= F.col("near")))
-    return weak.join(edges, ["scope", "bucket", "role"]).where(met).select("scope", "start", "no", "end").distinct()
+    weak = parts.where(F.col("no") >= len(STRONG)).select("scope", "start", "no", "end", F.explode(needs).alias("need")).where("need.no = no")
+    before = F.struct(F.lit(0).alias("side"), F.greatest(F.col("start") - reach, F.lit(0)).alias("low"), F.col("start").alias("high"))
+    after = F.struct(F.lit(1).alias("side"), F.col("end").alias("low"), (F.col("end") + reach).alias("high"))
+    asked = weak.select("scope", "start", "no", "end", F.col("need.role").alias("role"), F.explode(F.array(before, after)).alias("r")).select("scope", "start", "no", "end", "role", "r.*")
+    asked = asked.withColumn("bucket", F.explode(F.array_distinct(F.array(in_bucket(F.col("low")), in_bucket(F.col("high"))))))
+    from_low, to_high = F.col("bucket") == in_bucket(F.col("low")), F.col("bucket") == in_bucket(F.col("high"))
+    met = F.when(from_low & ~to_high, F.col("most") >= F.col("low")).otherwise(F.col("least") <= F.col("high"))  # where both ends meet one bucket, low is 0
+    return asked.join(edges, ["scope", "bucket", "role", "side"]).where(met).select("scope", "start", "no", "end").distinct()
 
 
-def scan(df: DataFrame, text_col: str = "text", reach: int = REACH) -> DataFrame:
+def scan(df: DataFrame, text_col: str = "text", reach: int = REACH, keep_text: bool = True) -> DataFrame:
     """Adds spans_columns(df): the strong spans, and all spans, as sorted arrays of (start, no, end) in code points.
 
-    Documents without weak parts are done in their row. The others, which are few, are written once with a scope number,
-    and their parts are linked. Null and empty texts have no spans; repeated rows are scopes of their own; names of other
-    columns cannot clash, because work columns take free names.
+    Spans are found once and the rows written with them, without the text where keep_text is false. Documents without weak
+    parts are done in their row; the parts of the others, which are few, are linked. Null and empty texts have no spans;
+    repeated rows are scopes of their own; names of other columns cannot clash, because work columns take free names.
     """
     base, every = spans_columns(df)
-    weak, scope, any_weak = free_name(df, "secret_weak"), free_name(df, "secret_scope"), free_name(df, "secret_any")
+    weak, scope = free_name(df, "secret_weak"), free_name(df, "secret_scope")
     found = _found(df, text_col, base, weak)
-    found = found.withColumn(any_weak, settled(F.size(weak) > 0))
-    done = found.where(~F.col(any_weak)).withColumn(every, F.col(base)).drop(weak, any_weak)
-    open_ = cut(found.where(any_weak).drop(any_weak).withColumn(scope, F.monotonically_increasing_id()))
+    found = cut((found if keep_text else found.drop(text_col)).withColumn(scope, F.monotonically_increasing_id()))
+    done = found.where(F.size(weak) == 0).withColumn(every, F.col(base)).drop(weak, scope)
+    open_ = found.where(F.size(weak) > 0)
     parts = open_.select(F.col(scope).alias("scope"), F.explode(F.concat(base, weak)).alias("p")).select("scope", "p.*")
     linked = link(parts, reach).groupBy(F.col("scope").alias(scope)).agg(F.collect_list(F.struct("start", "no", "end")).alias(weak))
     more = F.coalesce(F.col(weak), F.array().cast(_SPAN))
@@ -122,12 +126,29 @@ def told(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["no"]), s["start"], s["end"])), ",")
 
 
+def _redacted(text: Column, spans: Column, mark: str) -> Column:
+    """Block by block of the text, so that work stays near the text's length: a block takes the spans that touch it, and the mark where one starts."""
+    cut_at = lambda b: b * _TEXT_BLOCK
+
+    def of_block(block: Column, b: Column) -> Column:
+        own = F.filter(spans, lambda s: (s["start"] < cut_at(b + 1)) & (s["end"] > cut_at(b)))
+        begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+        def step(s: Column, x: Column) -> Column:
+            start, end = x["start"] - cut_at(b), F.least(x["end"] - cut_at(b), F.lit(_TEXT_BLOCK))
+            told = F.when((start >= 0) & (start >= s["at"]), F.concat(s["out"], F.substring(block, s["at"] + 1, start - s["at"]), F.lit(mark))).otherwise(s["out"])
+            return F.struct(F.greatest(s["at"], end).alias("at"), told.alias("out"))
+
+        return F.when(F.size(own) > 0, F.aggregate(own, begin, step, lambda s: F.concat(s["out"], F.substring(block, s["at"] + 1, F.length(block))))).otherwise(block)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_TEXT_BLOCK}}}"), F.lit(0)), of_block), "")
+
+
 def redact(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", mark: str = "[secret]", reach: int = REACH) -> DataFrame:
-    """df with every span of its texts replaced by a mark; overlapping spans share one. Texts without spans stay as they are."""
+    """df with every span of its texts replaced by a mark; overlapping spans share one. Texts without spans, null and empty ones too, stay as they are; repeated rows stay repeated; very long texts are done in blocks; the columns are those of df, whatever their names."""
     _, every = spans_columns(df)
-    text, start = F.col(f"`{text_col}`"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    grown = F.aggregate(F.col(every), start, lambda s, x: F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).otherwise(s["out"]).alias("out")), lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    out = scan(df, text_col, reach).withColumn(text_col, F.when(F.size(every) > 0, grown).otherwise(text))
+    text = F.col(f"`{text_col}`")
+    out = scan(df, text_col, reach).withColumn(text_col, F.when(F.size(every) > 0, _redacted(text.cast("string"), F.col(every), mark)).otherwise(text))
     if chars_col and chars_col in df.columns:
         out = out.withColumn(chars_col, F.when(F.size(every) > 0, F.length(text).cast(dict(df.dtypes)[chars_col])).otherwise(F.col(chars_col)))
     return out.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import components, cut
+from factorloom.llm.common import components, cut, each_salt, salt, salts
 from factorloom.llm.simhash import Forest, blocks, pairs_in_groups, whole_groups
 
 BITS = 64
@@ -185,7 +185,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     fine = F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vector", lambda x: x != 0)
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label"), v.alias("vector"))
     valid = rows.where("label is not null").where(fine)
-    groups = cut(valid.groupBy("label", "vector").agg(F.count("*").alias("n"), F.min("id").alias("first")).withColumn("node", F.monotonically_increasing_id()))
+    groups = cut(valid.groupBy("label", "vector").agg(F.count("*").alias("n"), F.min("id").alias("first"), salts("id").alias("bits")).withColumn("node", F.monotonically_increasing_id()))
     lengths = [r[0] for r in groups.select(F.size("vector").alias("length")).distinct().orderBy("length").collect()]
     each = max(sample // max(len(lengths), 1), 256)
     own = Window.partitionBy(F.size("vector")).orderBy("h")
@@ -217,7 +217,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     reach = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     nodes = groups.join(counts, "node", "left").join(reach, "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
-    nodes = nodes.join(firsts, "component").select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    linked = valid.join(nodes, ["label", "vector"]).select("id", "n_links", "component_id")
+    nodes = nodes.join(firsts, "component").select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id", each_salt("bits").alias("part"))
+    linked = valid.withColumn("part", salt("id")).join(nodes, ["label", "vector", "part"]).select("id", "n_links", "component_id")
     rest = rows.where(F.col("label").isNull() | ~F.coalesce(fine, F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(rest).select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from factorloom.llm.common import components, cut, free_name
+from factorloom.llm.common import beside, components, cut, each_salt, free_name, salt, salts
 
 BITS = 64
 #: Members of one block of a bucket.
@@ -164,9 +164,8 @@ def probes(fps: DataFrame, column: str, parts: list[list[int]], limits: list[int
 
 def blocks(rows: DataFrame, keys: list[str], value: str, block: int = BLOCK) -> DataFrame:
     """Of rows in buckets named by keys: drops buckets of one row, cuts large ones into blocks by a hash of value, and gives each row once for each pair of blocks that it belongs to (columns lo and hi; side 0 or 1, 2 where both are one block)."""
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("in_bucket")).where("in_bucket > 1")
     n = F.ceil(F.col("in_bucket") / block).cast("int")
-    out = rows.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64(value, F.lit(1)), n).cast("int"))
+    out = beside(rows, keys, value, "in_bucket > 1", in_bucket=F.count("*")).withColumn("own", F.pmod(F.xxhash64(value, F.lit(1)), n).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     side = F.when(F.col("own") == F.col("other"), F.lit(2)).when(F.col("own") < F.col("other"), F.lit(0)).otherwise(F.lit(1))
     return out.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": side}).drop("own", "other", "in_bucket")
@@ -270,11 +269,12 @@ def _grouped(rows: DataFrame, text_col: str, shingle: int, distance: int) -> Dat
     """rows (id, text_col and others) with fp, component (of fingerprints) and component_id in place of the text."""
     print_ = fingerprint_column(rows)
     rows = cut(fingerprints(rows, text_col, shingle).withColumnRenamed(print_, "fp").drop(text_col))
-    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
+    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("first"), salts("id").alias("bits")))
     found = components(links(nodes, "fp", distance)).select(F.col("node").alias("fp"), "component")
     nodes = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     firsts = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
-    return rows.join(nodes.join(firsts, "component").select("fp", "component", "component_id"), "fp")
+    known = nodes.join(firsts, "component").select("fp", "component", "component_id", each_salt("bits").alias("part"))  # copies meet their node in several tasks
+    return rows.withColumn("part", salt("id")).join(known, ["fp", "part"]).drop("part")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:

@@ -1,6 +1,7 @@
 """Quality rules, secret scans, licence scans and mixing against plain Python."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -62,7 +63,7 @@ def weak_linked(text, reach):
     out = set()
     for p in parts:
         kind = credentials.KINDS[p[1]]
-        if kind in credentials.WEAK and any(role(q) in credentials.WEAK[kind][1] and q[0] <= p[2] + reach and q[2] >= max(p[0] - reach, 0) for q in parts):
+        if kind in credentials.WEAK and any(role(q) in credentials.WEAK[kind][1] and (p[0] - reach <= q[2] <= p[0] or p[2] <= q[0] <= p[2] + reach) for q in parts):
             out.add(p)
     return out
 
@@ -80,6 +81,29 @@ def test_weak_parts_need_their_complements(spark):
         assert base <= got and got - base == weak_linked(r["text"], credentials.REACH), r["text"]
 
 
+def test_nothing_complements_itself(spark):
+    hexa = "0123456789abcdef" * 2
+    texts = [f"https://h/{hexa}", f"user_name = {hexa}", f"https://h/{hexa} and token: {hexa}", f"client_id=abc;{hexa}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    extra = {r["doc_id"]: [credentials.KINDS[s["no"]] for s in r["secret_spans"] if s not in r["strong_spans"]] for r in credentials.scan(df).collect()}
+    assert extra == {0: [], 1: [], 2: ["endpoint"], 3: ["identifier"]}
+
+
+def test_redact_long_text_of_many_spans(spark):
+    rng = random.Random(3)
+    parts = [rng.choice(["lorem ipsum ", "é😀 ", "token = abcdefgh ", f"{'0123456789abcdef' * 2} ", f"https://h.example/x?{'ab' * 40} secret: qwertz ", "x" * 5000 + " "]) for _ in range(4000)]
+    texts = ["".join(parts), "".join(parts[:60]), "token=" + "A" * 20_000, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: [tuple(s) for s in r["secret_spans"]] for r in credentials.scan(df).collect()}
+    for r in credentials.redact(df, chars_col=None).collect():
+        t, at, out = texts[r["doc_id"]], 0, ""
+        for start, _, end in spans[r["doc_id"]]:
+            if start >= at:
+                out += t[at:start] + "[secret]"
+            at = max(at, end)
+        assert r["text"] == out + t[at:]
+
+
 def test_redact(awkward, empty, spark):
     out = credentials.redact(awkward)
     assert out.columns == awkward.columns and out.count() == awkward.count() and credentials.redact(empty).count() == 0
