@@ -1,7 +1,7 @@
 """WARC archives: a deterministic sharded writer and a reader that checks digests.
 
-Records are range-sorted by id. Shard bounds come from a sample that a hash of the id draws, so they depend on the rows
-alone, not on how they are dealt out. A task writes its shards one after the other: record by record into a file with a
+Records are range-sorted by id, and by payload where ids repeat or are null. Shard bounds cut a sample, which a hash of
+those draws, into equal bytes, so they depend on the rows alone, not on how they are dealt out. A task writes one shard: record by record into a file with a
 temporary name, which takes its final name when it is full (by compressed size) or the shard ends. A task that runs again
 writes the same bytes to the same names. Last, the list of files becomes the manifest, also by renaming; readers see only
 what it lists.
@@ -15,6 +15,7 @@ import hashlib
 import math
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +23,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factorloom.llm.common import beside
+
 #: Fixed values of the format.
 VERSION, CRLF = b"WARC/1.0", b"\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 ROLL_BYTES = 1 << 30
 SHARD_BYTES = 1 << 28
-SAMPLE = 20_000
+#: Rows that the bounds are drawn from, for each shard; the driver sees no others.
+SAMPLE_PER_SHARD = 50
+#: What a record takes besides its payload, about.
+_HEAD_BYTES = 500
 DATE = "2000-01-01T00:00:00Z"
 _MANIFEST = "file string, shard long, records long, bytes long, first long, last long"
 _RECORD = "id long, url string, type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -137,12 +143,20 @@ def _writer(out: str, roll: int, date: str):
     return write
 
 
+def _bounds(sample: DataFrame, shards: int) -> list[tuple[bool, int, str]]:
+    """Keys (has an id, id, payload's hash) that cut the sample (id, same, bytes) into shards of equal bytes; rows without an id come first."""
+    drawn = sorted(((r["id"] is not None, r["id"] or 0, r["same"]), r["bytes"]) for r in sample.toLocalIterator())
+    sums = np.cumsum([n for _, n in drawn])
+    cuts = np.searchsorted(sums, [sums[-1] * k / shards for k in range(1, shards)]) if drawn else []
+    return sorted({drawn[i][0] for i in cuts})
+
+
 def write(df: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shards: int | None = None, roll_bytes: int = ROLL_BYTES, least_bytes: int = 0, date: str = DATE) -> DataFrame:
     """Writes a record per row of df to the shared folder out (a URI), and returns the manifest.
 
     Of rows with equal payloads of at least least_bytes, that with the largest id is a response and the others revisit it;
     of equal rows the first is the response. Null payloads are empty; null URLs have no target field; rows without an id
-    come first, and revisit what has one. shards, if not given, is the session's number of shuffle partitions, or more for
+    come first, and revisit what has one; a URL of any length is one line of the header, and names of other columns cannot clash. shards, if not given, is the session's number of shuffle partitions, or more for
     much data. An empty table gives a manifest without rows. Files appear under their names only when whole.
     """
     spark = df.sparkSession
@@ -150,22 +164,20 @@ def write(df: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url"
     rows = rows.withColumn("same", F.sha2(F.coalesce("html", F.lit("")), 256))
     count, size = rows.agg(F.count("*"), F.sum(F.octet_length("html"))).head()
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((size or 0) / SHARD_BYTES))
-    drawn = rows.select("id").where("id is not null").where(F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(max(1, math.ceil(count / SAMPLE)))) == 0).distinct().toPandas()["id"].sort_values().to_numpy()
-    bounds = np.unique(drawn[[len(drawn) * k // shards for k in range(1, shards)]]) if len(drawn) else np.zeros(0, np.int64)
+    some = rows.where(F.pmod(F.xxhash64("id", "same"), F.lit(max(1, count // (SAMPLE_PER_SHARD * shards)))) == 0)
+    bounds = _bounds(some.groupBy("id", "same").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + _HEAD_BYTES).alias("bytes")), shards)
 
-    @F.pandas_udf("long")
-    def shard_of(ids: pd.Series) -> pd.Series:
-        at = np.searchsorted(bounds, ids.fillna(-(2**63)).to_numpy(dtype=np.int64) if not ids.isna().all() else np.full(len(ids), -(2**63)), side="right")
-        return pd.Series(at.astype(np.int64))
+    @F.pandas_udf("int")
+    def shard_of(no_id: pd.Series, ids: pd.Series, same: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(bounds, (not n, int(i), x)) for n, i, x in zip(no_id, ids, same, strict=True)], dtype="int32")
 
     keys = rows.where(F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes).groupBy("id", "same").agg(F.count("*").alias("n"))
-    groups = keys.groupBy("same").agg(F.max("id").alias("refers_to"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    told = keys.drop("n").join(groups, "same").select("id", "same", F.lit(0).alias("kind"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
+    told = beside(keys, ["same"], "id", "in_group > 1", refers_to=F.max("id"), in_group=F.sum("n")).select("id", "same", F.lit(0).alias("kind"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
     each = told.unionByName(rows.select("id", "same", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), "url", "html"))
-    each = each.select(F.coalesce("id", F.lit(-(2**63))).alias("bound"), F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), "same", "kind", F.coalesce("refers_to", F.lit(0)).alias("refers_to"), F.col("refers_to").isNull().alias("no_to"), "url", "html")
-    each = each.withColumn("shard", shard_of("bound")).drop("bound")
+    each = each.select(F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), "same", "kind", F.coalesce("refers_to", F.lit(0)).alias("refers_to"), F.col("refers_to").isNull().alias("no_to"), "url", "html")
+    each = each.withColumn("shard", shard_of("no_id", "id", "same"))
     order = ["shard", F.col("no_id").desc(), "id", "same", "kind", "url"]
-    files = each.repartitionByRange(shards, "shard").sortWithinPartitions(*order).mapInPandas(_writer(out, roll_bytes, date), _MANIFEST)
+    files = each.repartitionById(shards, "shard").sortWithinPartitions(*order).mapInPandas(_writer(out, roll_bytes, date), _MANIFEST)
     files.write.mode("overwrite").parquet(f"{out}/_temporary/manifest")
     path = spark._jvm.org.apache.hadoop.fs.Path
     at = path(f"{out}/manifest")

@@ -50,6 +50,15 @@ def test_same_rows_same_bytes(spark, tmp_path, sf_dir):
     assert a == b and len(a) > 4
 
 
+def test_one_id_and_long_urls_are_spread(spark, tmp_path):
+    rows = [(None if i % 3 else 7, "http://h/" + "y" * (20_000 if i % 50 == 0 else 3), f"page {i} " + "z" * (i % 40)) for i in range(600)]
+    out = f"file://{tmp_path}/hot"
+    manifest = warc.write(frame(spark, rows), out, shards=6).collect()
+    assert len({r["shard"] for r in manifest}) == 6 and max(r["records"] for r in manifest) < 200
+    got = warc.read(spark, out).select("id", "url", "payload").collect()
+    assert Counter((r["id"], r["url"], bytes(r["payload"]).decode()) for r in got) == Counter(rows)
+
+
 def test_empty(spark, tmp_path):
     out = f"file://{tmp_path}/none"
     assert warc.write(frame(spark).where("false"), out).count() == 0 and warc.read(spark, out).count() == 0
