@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the shared folder. Unlike cut, the optimizer keeps nothing of the plan that made them: over many rounds, the constraints that it infers would grow without end."""
+    at = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def words(text: Column) -> Column:
     """The words of a text; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -84,15 +92,15 @@ def components(edges: DataFrame) -> DataFrame:
     edges: two columns a and b of one orderable type, no nulls; loops and repeats do no harm. Returns node and component
     (the smallest node reachable) for every node that occurs in an edge with another node. Each step takes minima with
     partial aggregation; a hub's edges meet its minimum in several tasks, so a hub with very many edges is never gathered
-    in one. Rounds grow with the logarithm of the longest path, and each round's edges are checkpointed.
+    in one. Rounds grow with the logarithm of the longest path, and each round's edges are written.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = beside(both, ["u"], "v", m=F.min("v")).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         small = beside(large, ["u"], "v", m=F.min("v")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        now = cut(small.select("e.u", "e.v").where("u <> v").distinct())
+        now = written(small.select("e.u", "e.v").where("u <> v").distinct())
         state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(hash(u, v))")).head()
         if state == before:
             break

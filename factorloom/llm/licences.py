@@ -51,6 +51,13 @@ SENTENCES = {
     "mpl-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
     "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
     "mpl-copy-s": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    "unlicense-free": "This is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "epl-2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "bsl-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following",
+    "cc0-waiver": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
     "mpl-short": "Licensed under the Mozilla Public License, Version 2.0",
 }
 #: A licence is found if the identifiers of one of its rules occur in this order; others may stand between them.
@@ -84,6 +91,11 @@ RULES = (
     ("ISC", ("isc-short",)),
     ("ISC", ("isc-grant",)),
     ("ISC", ("isc-grant-and",)),
+    ("Unlicense", ("unlicense-free", "unlicense-anyone")),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("EPL-2.0", ("epl-2",)),
+    ("BSL-1.0", ("bsl-grant",)),
+    ("CC0-1.0", ("cc0-waiver",)),
     ("MPL-2.0", ("mpl-short",)),
     ("MPL-2.0", ("mpl-header", "mpl-copy")),
     ("MPL-2.0", ("mpl-header", "mpl-copy-s")),
