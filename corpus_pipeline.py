@@ -18,7 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays. Texts are near if their sets of shingles of five words have a Jaccard similarity of 0.8 or more."""
+    """Of each group of near duplicates the smallest doc_id stays. SimHash partitions name candidates; texts are near if their sets of shingles of five words have a Jaccard similarity of 0.8 or more."""
     return shingles.deduplicate(docs, shingle=5, least=0.8)
 
 
