@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from factorloom.llm.common import components, cut, each_salt, salt, salts
-from factorloom.llm.simhash import Forest, blocks, first_rows, identified, pairs_in_groups, shingle_hashes, whole_groups, words_of
+from factorloom.llm.common import components, each_salt, salt, salts, written
+from factorloom.llm.simhash import Forest, blocks, first_rows, identified, pairs_in_groups, set_counts, shingle_hashes, whole_groups, words_of
 
 #: The chance that a pair at the least similarity shares no partition; pairs above it have less.
 MISS = 0.001
@@ -75,19 +75,19 @@ def bits_of(hashes: np.ndarray, words: int) -> np.ndarray:
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-        counts += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        counts += set_counts(mixed)
     return 2 * counts > len(hashes)
 
 
-def partition_keys(bits: np.ndarray, plan: list[tuple[int, int]]) -> list[int]:
-    """Of a fingerprint, the number that each partition's bits make."""
+def partition_keys(plan: list[tuple[int, int]]):
+    """A function: of a fingerprint's bits, the number that each partition's bits make."""
     ends = np.cumsum([w for w, _ in plan])
-    weighed = bits[: ends[-1]] * np.concatenate([1 << np.arange(w, dtype=np.int64) for w, _ in plan])
-    return np.add.reduceat(weighed, np.r_[0, ends[:-1]]).tolist()
+    starts, weights = np.r_[0, ends[:-1]], np.concatenate([1 << np.arange(w, dtype=np.int64) for w, _ in plan])
+    return lambda bits: np.add.reduceat(bits[: ends[-1]] * weights, starts).tolist()
 
 
 def _sketches(shingle: int, plan: list[tuple[int, int]]):
-    words = max(CHECKED // 64, math.ceil(sum(w for w, _ in plan) / 64))
+    words, keys_of = max(CHECKED // 64, math.ceil(sum(w for w, _ in plan) / 64)), partition_keys(plan)
 
     @pandas_udf("same string, keys array<long>, c0 long, c1 long")
     def of(texts: pd.Series) -> pd.DataFrame:
@@ -96,7 +96,7 @@ def _sketches(shingle: int, plan: list[tuple[int, int]]):
             w = words_of(t)
             bits = bits_of(np.unique(shingle_hashes(w, shingle)), words)
             checked = np.packbits(bits[-CHECKED:], bitorder="little").view("<i8").tolist()
-            out.append((hashlib.md5(b" ".join(w)).hexdigest(), partition_keys(bits, plan) if w else [], *checked))
+            out.append((hashlib.md5(b" ".join(w)).hexdigest(), keys_of(bits) if w else [], *checked))
         return pd.DataFrame(out, columns=["same", "keys", "c0", "c1"])
 
     return of
@@ -210,17 +210,17 @@ def links(nodes: DataFrame, texts: DataFrame, shingle: int, least: float, plan:
     p = differing(least)
     most = math.ceil(CHECKED * p + 4 * math.sqrt(CHECKED * p * (1 - p)))
     probed = _probed(nodes, plan)
-    found = cut(_candidates(blocks(probed, ["part", "key"], "node", block), most))
-    touched = cut(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    wanted = nodes.join(touched, "node").select("node", "one", "two")
-    hashes = cut(texts.join(wanted, ["one", "two"]).dropDuplicates(["node"]).select("node", _sets(shingle)("text").alias("hashes")))
+    found = written(_candidates(blocks(probed, ["part", "key"], "node", block), most))
+    touched = written(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    wanted = written(nodes.join(touched, "node").select("node", "one", "two"))
+    hashes = written(texts.join(wanted, ["one", "two"]).dropDuplicates(["node"]).select("node", _sets(shingle)("text").alias("hashes")))
     both = _with_hub(found, hashes)
-    held = cut(both.where(_alike(F.size(F.array_intersect("hashes", "others")), F.size("hashes"), F.size("others"), least)).select("a", "b"))
+    held = written(both.where(_alike(F.size(F.array_intersect("hashes", "others")), F.size("hashes"), F.size("others"), least)).select("a", "b"))
 
-    joined = cut(components(held))
+    joined = written(components(held))
     known = touched.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     rest = _probed(nodes.join(touched, "node"), plan).join(known, "node")
-    apart = cut(_still_apart(blocks(rest, ["part", "key"], "node", block), most))
+    apart = written(_still_apart(blocks(rest, ["part", "key"], "node", block), most))
     return held.union(_cross(apart.join(hashes, "node"), most, least))
 
 
@@ -233,8 +233,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = identified(df, id_col, text_col)
     plan = allotted(df.count(), least, miss)
-    slim = cut(rows.select("id", "one", "two", _sketches(shingle, plan)("text").alias("s")).select("id", "one", "two", "s.*"))
-    nodes = cut(slim.groupBy("same").agg(F.min_by(F.struct("one", "two", "keys", "c0", "c1"), F.struct("one", "two")).alias("m"), salts("one").alias("bits")).select("same", "m.*", "bits").withColumn("node", F.monotonically_increasing_id()))
+    slim = written(rows.select("id", "one", "two", _sketches(shingle, plan)("text").alias("s")).select("id", "one", "two", "s.*"))
+    nodes = written(slim.groupBy("same").agg(F.min_by(F.struct("one", "two", "keys", "c0", "c1"), F.struct("one", "two")).alias("m"), salts("one").alias("bits")).select("same", "m.*", "bits").withColumn("node", F.monotonically_increasing_id()))
     found = components(links(nodes, rows.select("one", "two", "text"), shingle, least, plan, block))
     groups = nodes.join(found, "node", "left").select("same", F.coalesce("component", "node").alias("group"), each_salt("bits").alias("part"))
     return slim.select("same", "id", "one", "two", salt("one").alias("part")).join(groups, ["same", "part"]).select("group", "id", "one", "two")

@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from factorloom.llm.common import beside, components, cut, each_salt, free_name, salt, salts
+from factorloom.llm.common import components, cut, each_salt, free_name, salt, salts, written
 
 BITS = 64
 #: Members of one block of a bucket.
 BLOCK = 4096
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_ROWS = 65_536
+_DRAWN = 16
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -46,14 +46,22 @@ def shingle_hashes(words: list[bytes], shingle: int, seed: int = 42) -> np.ndarr
     return np.fromiter((hash_of(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)), dtype="<u8", count=n)
 
 
+def set_counts(words: np.ndarray) -> np.ndarray:
+    """Of rows of 64-bit words, how many rows have each bit: in bytes for 255 rows at a time, which cannot overflow."""
+    counts = np.zeros(64 * words.shape[1], dtype=np.int64)
+    for at in range(0, len(words), 16 * 255):
+        bits = np.unpackbits(words[at : at + 16 * 255].view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):
+            counts += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
+    return counts
+
+
 def fingerprint_of(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """The fingerprint as a signed 64-bit integer: per bit, whether it is set in over half the shingles' hashes."""
     hashes = shingle_hashes(words_of(text), shingle, seed)
     if not len(hashes):
         return 0
-    counts = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(hashes), _ROWS):
-        counts += np.unpackbits(hashes[at : at + _ROWS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    counts = set_counts(hashes[:, None])
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
@@ -163,9 +171,15 @@ def probes(fps: DataFrame, column: str, parts: list[list[int]], limits: list[int
 
 
 def blocks(rows: DataFrame, keys: list[str], value: str, block: int = BLOCK) -> DataFrame:
-    """Of rows in buckets named by keys: drops buckets of one row, cuts large ones into blocks by a hash of value, and gives each row once for each pair of blocks that it belongs to (columns lo and hi; side 0 or 1, 2 where both are one block)."""
-    n = F.ceil(F.col("in_bucket") / block).cast("int")
-    out = beside(rows, keys, value, "in_bucket > 1", in_bucket=F.count("*")).withColumn("own", F.pmod(F.xxhash64(value, F.lit(1)), n).cast("int"))
+    """Of rows in buckets named by keys: cuts large buckets into blocks by a hash of value, and gives each row once for each pair of blocks that it belongs to (columns lo and hi; side 0 or 1, 2 where both are one block).
+
+    Which buckets are large, a sixteenth of the rows tells, drawn by the hash of value; there are at most as many as the
+    table has blocks, and Spark broadcasts them only where their written size allows. A wrong guess changes balance alone.
+    """
+    some = rows.where(F.pmod(F.xxhash64(value, F.lit(3)), F.lit(_DRAWN)) == 0)
+    large = written(some.groupBy(*keys).agg((F.count("*") * _DRAWN).alias("in_bucket")).where(F.col("in_bucket") > max(block, 4 * _DRAWN)))
+    n = F.coalesce(F.ceil(F.col("in_bucket") / block).cast("int"), F.lit(1))
+    out = rows.join(large, keys, "left").withColumn("own", F.pmod(F.xxhash64(value, F.lit(1)), n).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     side = F.when(F.col("own") == F.col("other"), F.lit(2)).when(F.col("own") < F.col("other"), F.lit(0)).otherwise(F.lit(1))
     return out.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": side}).drop("own", "other", "in_bucket")
