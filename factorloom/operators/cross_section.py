@@ -73,3 +73,47 @@ def group_count(x: Column, group: str) -> Column:
 def weight(x: Column) -> Column:
     """Shares of the date's sum."""
     return F.try_divide(x, F.sum(x).over(_day()))
+
+
+def rank_members(x: Column, member: Column) -> Column:
+    """The percentile among members; missing for others."""
+    return rank(F.when(member, x))
+
+
+def group_mean(x: Column, group: str) -> Column:
+    return F.avg(x).over(_day(group))
+
+
+def group_stddev(x: Column, group: str) -> Column:
+    return F.stddev_samp(x).over(_day(group))
+
+
+def zscore_members(x: Column, member: Column, limit: float = 3.0) -> Column:
+    """Every value by the members' mean and deviation, clipped."""
+    own = F.when(member, x)
+    z = F.try_divide(x - F.avg(own).over(_day()), F.stddev_samp(own).over(_day()))
+    return F.when(z.isNotNull(), F.greatest(F.lit(-limit), F.least(F.lit(limit), z)))
+
+
+def fill_infinite(x: Column) -> Column:
+    """Infinite values become the date's mean of the finite ones."""
+    finite = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    return F.when(F.abs(x) == float("inf"), F.avg(finite).over(_day())).otherwise(x)
+
+
+def herfindahl(x: Column, group: str) -> Column:
+    """The sum of squared shares in the group."""
+    total = F.sum(x).over(_day(group))
+    return F.try_divide(F.sum(x * x).over(_day(group)), total * total)
+
+
+def combine(parts: list[tuple[float, Column]]) -> Column:
+    """The weighted mean of those that are there."""
+    weights = sum((F.when(x.isNotNull(), F.lit(w)).otherwise(F.lit(0.0)) for w, x in parts), F.lit(0.0))
+    return F.try_divide(sum((F.coalesce(w * x, F.lit(0.0)) for w, x in parts), F.lit(0.0)), weights)
+
+
+def winsorised(x: Column, low: float = 0.01, high: float = 0.99) -> Column:
+    """Clipped at the date's quantiles."""
+    q = lambda p: F.percentile(x, F.lit(p)).over(_day())
+    return F.when(x.isNotNull(), F.greatest(q(low), F.least(q(high), x)))

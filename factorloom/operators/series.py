@@ -142,3 +142,102 @@ def argmax(x: Column, d: int) -> Column:
 def top_mean(x: Column, k: int, d: int) -> Column:
     """The mean of the k largest values."""
     return F.aggregate(F.slice(F.sort_array(values(x, d), False), 1, k), F.lit(0.0), lambda s, y: s + y) / k
+
+
+def argmin(x: Column, d: int) -> Column:
+    """The first minimum's place, from 1 at the oldest row."""
+    v = values(x, d)
+    return F.array_position(v, F.array_min(v))
+
+
+def aroon(x: Column, d: int) -> Column:
+    """The latest maximum's place over the window's rows."""
+    return (d - days_since_max(x, d)) / d
+
+
+def ffill(x: Column) -> Column:
+    """The last value at or before the row."""
+    return F.last(x, ignorenulls=True).over(Window.partitionBy(KEY).orderBy(ORDER).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def trailing(x: Column, d: int, least: int, how: Callable[[Column], Column], stride: int = 1) -> Column:
+    """An aggregate of the values there are among the last d calendar rows, or each stride-th of them, if at least so many are there."""
+    own = [KEY, F.pmod(F.col(ORDER), F.lit(stride))] if stride > 1 else [KEY]
+    w = Window.partitionBy(*own).orderBy(ORDER).rangeBetween(-(d - 1), 0)
+    return F.when(F.count(x).over(w) >= least, how(x).over(w))
+
+
+def trailing_moment(x: Column, d: int, least: int, order: int) -> Column:
+    """Skewness (3) or excess kurtosis (4), corrected for the sample's size; 0 on a constant window."""
+    w = frame(d)
+    n, fixed = F.count(x).over(w), F.min(x).over(w) == F.max(x).over(w)
+    if order == 3:
+        value = F.skewness(x).over(w) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0))
+    else:
+        value = (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0)) * ((n + 1) * F.kurtosis(x).over(w) + 6)
+    return F.when(n >= max(least, order), F.when(fixed, F.lit(0.0)).otherwise(value))
+
+
+def pair_correlation(x: Column, y: Column, d: int, least: int) -> Column:
+    """Over the rows that have both, if at least so many do; missing where a side is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b, w = F.when(both, x), F.when(both, y), frame(d)
+    varies = (F.min(a).over(w) < F.max(a).over(w)) & (F.min(b).over(w) < F.max(b).over(w))
+    return F.when((F.count(a).over(w) >= least) & varies, F.try_divide(F.covar_pop(a, b).over(w), F.stddev_pop(a).over(w) * F.stddev_pop(b).over(w)))
+
+
+def ols2(y: Column, a: Column, b: Column, d: int) -> tuple[Column, Column, Column]:
+    """Slopes on two regressors over full windows, and the residuals' sample deviation (d - 3 degrees); missing where the regressors are collinear."""
+    w = frame(d)
+    whole = (F.count(y).over(w) == d) & (F.count(a).over(w) == d) & (F.count(b).over(w) == d)
+    s = lambda x, z: F.covar_pop(x, z).over(w)
+    det = s(a, a) * s(b, b) - s(a, b) * s(a, b)
+    fine = whole & (det > F.lit(1e-9) * s(a, a) * s(b, b))
+    first = F.when(fine, (s(b, b) * s(a, y) - s(a, b) * s(b, y)) / det)
+    second = F.when(fine, (s(a, a) * s(b, y) - s(a, b) * s(a, y)) / det)
+    rest = F.greatest(F.lit(0.0), s(y, y) - first * s(a, y) - second * s(b, y))
+    return first, second, F.when(fine, F.sqrt(rest * d / (d - 3)))
+
+
+def coskewness(x: Column, m: Column, d: int) -> Column:
+    """The mean of x's deviation by the square of m's, over the deviation of x and the variance of m."""
+    w = frame(d)
+    e = lambda v: F.avg(v).over(w)
+    top = e(x * m * m) - 2 * e(m) * e(x * m) - e(x) * e(m * m) + 2 * e(x) * e(m) * e(m)
+    return F.when((F.count(x).over(w) == d) & (F.count(m).over(w) == d), F.try_divide(top, F.stddev_pop(x).over(w) * F.var_pop(m).over(w)))
+
+
+def weighted_sum(x: Column, weights: list[float]) -> Column:
+    """Weights of the newest row first; missing if one of the rows is."""
+    return sum((w * (x if k == 0 else delay(x, k)) for k, w in enumerate(weights)), F.lit(0.0))
+
+
+def decayed(x: Column, d: int, decay: float) -> Column:
+    """The sum of the last d rows, each weighted by decay to the power of its age; missing rows count 0."""
+    return sum((decay**k * F.coalesce(x if k == 0 else delay(x, k), F.lit(0.0)) for k in range(d)), F.lit(0.0))
+
+
+def decayed_fit(y: Column, x: Column, d: int, decay: float, least: int) -> tuple[Column, Column]:
+    """Slope and intercept of y on x over the last d rows with weights that decay by age. The newest row's weight cancels, so one running weight serves all frames."""
+    w, both = frame(d), y.isNotNull() & x.isNotNull()
+    weight = F.when(both, F.pow(F.lit(decay), -F.pmod(F.col(ORDER), F.lit(1000)).cast("double")))
+    s = lambda v: F.sum(weight * v).over(w)
+    one = F.lit(1.0)
+    slope_ = F.try_divide(s(one) * s(x * y) - s(x) * s(y), s(one) * s(x * x) - s(x) * s(x))
+    enough = F.count(weight).over(w) >= least
+    return F.when(enough, slope_), F.when(enough, (s(y) - slope_ * s(x)) / s(one))
+
+
+def spread_high_low(high: Column, low: Column) -> Column:
+    """The bid-ask spread that two rows' highs and lows suggest; negative ones are 0."""
+    h1, l1, k = delay(high, 1), delay(low, 1), 3 - 2 * 2**0.5
+    beta = F.pow(F.ln(high / low), 2) + F.pow(F.ln(h1 / l1), 2)
+    top, bottom = F.when(h1.isNotNull(), F.greatest(high, h1)), F.when(l1.isNotNull(), F.least(low, l1))
+    alpha = (F.sqrt(2 * beta) - F.sqrt(beta)) / k - F.sqrt(F.pow(F.ln(top / bottom), 2) / k)
+    return F.when(alpha.isNotNull(), F.greatest(F.lit(0.0), 2 * (F.exp(alpha) - 1) / (1 + F.exp(alpha))))
+
+
+def cumulative_gain(r: Column) -> Column:
+    """The product of 1 + r over the rows with a positive r so far; 1 before the first."""
+    w = Window.partitionBy(KEY).orderBy(ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    return F.exp(F.sum(F.when(r > 0, F.log1p(r)).otherwise(F.lit(0.0))).over(w))
