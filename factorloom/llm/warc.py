@@ -145,7 +145,7 @@ def _writer(out: str, roll: int, date: str):
 
 def _bounds(sample: DataFrame, shards: int) -> list[tuple[bool, int, str]]:
     """Keys (has an id, id, payload's hash) that cut the sample (id, same, bytes) into shards of equal bytes; rows without an id come first."""
-    drawn = sorted(((r["id"] is not None, r["id"] or 0, r["same"]), r["bytes"]) for r in sample.toLocalIterator())
+    drawn = sorted(((r["id"] is not None, r["id"] or 0, r["same"]), r["bytes"]) for r in sample.collect())
     sums = np.cumsum([n for _, n in drawn])
     cuts = np.searchsorted(sums, [sums[-1] * k / shards for k in range(1, shards)]) if drawn else []
     return sorted({drawn[i][0] for i in cuts})
