@@ -1,7 +1,7 @@
 """Embedding near duplicates: binary codes by iterative quantisation, multi-index Hamming tables, then the vectors themselves.
 
 A rotation learnt on a bounded sample makes the signs of centred vectors balanced codes. Codes within a radius share, in one
-of several tables, a substring within that table's radius, so probes meet in buckets; buckets are cut into blocks that are
+of several tables, a substring within that table's radius, so codes meet in buckets halfway, each with some bits flipped; buckets are cut into blocks that are
 verified pair by pair of blocks. Codes alone decide first which vectors have any candidate; only those go into the tables
 again with their vectors, which decide. No pair leaves its task: a task gives each vector's number of links and a spanning
 forest. Each pair counts in the first table where it meets.
@@ -29,6 +29,8 @@ RADIUS = 11
 #: The part of the pairs at the least cosine whose codes may differ in more bits than the learnt radius.
 MISS = 0.001
 _PAIRS = 1 << 15
+#: What a row of a table costs, in pairs compared.
+_ROW = 32
 
 
 def learn(sample: np.ndarray, bits: int = BITS, rounds: int = 40, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -78,24 +80,38 @@ def learnt_radius(sample: np.ndarray, mean: np.ndarray, projection: np.ndarray,
     return most
 
 
+def _ball(length: int, r: int) -> int:
+    """How many keys a code goes to in a table: two codes that differ in r bits of it meet halfway, each with up to r / 2 bits flipped."""
+    return sum(math.comb(length, d) for d in range(r // 2 + 1))
+
+
+def _costs(plan: list[tuple[list[int], int]], rows: float) -> tuple[float, float]:
+    """Of a code: the keys it goes to, and the pairs it is in, for so many rows in a class."""
+    balls = [(_ball(len(p), r), len(p)) for p, r in plan]
+    return sum(b for b, _ in balls), sum(b * b * rows / 2 ** (n + 1) for b, n in balls)
+
+
 def tables(rows: float, radius: int = RADIUS, bits: int = BITS) -> list[tuple[list[int], int]]:
-    """Substrings of nearly equal length and their radii, as many as make probes plus candidates fewest for so many rows in a class."""
+    """Substrings of nearly equal length and their radii, all even, as many as make keys and pairs cheapest for so many rows in a class.
+
+    Codes within the radius are within the own radius of one table at least: the radii, each plus one, add up to more than the radius.
+    """
     best = None
-    for m in range(1, radius + 2):
-        parts = [list(range(bits))[k::m] for k in range(m)]
-        low, more = divmod(radius, m)
-        radii = [low if k <= more else low - 1 for k in range(m)]
-        cost = sum(sum(math.comb(len(p), d) for d in range(r + 1)) * (4 + rows / 2 ** len(p)) for p, r in zip(parts, radii, strict=True) if r >= 0)
+    for half in range(radius // 2 + 2):
+        m = -(-(radius + 1) // (2 * half + 1))
+        less = min(m, (m * (2 * half + 1) - radius - 1) // 2) if half else 0
+        plan = [(list(range(bits))[k::m], 2 * half - 2 * int(k >= m - less)) for k in range(m)]
+        keys, pairs = _costs(plan, rows)
+        cost = (pairs >= rows / 2, _ROW * keys + pairs)  # tables that leave fewer pairs than a class has, if any do
         if best is None or cost < best[0]:
-            best = (cost, [(p, r) for p, r in zip(parts, radii, strict=True) if r >= 0])
+            best = (cost, plan)
     return best[1]
 
 
 def plan_of(rows: float, radius: int) -> list[tuple[list[int], int]]:
-    """The tables, or one bucket for all of a label where tables would cost more."""
+    """The tables, or one bucket for all of a label where tables would leave no fewer pairs."""
     plan = tables(rows, radius)
-    cost = sum(sum(math.comb(len(p), d) for d in range(r + 1)) * (4 + rows / 2 ** len(p)) for p, r in plan)
-    return plan if cost < 4 + rows else [([], 0)]
+    return plan if _costs(plan, rows)[1] < rows / 2 else [([], 0)]
 
 
 def _mask(bits: list[int]) -> int:
@@ -104,10 +120,10 @@ def _mask(bits: list[int]) -> int:
 
 
 def _probes(nodes: DataFrame, plan: list[tuple[list[int], int]], carried: list[str]) -> DataFrame:
-    """Rows (label, part, key, probe, node, code, carried): each code's own keys (probe 0) and their variants (probe 1)."""
-    flips = F.array(*[F.struct(F.lit(t).alias("part"), F.lit(_mask(bits)).alias("mask"), F.lit(_mask(list(c))).alias("flip"), F.lit(int(k > 0)).alias("probe")) for t, (bits, r) in enumerate(plan) for k in range(r + 1) for c in combinations(bits, k)])
+    """Rows (label, part, key, flip, node, code, carried): each code's own keys, and those with up to half a table's radius of bits flipped."""
+    flips = F.array(*[F.struct(F.lit(t).alias("part"), F.lit(_mask(bits)).alias("mask"), F.lit(_mask(list(c))).alias("flip")) for t, (bits, r) in enumerate(plan) for k in range(r // 2 + 1) for c in combinations(bits, k)])
     out = nodes.select("label", "node", "code", *carried, F.explode(flips).alias("f"))
-    return out.select("label", F.col("f.part").alias("part"), F.col("code").bitwiseAND(F.col("f.mask")).bitwiseXOR(F.col("f.flip")).alias("key"), F.col("f.probe").alias("probe"), "node", "code", *carried)
+    return out.select("label", F.col("f.part").alias("part"), F.col("code").bitwiseAND(F.col("f.mask")).bitwiseXOR(F.col("f.flip")).alias("key"), F.col("f.flip").alias("flip"), "node", "code", *carried)
 
 
 _KEYS = ["label", "part", "key"]
@@ -116,17 +132,24 @@ _KEYS = ["label", "part", "key"]
 def _blocked(nodes: DataFrame, plan: list[tuple[list[int], int]], carried: list[str], block: int) -> DataFrame:
     keys = [*_KEYS, "lo", "hi"]
     out = blocks(_probes(nodes, plan, carried), _KEYS, "node", block)
-    return out.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "side", "probe", "node", "code", *carried)
+    return out.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "side", "flip", "node", "code", *carried)
 
 
 def _candidates(f: pd.DataFrame, group: np.ndarray, radius: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    code, side, probe, node = f["code"].to_numpy(dtype=np.int64).view(np.uint64), f["side"].to_numpy(), f["probe"].to_numpy(), f["node"].to_numpy()
+    code, side, node = f["code"].to_numpy(dtype=np.int64).view(np.uint64), f["side"].to_numpy(), f["node"].to_numpy()
     for i, j in pairs_in_groups(group, side, _PAIRS):
-        near = (probe[i] + probe[j] < 2) & (np.bitwise_count(code[i] ^ code[j]) <= radius) & (node[i] != node[j])
+        near = (np.bitwise_count(code[i] ^ code[j]) <= radius) & (node[i] != node[j])
         if near.any():
             yield i[near], j[near]
 
 
+def _first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the ways that two codes meet in a table, the one that counts: the smaller node flips (a) the lower half of the differing bits, the middle one included, and the greater node (b) the others."""
+    more = np.bitwise_count(a).astype(np.int8) - np.bitwise_count(b).astype(np.int8)
+    lowest = b & (~b + np.uint64(1))
+    return ((more == 0) | (more == 1)) & ((b == 0) | (a < lowest))
+
+
 def links(nodes: DataFrame, least: float, radius: int = RADIUS, block: int = 2048) -> DataFrame:
     """Of nodes (label, node, code, n, vector): rows (node, other, links) that add up to each node's links, weighted by n, and join what is linked."""
     size = nodes.groupBy("label").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).head()[0] or 1.0
@@ -148,7 +171,8 @@ def links(nodes: DataFrame, least: float, radius: int = RADIUS, block: int = 204
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f, group in whole_groups(batches, [*_KEYS, "lo", "hi"]):
-            code, part, probe, n = f["code"].to_numpy(dtype=np.int64).view(np.uint64), f["part"].to_numpy(), f["probe"].to_numpy(), f["n"].to_numpy()
+            code, flip = (f[c].to_numpy(dtype=np.int64).view(np.uint64) for c in ("code", "flip"))
+            part, n, node = f["part"].to_numpy(), f["n"].to_numpy(), f["node"].to_numpy()
             length = f["vector"].map(len).to_numpy()
             unit = np.zeros((len(f), length.max()))  # lengths differ between labels only; zeros change no cosine
             for size in np.unique(length):
@@ -156,16 +180,18 @@ def links(nodes: DataFrame, least: float, radius: int = RADIUS, block: int = 204
             unit /= np.linalg.norm(unit, axis=1)[:, None]
             forest, count = Forest(len(f)), np.zeros(len(f), dtype=np.int64)
             for i, j in _candidates(f, group):  # of all that have met, the cosine decides
+                i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+                once = _first_meeting(flip[i], flip[j])
+                i, j = i[once], j[once]
                 near = np.einsum("ij,ij->i", unit[i], unit[j]) >= least
                 for t, (mask, (_, r)) in enumerate(zip(masks, plan, strict=True)):
                     near &= (part[i] <= t) | (np.bitwise_count((code[i] ^ code[j]) & mask) > r)  # not met in an earlier table
                 i, j = i[near], j[near]
                 forest.link(i, j)
-                np.add.at(count, i, np.where(probe[i] >= probe[j], n[j], 0))  # of two meetings in one table, each credits its probe
-                np.add.at(count, j, np.where(probe[j] >= probe[i], n[i], 0))
+                np.add.at(count, i, n[j])
+                np.add.at(count, j, n[i])
             hit = np.flatnonzero((forest.root != np.arange(len(f))) | (count > 0))
             if len(hit):
-                node = f["node"].to_numpy()
                 yield pd.DataFrame({"node": node[hit], "other": node[forest.root[hit]], "links": count[hit]})
 
     return _blocked(nodes, plan, ["n", "vector"], block).mapInPandas(verify, "node long, other long, links long")

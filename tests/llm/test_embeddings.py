@@ -1,6 +1,7 @@
 """Embedding near duplicates against brute force."""
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -70,3 +71,30 @@ def test_tables_cover_the_radius():
     for rows in (10, 10**4, 10**7, 10**10):
         plan = embeddings.tables(rows)
         assert sorted(b for p, _ in plan for b in p) == list(range(64)) and sum(r + 1 for _, r in plan) > embeddings.RADIUS
+
+
+def test_codes_meet_once_in_a_table():
+    rng = np.random.default_rng(2)
+    for half in (0, 1, 2):
+        balls = np.array([sum(1 << b for b in c) for k in range(half + 1) for c in combinations(range(9), k)], dtype=np.uint64)
+        a, b = (x.ravel() for x in np.meshgrid(balls, balls))
+        for d in range(2 * half + 2):
+            apart = np.uint64(sum(1 << int(k) for k in rng.permutation(9)[:d]))
+            met = (a ^ b) == apart
+            assert embeddings._first_meeting(a[met], b[met]).sum() == (d <= 2 * half)
+
+
+def test_tables_of_each_radius_find_all_links(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(150, 64))
+    x = np.vstack([base, base + 0.3 * rng.normal(size=base.shape)])
+    code = embeddings.codes(x, *embeddings.learn(rng.normal(size=(500, 64))))
+    nodes = spark.createDataFrame([("a", k, int(c), k % 3 + 1, v.tolist()) for k, (v, c) in enumerate(zip(x, code, strict=True))], "label string, node long, code long, n long, vector array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near, n = unit @ unit.T >= 0.93, np.arange(len(x)) % 3 + 1
+    np.fill_diagonal(near, False)
+    want = {k: int(c) for k, c in enumerate(near @ n) if c}
+    for radius in (11, 16, 22):
+        got = {r["node"]: r["links"] for r in embeddings.links(nodes, 0.93, radius).groupBy("node").sum("links").withColumnRenamed("sum(links)", "links").collect() if r["links"]}
+        close = np.bitwise_count(code.view(np.uint64)[:, None] ^ code.view(np.uint64)[None]) <= radius
+        assert all(got.get(k, 0) >= c for k, c in enumerate((near & close) @ n)) and all(got[k] <= want[k] for k in got)
