@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factorloom.functions import scalars as row
-from factorloom.plans.nested import Panel, Term, snap_sql
+from factorloom.plans.nested import Panel, Term
 from factorloom.sources.bars import BARS_SQL, DENSE_SQL, bars, dense
 
 #: The published formulas, fractional windows as whole rows. `lesser` and `greater` are of two values of one row.
@@ -122,6 +122,17 @@ FORMULAS: dict[int, str] = {
 GROUP, BITS = 8, 16
 
 
+def shown(x: Column) -> Column:
+    """To 16 significant bits, with bounds that simple fractions don't lie on."""
+    scale = F.pow(F.lit(2.0), BITS - 1 - F.floor(F.log2(F.abs(x))))
+    return F.when(F.abs(x) < 1e-12, F.lit(0.0)).otherwise(F.floor(x * scale + 0.37) / scale)
+
+
+def _shown(x: str) -> str:
+    scale = f"power(2.0, {BITS - 1} - floor(log2(abs({x}))))"
+    return f"CASE WHEN abs({x}) < 1e-12 THEN 0.0 ELSE floor({x} * {scale} + 0.37) / {scale} END"
+
+
 def _terms(ids: list[int]) -> tuple[Panel, dict[str, Term]]:
     panel = Panel()
     names = panel.names()
@@ -138,7 +149,7 @@ def _terms(ids: list[int]) -> tuple[Panel, dict[str, Term]]:
 def _query(ids: list[int]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         panel, terms = _terms(ids)
-        return panel.apply(dense(bars(spark, sf_dir))).select("instrument", "week_no", *[row.snap(term.column(), BITS).alias(name) for name, term in terms.items()])
+        return panel.apply(dense(bars(spark, sf_dir))).select("instrument", "week_no", *[shown(term.column()).alias(name) for name, term in terms.items()])
 
     return query
 
@@ -146,7 +157,7 @@ def _query(ids: list[int]) -> Callable[[SparkSession, str], DataFrame]:
 def _sql(ids: list[int]) -> str:
     panel, terms = _terms(ids)
     steps, last = panel.sql("dense")
-    return f"WITH {BARS_SQL}, {DENSE_SQL}{steps}\nSELECT instrument, week_no, " + ", ".join(f"{snap_sql(term.sql, BITS)} AS {name}" for name, term in terms.items()) + f" FROM {last}"
+    return f"WITH {BARS_SQL}, {DENSE_SQL}{steps}\nSELECT instrument, week_no, " + ", ".join(f"{_shown(term.sql)} AS {name}" for name, term in terms.items()) + f" FROM {last}"
 
 
 _GROUPS = {f"a101_{k:03}_{min(k + GROUP - 1, 101):03}": [x for x in range(k, k + GROUP) if x in FORMULAS] for k in range(1, 102, GROUP)}

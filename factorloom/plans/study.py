@@ -56,7 +56,9 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def every_kth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars(spark, sf_dir).where(F.pmod("week_no", F.lit(5)) == 0).groupBy("week_no").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
+    """Every fifth week of the calendar that the rows have, from its first. Weeks are numbered after the aggregation, so the one window holds no more rows than the calendar."""
+    weeks = bars(spark, sf_dir).groupBy("week_no").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
+    return weeks.withColumn("place", F.row_number().over(Window.orderBy("week_no"))).where("place % 5 = 1").drop("place")
 
 
 def _factor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,9 +92,9 @@ def ic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weighted_return(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By week: returns weighted by cap, where at least 20 instruments have both."""
-    out = bars(spark, sf_dir).withColumn("r", ts.returns(C("close"))).where("r is not null and cap > 0")
-    return out.groupBy("week_no").agg(F.count("*").alias("n"), snapped(F.sum(C("r") * C("cap")) / F.sum("cap")).alias("ret")).where("n >= 20")
+    """By week: returns weighted by the amount of the week before, where at least 20 instruments have both."""
+    out = bars(spark, sf_dir).withColumns({"r": ts.returns(C("close")), "w": ts.delay(C("amount"), 1).cast("double")}).where("r is not null and w > 0")
+    return out.groupBy("week_no").agg(F.count("*").alias("n"), snapped(F.sum(C("r") * C("w")) / F.sum("w")).alias("ret")).where("n >= 20")
 
 
 def on_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,14 +158,14 @@ SQL = {
     "interval_join": f"WITH {BARS_SQL}, {_BUSY} SELECT b.instrument, week_no, since AS start FROM bars b LEFT JOIN s ON s.instrument = b.instrument AND week_no BETWEEN since AND until",
     "newest_rows": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC, o_totalprice DESC) = 1",
     "top_k": f"WITH {BARS_SQL}, r AS (SELECT week_no, instrument, (row_number() OVER (PARTITION BY week_no ORDER BY {_snapped('amount')} DESC, instrument))::INT AS place FROM bars) SELECT * FROM r WHERE place <= 5",
-    "every_kth_date": f"WITH {BARS_SQL} SELECT week_no, count(*) AS n, sum(volume) AS volume FROM bars WHERE week_no % 5 = 0 GROUP BY week_no",
+    "every_kth_date": f"WITH {BARS_SQL} SELECT week_no, count(*) AS n, sum(volume) AS volume FROM bars GROUP BY week_no QUALIFY row_number() OVER (ORDER BY week_no) % 5 = 1",
     "attribution": f"WITH {BARS_SQL}, {_FACTOR}, r AS (SELECT *, row_number() OVER (PARTITION BY week_no ORDER BY factor, instrument) AS place, count(*) OVER (PARTITION BY week_no) AS n FROM k) SELECT week_no, {_snapped('avg(CASE WHEN place <= n // 5 THEN label END)')} AS short, {_snapped('avg(CASE WHEN place > n - n // 5 THEN label END)')} AS long FROM r WHERE n >= 20 GROUP BY week_no",
     "pockets": f"WITH {BARS_SQL}, {_FACTOR} SELECT week_no % 5 + 1 AS pocket, count(*) AS n, {_snapped('avg(label)')} AS mean, {_snapped('stddev_samp(label)')} AS sd FROM k GROUP BY 1",
     "ic_summary": f"""WITH {BARS_SQL}, {_FACTOR},
 r AS (SELECT *, {{rf}} AS rf, {{rl}} AS rl FROM k),
 w AS (SELECT week_no, covar_samp(rf, rl) / (stddev_samp(rf) * stddev_samp(rl)) AS ic FROM r GROUP BY week_no HAVING count(*) >= 20)
 SELECT floor(week_no / 52)::INT AS year, count(*) AS weeks, {_snapped('avg(ic)')} AS ic_mean, {_snapped('stddev_samp(ic)')} AS ic_sd, {_snapped('avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END)')} AS positive FROM w GROUP BY 1""".format(**{f"r{x[0]}": f"(rank() OVER (PARTITION BY week_no ORDER BY {x}) + (count(*) OVER (PARTITION BY week_no, {x}) - 1) / 2) / count(*) OVER (PARTITION BY week_no)" for x in ("factor", "label")}),
-    "weighted_return": f"WITH {BARS_SQL}, r AS (SELECT *, close / {_lag('close', 1)} - 1 AS r FROM bars) SELECT week_no, count(*) AS n, {_snapped('sum(r * cap) / sum(cap)')} AS ret FROM r WHERE r IS NOT NULL AND cap > 0 GROUP BY week_no HAVING count(*) >= 20",
+    "weighted_return": f"WITH {BARS_SQL}, r AS (SELECT *, close / {_lag('close', 1)} - 1 AS r, ({_lag('amount', 1)})::DOUBLE AS w FROM bars) SELECT week_no, count(*) AS n, {_snapped('sum(r * w) / sum(w)')} AS ret FROM r WHERE r IS NOT NULL AND w > 0 GROUP BY week_no HAVING count(*) >= 20",
     "on_balance_volume": f"WITH {BARS_SQL}, c AS (SELECT *, coalesce(sign(close - {_lag('close', 1)}), 0) * volume AS signed FROM bars) SELECT instrument, week_no, {_snapped(f'sum(signed) OVER ({_BY} ROWS UNBOUNDED PRECEDING)')} AS value FROM c",
     "gain_share": f"WITH {BARS_SQL}, c AS (SELECT *, close - {_lag('close', 1)} AS change FROM bars), v AS (SELECT instrument, week_no, CASE WHEN count(change) OVER w = 6 THEN sum(greatest(change, 0)) OVER w / (sum(abs(change)) OVER w + 1e-12) END AS x FROM c WINDOW w AS ({_BY} RANGE BETWEEN 5 PRECEDING AND CURRENT ROW)) SELECT instrument, week_no, {_snapped('x')} AS value FROM v",
     "sma_recursive": f"""WITH RECURSIVE {BARS_SQL},
