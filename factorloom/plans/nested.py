@@ -169,11 +169,10 @@ class Panel:
         return self._window(ALONG, lambda a: ts.argmin(a, d), lambda a: f"CASE WHEN count({a}) {_w(d)} = {d} THEN list_position(list({a}) {_w(d)}, min({a}) {_w(d)})::DOUBLE END", x, exact=True)
 
     def decay(self, x, d):
-        """Weights 1 to d as two sums: of values times the week's number, and of values."""
-        week = lambda: C(ts.ORDER).cast("double")
+        """Weights 1 to d, the newest heaviest."""
         return self._window(
             ALONG,
-            lambda a: ts.full(d, lambda: F.sum(a * week()), a) * (2.0 / (d * (d + 1))) - (week() - d) * ts.full(d, lambda: F.sum(a), a) * (2.0 / (d * (d + 1))),
+            lambda a: F.aggregate(F.transform(ts.values(a, d), lambda y, i: y * (i + 1)), F.lit(0.0), lambda t, y: t + y) / (d * (d + 1) / 2),
             lambda a: f"CASE WHEN count({a}) {_w(d)} = {d} THEN list_sum(list_transform(list({a}) {_w(d)}, lambda y, i: y * i)) / {d * (d + 1) / 2!r} END",
             x,
         )
@@ -212,8 +211,9 @@ class Panel:
         return _same(x, row.log, "CASE WHEN {x} > 0 THEN ln({x}) END")
 
     def power(self, x, e):
+        """Of a positive base; missing where the result is infinite."""
         e = constant(e)
-        return x._with(e, lambda a, b: F.when(a > 0, F.pow(a, b)), f"CASE WHEN {x.sql} > 0 THEN power({x.sql}, {e.sql}) END")
+        return x._with(e, lambda a, b: row.replace_inf(F.when(a > 0, F.pow(a, b))), f"CASE WHEN {x.sql} > 0 AND isfinite(power({x.sql}, {e.sql})) THEN power({x.sql}, {e.sql}) END")
 
     def lesser(self, x, y):
         return x._with(y, row.element_min, f"CASE WHEN {x.sql} IS NOT NULL AND {y.sql} IS NOT NULL THEN least({x.sql}, {y.sql}) END")
