@@ -22,7 +22,11 @@ def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = credentials.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     strong = F.col("strong_spans")
-    counts = [F.size(F.filter(strong, lambda s, k=k: s["no"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(credentials.STRONG)]
+
+    def spans_of(kind: int):
+        return F.size(F.filter(strong, lambda span: span["no"] == kind))  # one parameter: a second one would be the position
+
+    counts = [spans_of(kind).cast("long").alias(f"n_{name}") for kind, name in enumerate(credentials.STRONG)]
     return out.select("doc_id", *counts, F.sha2(credentials.told(strong), 256).alias("base_sha256"), credentials.told(F.col("secret_spans")).alias("spans"))
 
 
