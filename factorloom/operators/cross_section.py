@@ -56,6 +56,14 @@ def residual(y: Column, x: Column) -> Column:
     return F.when(both, y - F.avg(b).over(_day()) - beta * (x - F.avg(a).over(_day())))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """An aggregate: Pearson over the rows that have both; missing where a side is constant or there are fewer than two."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    return F.when(varies, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
+
+
 def rank_zscore(x: Column) -> Column:
     """Ranks less their mean, by the deviation of 1 to n."""
     n = F.count(x).over(_day())

@@ -117,7 +117,7 @@ def forward_rank_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bars(spark, sf_dir).withColumn("factor", -ts.returns(C("close"))).withColumn("label", F.max("close").over(ts.frame(1, -1)) / C("close") - 1).where("factor is not null and label is not null")
     out = out.withColumns({"rf": xs.rank(C("factor")), "rl": xs.rank(C("label")), "q": xs.bucket(C("factor"), 5)})
     spread = F.avg(F.when(C("q") == 5, C("label"))) - F.avg(F.when(C("q") == 1, C("label")))
-    return out.groupBy("week_no").agg(F.count("*").alias("n"), snapped(F.corr("factor", "label")).alias("ic"), snapped(F.corr("rf", "rl")).alias("rank_ic"), snapped(spread).alias("spread")).where("n >= 20")
+    return out.groupBy("week_no").agg(F.count("*").alias("n"), snapped(xs.correlation(C("factor"), C("label"))).alias("ic"), snapped(xs.correlation(C("rf"), C("rl"))).alias("rank_ic"), snapped(spread).alias("spread")).where("n >= 20")
 
 
 _IC = f"""

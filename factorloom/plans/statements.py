@@ -273,7 +273,7 @@ _LONG = f"{_FACTORS}, lg AS (" + " UNION ALL ".join(f"SELECT instrument, week_no
 
 def effectiveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By factor: weeks with a correlation, its mean and the mean over its deviation, and the side to take."""
-    ic = _long(spark, sf_dir).where("x is not null and label is not null").groupBy("factor", "week_no").agg(F.count("*").alias("n"), F.corr("x", "label").alias("ic")).where("n >= 20")
+    ic = _long(spark, sf_dir).where("x is not null and label is not null").groupBy("factor", "week_no").agg(F.count("*").alias("n"), xs.correlation(C("x"), C("label")).alias("ic")).where("n >= 20")
     return ic.groupBy("factor").agg(F.count("ic").alias("weeks"), snapped(F.avg("ic")).alias("mean"), snapped(F.try_divide(F.avg("ic"), F.stddev_samp("ic"))).alias("ir"), F.signum(F.round(F.avg("ic"), 6)).cast("int").alias("side"))
 
 
@@ -289,7 +289,7 @@ def rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _factors(spark, sf_dir).where("momentum is not null").withColumns({f"r_{k}": xs.rank(C(k)) for k in _TWO})
     names = list(_TWO)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    weekly = f.groupBy("week_no").agg(F.count("*").alias("n"), *[F.corr(f"r_{a}", f"r_{b}").alias(f"{a}_{b}") for a, b in pairs]).where("n >= 20")
+    weekly = f.groupBy("week_no").agg(F.count("*").alias("n"), *[xs.correlation(C(f"r_{a}"), C(f"r_{b}")).alias(f"{a}_{b}") for a, b in pairs]).where("n >= 20")
     return weekly.agg(*[snapped(F.avg(f"{a}_{b}")).alias(f"{a}_{b}") for a, b in pairs])
 
 
