@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import credentials, embeddings, licences, mixing, quality, sharding, simhash, suffixes, tokens, warc
+from factorloom.llm import credentials, embeddings, licences, mixing, nbsvm, quality, resampling, sharding, simhash, suffixes, tokens, warc, whitening
 from factorloom.llm.common import shared_dir, table
 
 BPE = "byte_bpe_50k.tiktoken"
@@ -76,7 +76,27 @@ def op10_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "sharded.shard", "sharded.slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_secret_scan, op3_byte_bpe, op4_warc, op5_itq_near_dedup, op6_simhash_near_dedup, op7_mixing, op8_quality_rules, op9_suffix_dedup, op10_karmarkar_karp)}
+def op11_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.crc32(id_text) % 5 == 0).alias("held_out"))
+    marks = table(spark, sf_dir, "labels").where(F.crc32(id_text) % 5 != 0).groupBy("doc_id").agg(F.min("quality").alias("mark"))
+    model = nbsvm.fit(docs.where("not held_out").join(marks, "doc_id"), "text", F.col("mark"))
+    out = nbsvm.classify(docs, model)
+    score = F.col(nbsvm.score_column(docs))
+    return out.select("doc_id", "held_out", score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = resampling.importance(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "importance.*")
+    return resampling.ranked(scored, "doc_id").select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_licence_scan, op2_secret_scan, op3_byte_bpe, op4_warc, op5_itq_near_dedup, op6_simhash_near_dedup, op7_mixing, op8_quality_rules, op9_suffix_dedup, op10_karmarkar_karp, op11_nbsvm, op12_whitening, op13_importance_resampling)}
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
