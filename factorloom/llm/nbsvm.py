@@ -3,7 +3,8 @@
 n-grams are of two kinds: runs of one and two words in lower case, and runs of one to three word shapes, where a shape
 tells capitals, letters, digits and other characters, and whether the word repeats the one before. Both are hashed to BUCKETS
 buckets, so that counts, ratios and weights have a size that no corpus changes. Counts are of all labelled rows; the
-hinge-loss model sees a sample of bounded size, and a fifth of that sample tunes the scores' scale.
+hinge-loss model sees a sample of bounded size. The scores' scale is tuned on margins of rows that neither the model of their
+fold nor their own part of the ratios has seen.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from factorloom.llm.common import free_name
 BITS = 16
 BUCKETS = 1 << BITS
 #: Rows and n-grams of the sample that the hinge-loss model is fitted on, about, at most.
-SAMPLE_ROWS = 20_000
-SAMPLE_GRAMS = 24_000_000
+SAMPLE_ROWS = 10_000
+SAMPLE_GRAMS = 16_000_000
+#: Parts of the sample that tune the scale in turn.
+FOLDS = 5
 #: Longest runs of words and of shapes.
 WORD_RUN, SHAPE_RUN = 2, 3
 #: Code points of texts that are taken apart at once, about.
@@ -188,7 +191,9 @@ def fit(labelled: DataFrame, text_col: str, good: Column, least: float = 1.0, co
 
     Log-count ratios are of all rows, least added to each count. The hinge-loss model takes the rows whose hash lies below a
     bound that leaves about sample_rows rows and sample_grams n-grams, whatever the corpus; one task fits it, and its weights are
-    drawn towards their mean size: blend of them is their own. Rows are ordered by hash before, so runs agree.
+    drawn towards their mean size: blend of them is their own. Rows are ordered by hash before, so runs agree. Repeated rows teach as
+    often as they stand there; null and empty texts have no n-grams and move the bias only; without rows of both classes the
+    model gives every text the same score. Other columns play no part.
     """
     rows = labelled.select(F.col(f"`{text_col}`").cast("string").alias("text"), good.cast("int").alias("good"), F.xxhash64(F.col(f"`{text_col}`"), F.lit(3)).alias("key")).where("good in (0, 1)")
     counts = rows.select("text", "good").mapInPandas(_counts, "bucket int, bad long, good long").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas()
@@ -196,7 +201,8 @@ def fit(labelled: DataFrame, text_col: str, good: Column, least: float = 1.0, co
     n0, n1 = (int(counts.loc[counts["bucket"] < 0, c].sum()) for c in ("bad", "good"))
     bad, well = np.zeros(BUCKETS), np.zeros(BUCKETS)
     bad[table["bucket"]], well[table["bucket"]] = table["bad"], table["good"]
-    ratio = np.log((well + least) / (well + least).sum()) - np.log((bad + least) / (bad + least).sum())
+    constant = np.log((bad + least).sum()) - np.log((well + least).sum())
+    ratio = np.log(well + least) - np.log(bad + least) + constant
     share = (n1 + 1) / (n0 + n1 + 2)
     if not n0 or not n1:
         return Model(share, ratio, np.zeros(BUCKETS))
@@ -206,17 +212,23 @@ def fit(labelled: DataFrame, text_col: str, good: Column, least: float = 1.0, co
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = pd.concat(list(batches) or [pd.DataFrame({"key": [], "good": [], "grams": []})]).sort_values(["key", "good", "grams"])
         grams, y = [np.frombuffer(g, dtype="<i4") for g in f["grams"]], np.where(f["good"].to_numpy() == 1, 1.0, -1.0)
-        tune = np.arange(len(f)) % 5 == 4
-        if len(set(y[tune])) < 2:  # a tiny sample tunes on its own rows
-            tune[:] = True
-        learn = np.flatnonzero(~tune if not tune.all() else tune)
-        weight, bias = dual_descent([grams[i] for i in learn], y[learn], ratio, cost)
-        weight = (1 - blend) * np.abs(weight).mean() + blend * weight
-        at = np.flatnonzero(tune)
-        size = [float(np.sqrt((ratio[grams[i]] ** 2).sum())) or 1.0 for i in at]
-        margin = np.array([ratio[grams[i]] @ weight[grams[i]] / s for i, s in zip(at, size, strict=True)]) + bias * blend
-        slope, offset = logistic_scale(margin, y[at] > 0)
-        yield pd.DataFrame({"weight": [weight.tolist()], "bias": [bias * blend], "slope": [slope], "offset": [offset]})
+        n = len(f)
+
+        def blended(at: np.ndarray) -> tuple[np.ndarray, float]:
+            weight, bias = dual_descent([grams[i] for i in at], y[at], ratio, cost)
+            return (1 - blend) * np.abs(weight).mean() + blend * weight, bias * blend
+
+        margin = np.zeros(n)
+        for fold in range(FOLDS):
+            own = np.arange(n) % FOLDS == fold
+            weight, bias = blended(np.flatnonzero(~own))
+            for i in np.flatnonzero(own):
+                g, one = grams[i], (y[i] > 0, y[i] < 0)
+                unseen = np.log(well[g] + least - one[0]) - np.log(bad[g] + least - one[1]) + constant
+                margin[i] = unseen @ weight[g] / (float(np.sqrt((unseen**2).sum())) or 1.0) + bias
+        slope, offset = logistic_scale(margin, y > 0)
+        weight, bias = blended(np.arange(n))
+        yield pd.DataFrame({"weight": [weight.tolist()], "bias": [bias], "slope": [slope], "offset": [offset]})
 
     sample = rows.where(F.shiftrightunsigned("key", 1) <= bound).select("key", "good", "text").mapInPandas(_taken_apart, "key long, good int, grams binary")
     found = sample.repartition(1).mapInPandas(fitted, "weight array<double>, bias double, slope double, offset double").head()

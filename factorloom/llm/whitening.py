@@ -32,7 +32,8 @@ def usable(vector: Column) -> Column:
 
 
 def whole(vector: Column) -> Column:
-    return F.transform(vector, lambda c: F.floor(c * SCALE).cast("long") + SHIFT)
+    """In whole numbers; null where a number isn't usable, since the optimizer may ask before rows are left out."""
+    return F.transform(vector, lambda c: F.when(F.abs(c) < _MOST, F.floor(c * SCALE).cast("long") + SHIFT))
 
 
 def sums(rows: DataFrame) -> dict[int, tuple[int, list[int]]]:
