@@ -13,6 +13,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,12 +41,17 @@ _PART = 2048
 
 def shape(word: str) -> str:
     """A for capitals, a for other letters, 0 for digits, other characters themselves; runs count once, and no more than twelve characters of the shape."""
+    if word.isalpha():  # most words, without a look at each character
+        if word.islower():
+            return "a"
+        if word.isascii() and (word.isupper() or word.istitle()):
+            return "A" if word.isupper() else "Aa"
     told = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
     return re.sub(r"(.)\1+", r"\1", told, flags=re.S)[:12]
 
 
 class _Words(dict):
-    """The place of each word in the tables of hashes; starts anew when it has grown large."""
+    """The place of each word in the tables of hashes; forgets all when it has grown large."""
 
     def __init__(self):
         super().__init__()
@@ -56,6 +62,16 @@ class _Words(dict):
         self.hashes.append((zlib.crc32(word.lower().encode("utf-8", "surrogatepass")), zlib.crc32(b"\0" + shape(word).encode("utf-8", "surrogatepass"))))
         return at
 
+    def bounded(self) -> _Words:
+        if len(self) > _KNOWN:
+            self.clear()
+            self.hashes.clear()
+        return self
+
+
+#: Each Python worker's own; only a short cut.
+_WORDS = _Words()
+
 
 def _runs(tokens: np.ndarray, doc: np.ndarray, longest: int, kind: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(document, bucket) of each run of 1 to longest tokens that stays within a document."""
@@ -73,17 +89,15 @@ def _runs(tokens: np.ndarray, doc: np.ndarray, longest: int, kind: int) -> Itera
 
 def indicators(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Of some texts after the others: the first one's place, and the sorted distinct pairs (text, bucket), texts counted from the first. Null has none."""
-    known = _Words()
     at = 0
     while at < len(texts):
         to, chars = at, 0
         while to < len(texts) and (to == at or chars + len(texts[to] or "") <= _PIECE):
             chars += len(texts[to] or "")
             to += 1
-        if len(known) > _KNOWN:
-            known = _Words()
+        known = _WORDS.bounded()
         parts = [(t or "").split() for t in texts[at:to]]
-        places = np.fromiter((known[w] for p in parts for w in p), dtype=np.int64, count=sum(map(len, parts)))
+        places = np.fromiter(map(known.__getitem__, chain.from_iterable(parts)), dtype=np.int64, count=sum(map(len, parts)))
         doc = np.repeat(np.arange(to - at), [len(p) for p in parts])
         hashes = np.array(known.hashes, dtype=np.uint64).reshape(-1, 2)[places] if len(places) else np.zeros((0, 2), dtype=np.uint64)
         word, form = hashes[:, 0].copy(), hashes[:, 1].copy()
@@ -91,7 +105,8 @@ def indicators(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.nd
         again[1:] = (word[1:] == word[:-1]) & (doc[1:] == doc[:-1])
         form[again] = _SAME
         pairs = [d * BUCKETS + b for runs in (_runs(word, doc, WORD_RUN, 0), _runs(form, doc, SHAPE_RUN, 1)) for d, b in runs]
-        pairs = np.unique(np.concatenate([*pairs, np.zeros(0, dtype=np.int64)]))
+        pairs = np.sort(np.concatenate([*pairs, np.zeros(0, dtype=np.int64)]))
+        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
         yield at, pairs >> BITS, pairs & (BUCKETS - 1)
         at = to
 
