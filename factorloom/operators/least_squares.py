@@ -96,3 +96,20 @@ def cross_fit(df: DataFrame, y: str, xs: list[str], *, group: str | None = None,
     told = {f"{prefix}b{i}": beta[i] for i in range(len(xs) + 1)}
     told[f"{prefix}residual"] = F.when(F.col(work["use"]), named[0] - dot(F.col(work["x"]), beta))
     return out.withColumns(told).select(*[F.col(f"`{c}`") for c in df.columns], *told)
+
+
+def regression_momentum(df: DataFrame, y: str, xs: list[str], out: str = "trend", *, lag: int = 1, lags: int = 12, stride: int = 1, enough: int = 8, least: int = 36, spare: int = 10) -> DataFrame:
+    """df with the sum of xs times their expected coefficients: those of y on a constant and xs of lag rows ago, date by date, averaged over this date and each stride-th before it, lags in all, if enough of them are there.
+
+    Averages stand in a table of one row for each date, which joins the panel at the end.
+    """
+    from factorloom.operators.series import delay
+
+    work = [free(df, f"trend_work_{i}") for i in range(len(xs))]
+    shifted = df.withColumns({w: delay(F.col(f"`{x}`").cast("double"), lag) for w, x in zip(work, xs, strict=True)})
+    found = fits(shifted, F.col(f"`{y}`"), F.array(F.lit(1.0), *[F.col(w) for w in work]), least=max(least, len(xs) + 1 + spare))
+    dates = df.select(DATE).distinct().join(found, DATE, "left")  # a date without a fit has an average too
+    past = Window.partitionBy(F.pmod(DATE, F.lit(stride))).orderBy(DATE).rangeBetween(-(lags - 1) * stride, 0)
+    means = [F.when(F.count("beta").over(past) >= enough, F.avg(F.col("beta")[i + 1]).over(past)).alias(w) for i, w in enumerate(work)]
+    told = sum((F.col(f"`{x}`") * F.col(w) for x, w in zip(xs, work, strict=True)), F.lit(0.0))
+    return df.join(dates.select(DATE, *means), DATE, "left").select(*[F.col(f"`{c}`") for c in df.columns], told.alias(out))

@@ -178,12 +178,18 @@ def downside_beta(y: Column, market: Column, d: int, least: int) -> Column:
     w = frame(d)
     rows = F.collect_list(F.struct(y.cast("double").alias("y"), market.cast("double").alias("m"))).over(w)
     mean = F.avg(market).over(w)
-    low = F.filter(rows, lambda r: r["y"].isNotNull() & (r["m"] < mean))
-    n = F.size(low)
-    total = lambda f: F.aggregate(low, F.lit(0.0), lambda s, r: s + f(r))
-    my, mm = total(lambda r: r["y"]) / n, total(lambda r: r["m"]) / n
-    top, bottom = total(lambda r: (r["y"] - my) * (r["m"] - mm)), total(lambda r: (r["m"] - mm) * (r["m"] - mm))
-    return F.when(n >= least, F.try_divide(top, bottom))
+    none = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "y", "m", "ym", "mm")])
+
+    def add(s: Column, r: Column) -> Column:
+        apart = r["m"] - s["mean"]
+        use = r["y"].isNotNull() & (apart < 0)
+        more = {"n": F.lit(1.0), "y": r["y"], "m": apart, "ym": r["y"] * apart, "mm": apart * apart}
+        return F.struct(s["mean"].alias("mean"), *[F.when(use, s[c] + v).otherwise(s[c]).alias(c) for c, v in more.items()])
+
+    def told(s: Column) -> Column:
+        return F.when(s["n"] >= least, F.try_divide(s["ym"] - s["y"] * s["m"] / s["n"], s["mm"] - s["m"] * s["m"] / s["n"]))
+
+    return F.aggregate(rows, F.struct(mean.alias("mean"), *[none[c].alias(c) for c in ("n", "y", "m", "ym", "mm")]), add, told)
 
 
 def frazzini_pedersen_beta(y: Column, market: Column, d: int, least: int) -> Column:
