@@ -29,7 +29,8 @@ def least_norm(gram: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndar
     """
     k = gram.shape[-1]
     size = np.sqrt(np.einsum("nii->ni", gram))
-    size = np.where(size > 0, size, 1.0)
+    none = size == 0  # a regressor that is nowhere has a coefficient of exactly 0
+    size = np.where(none, 1.0, size)
     scaled = gram / size[:, :, None] / size[:, None, :]
     rank = (np.linalg.eigvalsh(scaled) > _SINGULAR).sum(axis=1)
     inverse = np.empty_like(gram)
@@ -39,6 +40,8 @@ def least_norm(gram: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndar
         values, vectors = np.linalg.eigh(gram[~whole])
         kept = np.arange(k)[None, :] >= k - rank[~whole][:, None]
         inverse[~whole] = np.einsum("nij,nj,nkj->nik", vectors, np.where(kept, 1.0 / np.where(kept, values, 1.0), 0.0), vectors)
+    inverse[none] = 0.0
+    inverse.transpose(0, 2, 1)[none] = 0.0
     return np.einsum("nij,nj->ni", inverse, right), inverse
 
 
