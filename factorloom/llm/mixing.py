@@ -46,13 +46,14 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size:
     A document is taken whole as often as its source's budget holds the whole source; of what is left, documents take their
     words in the order of their keys until the budget is met, so at most one document of a source is cut. Null sources are
     one source, after all others; null and empty texts have size 0 and take nothing; rows with equal ids stand next to
-    each other in the order, and equal rows are taken one after the other. An empty table gives an empty table.
+    each other in the order, by size and then by a hash of all their columns, and equal rows are taken one after the other. An empty table gives an empty table.
     """
     size = F.size(words(F.col(f"`{text_col}`"))).cast("long") if size is None else size
-    n = {k: free_name(df, f"mix_{k}") for k in ("size", "key", "bucket", "none", "source")}
+    n = {k: free_name(df, f"mix_{k}") for k in ("size", "key", "bucket", "none", "source", "row")}
     bits = min(31, math.ceil(math.log2(max(1, df.count())) / 2))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))))
     rows = df.withColumns({n["size"]: size, n["key"]: key, n["none"]: F.col(f"`{source_col}`").isNull(), n["source"]: F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))})
+    rows = rows.withColumn(n["row"], F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))  # settles equal keys: reruns agree
     rows = rows.withColumn(n["bucket"], F.shiftright(F.conv(F.substring(n["key"], 1, 8), 16, 10).cast("long"), 32 - bits))
     at = [n["none"], n["source"]]
     sums = rows.groupBy(*at, n["bucket"]).agg(F.sum(n["size"]).alias("s"))
@@ -63,7 +64,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", size:
     epochs = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0).cast("long"))
     name = mix_column(df)
     share = share.select(*at, n["bucket"], F.struct("before", "source_size", "target", "budget", epochs.alias("epochs")).alias(name))
-    own = Window.partitionBy(*at, n["bucket"]).orderBy(n["key"], n["size"]).rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy(*at, n["bucket"]).orderBy(n["key"], n["size"], n["row"]).rowsBetween(Window.unboundedPreceding, -1)
     m = F.col(name)
     out = rows.join(share, [*at, n["bucket"]])
     before = m["before"] + F.coalesce(F.sum(n["size"]).over(own), F.lit(0))

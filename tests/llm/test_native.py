@@ -156,3 +156,10 @@ def test_mixing(awkward, empty, documents):
         assert words_out == sum(taken.values())
     assert mixing.mix(empty).count() == 0 and mixing.materialise(empty).count() == 0
     assert mixing.mix(documents.where(F.lit(False)).withColumn("source", F.lit(None).cast("string"))).count() == 0
+
+
+def test_the_mix_of_rows_without_ids_is_the_same_however_they_lie(spark):
+    rows = [(None, f"w{i} " * (2 + i % 3), "en", f"s{i % 2}", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixes = [sorted(map(tuple, mixing.materialise(df.repartition(n)).collect()), key=str) for n in (1, 5, 7)]
+    assert mixes[0] == mixes[1] == mixes[2] and mixes[0]
