@@ -218,14 +218,25 @@ def decayed(x: Column, d: int, decay: float) -> Column:
 
 
 def decayed_fit(y: Column, x: Column, d: int, decay: float, least: int) -> tuple[Column, Column]:
-    """Slope and intercept of y on x over the last d rows with weights that decay by age. The newest row's weight cancels, so one running weight serves all frames."""
-    w, both = frame(d), y.isNotNull() & x.isNotNull()
-    weight = F.when(both, F.pow(F.lit(decay), -F.pmod(F.col(ORDER), F.lit(1000)).cast("double")))
-    s = lambda v: F.sum(weight * v).over(w)
-    one = F.lit(1.0)
-    slope_ = F.try_divide(s(one) * s(x * y) - s(x) * s(y), s(one) * s(x * x) - s(x) * s(x))
-    enough = F.count(weight).over(w) >= least
-    return F.when(enough, slope_), F.when(enough, (s(y) - slope_ * s(x)) / s(one))
+    """Slope and intercept of y on x over the last d rows with weights that decay by age, from rows that have both. Ages count from the frame's own row, so any calendar will do; values are told from that row's, so that sums don't cancel."""
+    y, x = y.cast("double"), x.cast("double")
+    x0, y0 = F.coalesce(x, F.lit(0.0)), F.coalesce(y, F.lit(0.0))
+    rows = F.collect_list(F.struct(F.col(ORDER).alias("at"), x.alias("x"), y.alias("y"))).over(frame(d))
+    sums = ("n", "w", "wx", "wy", "wxx", "wxy")
+
+    def add(s: Column, r: Column) -> Column:
+        u, v, w = r["x"] - s["x0"], r["y"] - s["y0"], F.pow(F.lit(decay), (s["now"] - r["at"]).cast("double"))
+        more = dict(zip(sums, (F.lit(1.0), w, w * u, w * v, w * u * u, w * u * v), strict=True))
+        use = r["x"].isNotNull() & r["y"].isNotNull()
+        return F.struct(s["now"].alias("now"), s["x0"].alias("x0"), s["y0"].alias("y0"), *[F.when(use, s[c] + m).otherwise(s[c]).alias(c) for c, m in more.items()])
+
+    def told(s: Column) -> Column:
+        b = F.try_divide(s["wxy"] - s["wx"] * s["wy"] / s["w"], s["wxx"] - s["wx"] * s["wx"] / s["w"])
+        return F.when(s["n"] >= least, F.struct(b.alias("b"), (s["y0"] + s["wy"] / s["w"] - b * (s["x0"] + s["wx"] / s["w"])).alias("a")))
+
+    start = F.struct(F.col(ORDER).alias("now"), x0.alias("x0"), y0.alias("y0"), *[F.lit(0.0).alias(c) for c in sums])
+    fit = F.aggregate(rows, start, add, told)
+    return fit["b"], fit["a"]
 
 
 def spread_high_low(high: Column, low: Column) -> Column:

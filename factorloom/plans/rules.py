@@ -33,14 +33,6 @@ _DET = f"({_cov('open', 'open')} * {_cov('volume', 'volume')} - {_cov('open', 'v
 _FINE = f"count(*) {_w(10)} = 10 AND {_DET} > 1e-9 * {_cov('open', 'open')} * {_cov('volume', 'volume')}"
 _B1 = f"({_cov('volume', 'volume')} * {_cov('open', 'close')} - {_cov('open', 'volume')} * {_cov('volume', 'close')}) / {_DET}"
 _B2 = f"({_cov('open', 'open')} * {_cov('volume', 'close')} - {_cov('open', 'volume')} * {_cov('open', 'close')}) / {_DET}"
-_WT = "power(0.9, -(week_no % 1000)::DOUBLE)"
-
-
-def _ew(x: str) -> str:
-    return f"sum({_WT} * {x}) {_w(12)}"
-
-
-_EB = f"({_ew('1')} * {_ew('(open * close)')} - {_ew('open')} * {_ew('close')}) / ({_ew('1')} * {_ew('(open * open)')} - {_ew('open')} * {_ew('open')})"
 _K = 3 - 2 * 2**0.5
 _CS_B = f"(power(ln(high / low), 2) + power(ln({_lag('high', 1)} / {_lag('low', 1)}), 2))"
 _CS_G = f"CASE WHEN {_lag('high', 1)} IS NOT NULL THEN power(ln(greatest(high, {_lag('high', 1)}) / least(low, {_lag('low', 1)})), 2) END"
@@ -96,8 +88,8 @@ RULES: dict[str, tuple[Callable[[SimpleNamespace], Column], str]] = {
     "ts_high_low_spread": (lambda b: ts.spread_high_low(b.high, b.low), f"CASE WHEN {_CS_A} IS NOT NULL THEN greatest(0.0, 2 * (exp({_CS_A}) - 1) / (1 + exp({_CS_A}))) END"),
     "ts_missing_weeks": (lambda b: 10 - F.count(b.close).over(ts.frame(10)), f"10 - count(close) {_w(10)}"),
     "ew_sum": (lambda b: ts.decayed(b.close, 10, 0.9), " + ".join(f"{0.9**k!r} * coalesce({_lag('close', k) if k else 'close'}, 0)" for k in range(10))),
-    "ew_slope": (lambda b: ts.decayed_fit(b.close, b.open, 12, 0.9, 6)[0], f"CASE WHEN count(*) {_w(12)} >= 6 THEN {_EB} END"),
-    "ew_intercept": (lambda b: ts.decayed_fit(b.close, b.open, 12, 0.9, 6)[1], f"CASE WHEN count(*) {_w(12)} >= 6 THEN ({_ew('close')} - {_EB} * {_ew('open')}) / {_ew('1')} END"),
+    "ew_slope": (lambda b: ts.decayed_fit(b.close, b.open, 12, 0.9, 6)[0], "b"),  # over rows of their own, see below
+    "ew_intercept": (lambda b: ts.decayed_fit(b.close, b.open, 12, 0.9, 6)[1], "my - b * mx"),
     "cumulative_gain": (lambda b: ts.cumulative_gain((b.close / b.open - 1) / 100), "exp(sum(CASE WHEN close > open THEN ln(1 + (close / open - 1) / 100) ELSE 0 END) OVER (PARTITION BY instrument ORDER BY week_no ROWS UNBOUNDED PRECEDING))"),
     "xs_rank_snapped": (lambda b: xs.rank(row.snap(b.volume / 3)), _rank("volume")),
     "xs_rank_members": (lambda b: xs.rank_members(b.volume, b.cap > 3000), f"CASE WHEN cap > 3000 THEN (rank() OVER (PARTITION BY week_no, cap > 3000 ORDER BY volume) + (count(*) OVER (PARTITION BY week_no, cap > 3000, volume) - 1) / 2) / count({_CAP.format('volume')}) OVER d END"),
@@ -121,3 +113,9 @@ def _query(column: Callable[[SimpleNamespace], Column]) -> Callable[[SparkSessio
 _WINDOWS = "WINDOW d AS (PARTITION BY week_no), s AS (PARTITION BY instrument, week_no % 3 ORDER BY week_no RANGE BETWEEN 9 PRECEDING AND CURRENT ROW)"
 QUERIES = {name: _query(column) for name, (column, _) in RULES.items()}
 SQL = {name: f"WITH {BARS_SQL} SELECT instrument, week_no, {_snapped(text)} AS value FROM bars {_WINDOWS}" for name, (_, text) in RULES.items()}
+#: Weights by age, pair by pair of weeks, and deviations from weighted means.
+_EW = f"""WITH {BARS_SQL},
+ag AS (SELECT a.instrument, a.week_no, power(0.9, a.week_no - b.week_no) AS w, b.open AS x, b.close AS y FROM bars a JOIN bars b ON b.instrument = a.instrument AND b.week_no BETWEEN a.week_no - 11 AND a.week_no),
+mn AS (SELECT instrument, week_no, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM ag GROUP BY instrument, week_no HAVING count(*) >= 6),
+sl AS (SELECT instrument, week_no, max(mx) AS mx, max(my) AS my, sum(w * (x - mx) * (y - my)) / nullif(sum(w * (x - mx) ** 2), 0) AS b FROM ag JOIN mn USING (instrument, week_no) GROUP BY instrument, week_no)"""
+SQL |= {name: f"{_EW} SELECT r.instrument, r.week_no, {_snapped(f'({RULES[name][1]})')} AS value FROM bars r LEFT JOIN sl USING (instrument, week_no)" for name in ("ew_slope", "ew_intercept")}
