@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.operators import kernels, least_squares
+from factorloom.operators import kernels, least_squares, pooled
 from factorloom.operators import regression as reg
 from factorloom.operators import series as ts
 from factorloom.plans.formulas import _shown, shown
@@ -153,6 +153,31 @@ g AS (SELECT week_no, {normal('y', 'p', 'q')} AS m FROM k GROUP BY week_no HAVIN
 d AS (SELECT a.week_no, avg(beta[2]) AS b4, avg(beta[3]) AS b12 FROM (SELECT DISTINCT week_no FROM rt) a JOIN f ON f.week_no BETWEEN a.week_no - 11 AND a.week_no GROUP BY a.week_no HAVING count(*) >= 8)
 SELECT x.instrument, x.week_no, {_shown('(x4 * b4 + x12 * b12)')} AS trend FROM x LEFT JOIN d USING (week_no)"""
 
+def tail_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all returns of 21 weeks together."""
+    out = pooled.tail_index(returns(spark, sf_dir), C("r"))
+    return out.select("week_no", "n", *_told(["threshold", "tail"]))
+
+
+_POOL = """pl AS (SELECT a.week_no, b.r FROM (SELECT DISTINCT week_no FROM rt) a JOIN rt b ON b.week_no BETWEEN a.week_no - 20 AND a.week_no WHERE b.r IS NOT NULL),
+qt AS (SELECT week_no, count(*) AS n, quantile_cont(r, 0.05) AS threshold FROM pl GROUP BY week_no),
+tl AS (SELECT week_no, any_value(n) AS n, any_value(threshold) AS threshold, CASE WHEN any_value(n) >= 100 AND any_value(threshold) < 0 THEN avg(CASE WHEN r < threshold THEN ln(r / threshold) END) END AS tail FROM pl JOIN qt USING (week_no) GROUP BY week_no)"""
+_TAIL = f"WITH {_RETURNS}, {_POOL} SELECT w.week_no, coalesce(n, 0) AS n, {_shown('threshold')} AS threshold, {_shown('tail')} AS tail FROM (SELECT DISTINCT week_no FROM rt) w LEFT JOIN tl USING (week_no)"
+
+
+def tail_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns on the tail index of the week before, over 26 weeks."""
+    rows = returns(spark, sf_dir)
+    before = pooled.tail_index(rows, C("r")).select((C("week_no") + 1).alias("week_no"), C("tail").alias("tail_before"))
+    out = reg.rolling_ols(rows.join(before, "week_no", "left"), "r", ["tail_before"], WINDOW, LEAST)
+    return out.select("instrument", "week_no", *_told(["b1"]))
+
+
+_TAIL_BETA = f"""WITH {_RETURNS}, {_POOL},
+x AS (SELECT instrument, rt.week_no, r, tail FROM rt JOIN tl ON tl.week_no = rt.week_no - 1 WHERE r IS NOT NULL AND tail IS NOT NULL),
+w AS (SELECT a.instrument, a.week_no, regr_slope(b.r, tail) AS b1 FROM rt a JOIN x b ON b.instrument = a.instrument AND b.week_no BETWEEN a.week_no - {WINDOW - 1} AND a.week_no GROUP BY ALL HAVING count(*) >= {LEAST})
+SELECT rt.instrument, rt.week_no, {_shown('b1')} AS b1 FROM rt LEFT JOIN w USING (instrument, week_no)"""
+
 #: Kernels as a user would add them.
 LIBRARY = kernels.Library()
 
@@ -182,5 +207,5 @@ t AS (SELECT instrument, week_no, volume, row_number() OVER (PARTITION BY instru
 d AS (SELECT instrument, week_no, (k - max(CASE WHEN top IS NULL OR volume > top THEN k END) OVER (PARTITION BY instrument ORDER BY week_no ROWS UNBOUNDED PRECEDING))::DOUBLE AS drought FROM t)
 SELECT instrument, week_no, drought, (count(*) OVER (PARTITION BY week_no) - rank() OVER (PARTITION BY week_no ORDER BY drought) - count(*) OVER (PARTITION BY week_no, drought) + 1) / count(*) OVER (PARTITION BY week_no) AS rarity FROM d"""
 
-QUERIES = {"rolling_ols": rolling_ols, "dimson_beta": dimson_beta, "price_delay": price_delay, "market_betas": market_betas, "cross_fit": cross_fit, "regression_momentum": regression_momentum, "user_library": user_library}
-SQL = {"rolling_ols": _ROLLING, "dimson_beta": _DIMSON, "price_delay": _PRICE_DELAY, "market_betas": _BETAS, "cross_fit": _CROSS, "regression_momentum": _TREND, "user_library": _LIBRARY}
+QUERIES = {"rolling_ols": rolling_ols, "dimson_beta": dimson_beta, "price_delay": price_delay, "market_betas": market_betas, "cross_fit": cross_fit, "regression_momentum": regression_momentum, "user_library": user_library, "tail_index": tail_index, "tail_beta": tail_beta}
+SQL = {"rolling_ols": _ROLLING, "dimson_beta": _DIMSON, "price_delay": _PRICE_DELAY, "market_betas": _BETAS, "cross_fit": _CROSS, "regression_momentum": _TREND, "user_library": _LIBRARY, "tail_index": _TAIL, "tail_beta": _TAIL_BETA}
