@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: tuple[str, ...] = ("panel", "study", "price_volume", "rules", "statements", "formulas", "regressions", "risk", "selection", "stores")
+MODULES: tuple[str, ...] = ("panel", "study", "price_volume", "rules", "statements", "formulas", "regressions", "risk", "selection", "stores", "held")
 
 
 def queries() -> dict[str, Query]:
