@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import components, cut, each_salt, salt, salts
@@ -203,7 +203,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     Rows link if their labels are equal and not null and the cosine of their vectors, in double precision, is least or more.
     Equal vectors of a label are one node with their number, so copies never make pairs. Vectors that are null, zero, or hold
     null or non-finite numbers link with nothing, nor do vectors of different lengths; each length has
-    its own rotation and radius, learnt from a sample. Rows without an id count as links, but name no component; kept is
+    its own rotation and radius, learnt from about sample vectors in all, or 256 of each length, drawn by their hash. Rows without an id count as links, but name no component; kept is
     then whether the component has no id. The radius leaves out MISS of the pairs at the least cosine, as far as the
     sample tells, and fewer above; tests measure the recall against brute force.
     """
@@ -212,10 +212,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label"), v.alias("vector"))
     valid = rows.where("label is not null").where(fine)
     groups = cut(valid.groupBy("label", "vector").agg(F.count("*").alias("n"), F.min("id").alias("first"), salts("id").alias("bits")).withColumn("node", F.monotonically_increasing_id()))
-    lengths = [r[0] for r in groups.select(F.size("vector").alias("length")).distinct().orderBy("length").collect()]
+    size, own = F.size("vector"), F.shiftrightunsigned(F.xxhash64("vector"), 1)
+    counts = {r[0]: r[1] for r in groups.groupBy(size.alias("length")).count().orderBy("length").collect()}
+    lengths = list(counts)
     each = max(sample // max(len(lengths), 1), 256)
-    own = Window.partitionBy(F.size("vector")).orderBy("h")
-    drawn = groups.select("vector", F.xxhash64("vector").alias("h")).withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= each).select("vector").toPandas()["vector"]
+    bounds = F.create_map(*[F.lit(v) for d, n in counts.items() for v in (d, int(min(1.0, each / n) * 2**63) - 1)])[size] if counts else F.lit(-1)
+    drawn = groups.select("vector", own.alias("h")).where(F.col("h") <= bounds).toPandas().sort_values("h", kind="stable")["vector"]  # by hash: about as many as each, of any table
     learnt, radii = {}, {}
     for length in lengths:
         known = np.stack([x for x in drawn if len(x) == length])
