@@ -171,4 +171,24 @@ SELECT page_id, strlen(payload) AS payload_bytes, {_BASE32} AS payload_digest, C
 FROM p JOIN g USING (payload)
 """
 
-SQL = {"op4_warc": _OP4, "op5_itq_near_dedup": _OP5, "op1_licence_scan": _OP1, "op7_mixing": _OP7, "op8_quality_rules": _OP8}
+_LOWERED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+#: CRC-32 by its rule: a table of 256 numbers from eight steps each, then byte by byte.
+_OP13 = f"""
+WITH d AS (SELECT doc_id, {_LOWERED} AS w FROM documents),
+dw AS (SELECT doc_id, unnest(w) AS word FROM d),
+bw AS (SELECT unnest({_LOWERED}) AS word FROM benchmark),
+v AS (SELECT DISTINCT word FROM (SELECT word FROM dw UNION ALL SELECT word FROM bw)),
+tb AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+h AS (SELECT word, list_transform(range(octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), 2 * i::INT + 1, 2))::BIGINT) AS bytes FROM v),
+c AS (SELECT word, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM h, tb),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN c USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN c USING (word) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000)::DOUBLE)))::BIGINT AS gain FROM s FULL JOIN t USING (bucket)),
+w AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM dw JOIN c USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+r AS (SELECT doc_id, len(d.w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || doc_id::VARCHAR), 1, 8))::BIGINT AS u FROM d LEFT JOIN w USING (doc_id)),
+k AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((u + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM r),
+o AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place FROM k)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * (SELECT count(*) FROM k WHERE n_features >= 20) // 100 THEN place END AS rank FROM o
+"""
+
+SQL = {"op13_importance_resampling": _OP13, "op4_warc": _OP4, "op5_itq_near_dedup": _OP5, "op1_licence_scan": _OP1, "op7_mixing": _OP7, "op8_quality_rules": _OP8}
