@@ -1,20 +1,25 @@
 """Formulas whose windows stand inside other windows: each window becomes a column of its own, level by level.
 
 A level holds windows along instruments or cross-sections of weeks, never both, so that all windows of a level share a shuffle.
+Recursions stand in levels too, among the windows along instruments: all of a level run in one grouped stage, which gets only the columns that are still read.
 What feeds a window is rounded to 40 bits first: values that differ in their last bits only tie, in ranks, extremes and flat windows.
 Division by zero is missing. Every operator is written twice, as a column and as DuckDB SQL.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable
 from math import floor
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.functions import scalars as row
 from factorloom.operators import cross_section as xs
+from factorloom.operators import kernels
 from factorloom.operators import series as ts
 from factorloom.plans.panel import _full, _lag, _w
 
@@ -96,11 +101,33 @@ def _same(x: Term, how: Callable[[Column], Column], sql: str) -> Term:
     return Term(lambda: how(x.column()), sql.format(x=x.sql), x.level)
 
 
+def smoothed(arrays: dict[str, np.ndarray], at: np.ndarray, alpha: float) -> np.ndarray:
+    """y = alpha x + (1 - alpha) y before; a missing value or calendar row has no y, and the next x starts anew."""
+    x = arrays["x"]
+    anew = np.isnan(x) | np.r_[True, np.isnan(x[:-1]) | (np.diff(at) != 1)] if len(x) else np.zeros(0, bool)
+    return pd.Series(x).groupby(np.cumsum(anew)).transform(lambda run: run.ewm(alpha=alpha, adjust=False).mean()).to_numpy(float)
+
+
+def held_slope(arrays: dict[str, np.ndarray], d: int) -> np.ndarray:
+    """The slope of y on x over the last d rows that the flag holds on, however far back; it stays until the next such row. A constant x has none."""
+    y, x = arrays["y"], arrays["x"]
+    use = np.flatnonzero((arrays["flag"] == 1) & ~np.isnan(x) & ~np.isnan(y))
+    if len(use) < d:
+        return np.full(len(y), np.nan)
+    ys, xs_ = (np.lib.stride_tricks.sliding_window_view(v[use], d) for v in (y, x))
+    off = xs_ - xs_.mean(axis=1, keepdims=True)
+    spread = (off**2).sum(axis=1)
+    told = np.where(spread * d > 1e-8, (off * ys).sum(axis=1) / np.where(spread > 0, spread, 1), np.nan)
+    latest = np.searchsorted(use[d - 1 :], np.arange(len(y)), side="right") - 1
+    return np.where(latest >= 0, told[latest], np.nan)
+
+
 class Panel:
     """Collects the steps of some formulas; equal steps are made once."""
 
     def __init__(self) -> None:
         self.steps: dict[str, tuple[str, Term]] = {}
+        self.recursions: dict[str, Callable[[], kernels.Kernel]] = {}
 
     def _step(self, column: Callable[[], Column], sql: str, level: float, exact: bool = False) -> Term:
         if sql not in self.steps:
@@ -120,6 +147,17 @@ class Panel:
         level += level % 2 != kind
         return self._step(lambda: how(*[x.column() for x in fixed]), sql(*[x.sql for x in fixed]), level, exact)
 
+    def _recursion(self, function: Callable[[dict[str, np.ndarray], np.ndarray], np.ndarray], sql: Callable[..., str], **inputs) -> Term:
+        fixed = {k: self._fixed(x) for k, x in inputs.items()}
+        made = self._window(ALONG, lambda *_: None, sql, *inputs.values())
+        name = made.sql
+
+        def kernel() -> kernels.Kernel:
+            return kernels.Kernel(kernels.SERIES, {k: x.column() for k, x in fixed.items()}, (name,), lambda arrays, at: {name: function(arrays, at)})
+
+        self.recursions[name] = kernel
+        return made
+
     # along an instrument
     def delay(self, x, d):
         return self._window(ALONG, lambda a: ts.delay(a, d), lambda a: _lag(a, d), x, exact=True)
@@ -177,7 +215,72 @@ class Panel:
             x,
         )
 
+    def wma(self, x, d):
+        """Weights 0.9 to the power of the age."""
+        whole = sum(0.9**k for k in range(d))
+        return self._window(
+            ALONG,
+            lambda a: F.aggregate(F.transform(ts.values(a, d), lambda y, i: y * F.pow(F.lit(0.9), d - 1 - i)), F.lit(0.0), lambda t, y: t + y) / whole,
+            lambda a: f"CASE WHEN count({a}) {_w(d)} = {d} THEN list_sum(list_transform(list({a}) {_w(d)}, lambda y, i: y * power(0.9, {d} - i))) / {whole!r} END",
+            x,
+        )
+
+    def trend(self, x, d):
+        """The slope of the line through d rows, by row."""
+        middle, whole = (d - 1) / 2, d * (d * d - 1) / 12
+        return self._window(
+            ALONG,
+            lambda a: F.aggregate(F.transform(ts.values(a, d), lambda y, i: y * (i - middle)), F.lit(0.0), lambda t, y: t + y) / whole,
+            lambda a: _full(d, f"regr_slope({a}, week_no::DOUBLE)", a),
+            x,
+        )
+
+    def _rows_since(self, x, d, extreme: Callable[[Column], Column], sql: str):
+        def column(a: Column) -> Column:
+            v = ts.values(a, d)
+            return (F.array_position(F.reverse(v), extreme(v)) - 1).cast("double")
+
+        return self._window(ALONG, column, lambda a: f"CASE WHEN count({a}) {_w(d)} = {d} THEN (list_position(list_reverse(list({a}) {_w(d)}), {sql}({a}) {_w(d)}) - 1)::DOUBLE END", x, exact=True)
+
+    def highday(self, x, d):
+        """Rows back to the latest maximum; 0 is this row."""
+        return self._rows_since(x, d, F.array_max, "max")
+
+    def lowday(self, x, d):
+        return self._rows_since(x, d, F.array_min, "min")
+
+    def climbed(self, x):
+        """The product of 1 + x over all rows so far where x is positive."""
+        past = "OVER (PARTITION BY instrument ORDER BY week_no ROWS UNBOUNDED PRECEDING)"
+        frame = lambda: Window.partitionBy(ts.KEY).orderBy(ts.ORDER).rowsBetween(Window.unboundedPreceding, 0)
+        return self._window(ALONG, lambda a: row.replace_inf(F.product(F.when(a > 0, 1 + a).otherwise(F.lit(1.0))).over(frame())), lambda a: f"exp(sum(CASE WHEN {a} > 0 THEN ln(1 + {a}) ELSE 0.0 END) {past})", x)
+
+    def sma(self, x, n, m):
+        """y = (m x + (n - m) y before) / n, anew after each missing value."""
+        step = f"CASE WHEN v IS NULL THEN NULL WHEN y IS NULL THEN v ELSE (v * {float(m)!r} + y * {float(n - m)!r}) / {float(n)!r} END"
+        return self._recursion(
+            lambda arrays, at: smoothed(arrays, at, m / n),
+            lambda a: f"list_reduce(list({a}) OVER (PARTITION BY instrument ORDER BY week_no ROWS UNBOUNDED PRECEDING), lambda y, v: {step})",
+            x=x,
+        )
+
+    def slope_where(self, y, x, condition: Term, d):
+        """Of y on x over the last d rows that meet the condition, held until the next such row."""
+
+        def sql(b: str, a: str, c: str) -> str:
+            rows = f"list({{'y': {b}, 'x': {a}, 'c': {c}}}) OVER (PARTITION BY instrument ORDER BY week_no ROWS UNBOUNDED PRECEDING)"
+            add = lambda e: f"list_sum(list_transform(w, lambda s: {e}))"
+            spread = f"({d} * {add('s.x * s.x')} - {add('s.x')} * {add('s.x')})"
+            told = f"CASE WHEN len(w) = {d} AND {spread} > 1e-8 THEN ({d} * {add('s.x * s.y')} - {add('s.x')} * {add('s.y')}) / {spread} END"
+            return f"list_transform([list_filter({rows}, lambda s: s.c = 1 AND s.x IS NOT NULL AND s.y IS NOT NULL)[-{d}:]], lambda w: {told})[1]"
+
+        return self._recursion(lambda arrays, at: held_slope(arrays, d), sql, y=y, x=x, flag=self.where(condition, 1, 0))
+
     # across a week
+    def market(self, x):
+        """The week's mean, the same for all its rows."""
+        return self._window(ACROSS, lambda a: F.avg(a).over(xs.Window.partitionBy(xs.DATE)), lambda a: f"avg({a}) {_D}", x)
+
     def rank(self, x):
         def column(a: Column) -> Column:
             week = xs.Window.partitionBy(xs.DATE)
@@ -197,6 +300,23 @@ class Panel:
         a, b = constant(a), constant(b)
         return Term(lambda: F.when(condition.column(), a.column()).otherwise(b.column()), f"CASE WHEN {condition.sql} THEN {a.sql} ELSE {b.sql} END", max(condition.level, a.level, b.level))
 
+    def mask(self, x, condition: Term) -> Term:
+        """Missing where the condition does not hold."""
+        x = constant(x)
+        return Term(lambda: F.when(condition.column(), x.column()), f"CASE WHEN {condition.sql} THEN {x.sql} END", max(condition.level, x.level))
+
+    def valid(self, *inputs: Term) -> Term:
+        def column() -> Column:
+            told = F.lit(True)
+            for x in inputs:
+                told = told & x.column().isNotNull()
+            return told
+
+        return Term(column, "(" + " AND ".join(f"{x.sql} IS NOT NULL" for x in inputs) + ")", max(x.level for x in inputs))
+
+    def root(self, x):
+        return _same(x, lambda a: F.when(a >= 0, F.sqrt(a)), "CASE WHEN {x} >= 0 THEN sqrt({x}) END")
+
     def fill(self, x, value=0.0):
         return _same(x, lambda a: F.coalesce(a, F.lit(float(value))), f"coalesce({{x}}, {float(value)!r})")
 
@@ -224,17 +344,26 @@ class Panel:
     def names(self) -> dict[str, object]:
         """What formulas may say."""
         base = {x: Term(lambda x=x: C(x), x, exact=True) for x in ("open", "high", "low", "close", "volume", "amount", "vwap", "cap")}
-        ops = ("delay", "delta", "sum", "mean", "product", "ts_min", "ts_max", "std", "cov", "corr", "ts_rank", "argmax", "argmin", "decay", "rank", "scale", "neutral", "where", "fill", "abs", "sign", "log", "power", "lesser", "greater")
+        ops = ("delay", "delta", "sum", "mean", "product", "ts_min", "ts_max", "std", "cov", "corr", "ts_rank", "argmax", "argmin", "decay", "rank", "scale", "neutral", "where", "fill", "abs", "sign", "log", "power", "lesser", "greater", "wma", "trend", "highday", "lowday", "climbed", "sma", "slope_where", "market", "mask", "valid", "root")
         return base | {x: getattr(self, x) for x in ops} | {"ret": base["close"] / self.delay(base["close"], 1) - 1, "flag": lambda c: self.where(c, 1, 0), "adv": lambda d: self.mean(base["volume"], d)}
 
     def _levels(self) -> list[list[tuple[str, Term]]]:
         levels = sorted({made.level for _, made in self.steps.values()})
         return [[x for x in self.steps.values() if x[1].level == level] for level in levels]
 
-    def apply(self, rows: DataFrame) -> DataFrame:
-        """The rows with a column for each step."""
-        for level in self._levels():
-            rows = rows.withColumns({name: made.column() for name, made in level})
+    def apply(self, rows: DataFrame, outputs: Iterable[Term] | None = None) -> DataFrame:
+        """The rows with a column for each step. If the outputs are named, a recursion's stage gets no column that nothing after it reads, as Spark sees into windows but not into such a stage."""
+        levels = self._levels()
+        for k, level in enumerate(levels):
+            windows = {name: made.column() for name, made in level if name not in self.recursions}
+            rows = rows.withColumns(windows) if windows else rows
+            runs = [self.recursions[name]() for name, _ in level if name in self.recursions]
+            if runs:
+                if outputs is not None:
+                    later = [made.sql for some in levels[k + 1 :] for _, made in some] + [made.sql for name, made in level if name in self.recursions] + [x.sql for x in outputs]
+                    read = {ts.KEY, ts.ORDER}.union(*(re.findall(r"\w+", x) for x in later))
+                    rows = rows.select(*[c for c in rows.columns if c in read])
+                rows = kernels.apply(rows, runs)
         return rows
 
     def sql(self, source: str) -> tuple[str, str]:
