@@ -27,6 +27,7 @@ C = F.col
 ALONG, ACROSS = 0, 1
 BITS = 40
 _D = "OVER (PARTITION BY week_no)"
+_PAST = "OVER (PARTITION BY instrument ORDER BY week_no ROWS UNBOUNDED PRECEDING)"
 
 
 def snap_sql(x: str, bits: int = BITS) -> str:
@@ -122,6 +123,35 @@ def held_slope(arrays: dict[str, np.ndarray], d: int) -> np.ndarray:
     return np.where(latest >= 0, told[latest], np.nan)
 
 
+def carried(arrays: dict[str, np.ndarray], at: np.ndarray, alpha: float) -> np.ndarray:
+    """The exponential average from the first value on; over missing values it stays, and what came before loses weight. Rows without an ordinal are no part of it."""
+    out, own = np.full(len(at), np.nan), ~np.isnan(at.astype(float))
+    out[own] = pd.Series(arrays["x"][own]).ewm(alpha=alpha, adjust=False, ignore_na=False).mean().to_numpy(float)
+    return out
+
+
+def blended(arrays: dict[str, np.ndarray]) -> np.ndarray:
+    """y = w x + (1 - w) y before, with a weight of each row; the first y is x, and y stays where a value is missing."""
+    y, told = np.nan, []
+    for x, w in zip(arrays["x"].tolist(), arrays["w"].tolist(), strict=True):
+        if x == x and w == w:
+            y = x if y != y else w * x + (1 - w) * y
+        told.append(y)
+    return np.array(told, dtype=float)
+
+
+def unbeaten_rows(arrays: dict[str, np.ndarray]) -> np.ndarray:
+    """Rows directly before that are not above this one. What a later row reaches can't bound one after it, so each row is looked at twice at most."""
+    highs: list[int] = []
+    x, told = arrays["x"], np.full(len(arrays["x"]), np.nan)
+    for i in np.flatnonzero(~np.isnan(x)).tolist():
+        while highs and x[highs[-1]] <= x[i]:
+            highs.pop()
+        told[i] = i - 1 - (highs[-1] if highs else -1)
+        highs.append(i)
+    return told
+
+
 class Panel:
     """Collects the steps of some formulas; equal steps are made once."""
 
@@ -276,6 +306,46 @@ class Panel:
 
         return self._recursion(lambda arrays, at: held_slope(arrays, d), sql, y=y, x=x, flag=self.where(condition, 1, 0))
 
+    def ewm(self, x, alpha):
+        """The exponential average that carries its value over missing rows."""
+        f = 1 - alpha
+        step = f"CASE WHEN y.y IS NULL THEN v WHEN v.y IS NULL THEN {{'y': y.y, 'w': y.w * {f!r}}} ELSE {{'y': (y.w * {f!r} * y.y + {alpha!r} * v.y) / (y.w * {f!r} + {alpha!r}), 'w': 1.0::DOUBLE}} END"
+        return self._recursion(
+            lambda arrays, at: carried(arrays, at, alpha),
+            lambda a: f"list_reduce(list({{'y': {a}, 'w': 1.0::DOUBLE}}) {_PAST}, lambda y, v: {step}).y",
+            x=x,
+        )
+
+    def blend(self, x, w):
+        step = "CASE WHEN v.y IS NULL OR v.w IS NULL THEN y WHEN y.y IS NULL THEN v ELSE {'y': v.w * v.y + (1 - v.w) * y.y, 'w': v.w} END"
+        first = "CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN {{'y': {a}, 'w': {b}}} ELSE {{'y': NULL::DOUBLE, 'w': NULL::DOUBLE}} END"
+        return self._recursion(lambda arrays, at: blended(arrays), lambda a, b: f"list_reduce(list({first.format(a=a, b=b)}) {_PAST}, lambda y, v: {step}).y", x=x, w=w)
+
+    def unbeaten(self, x):
+        """Rows directly before that are not above this one."""
+        return self._recursion(
+            lambda arrays, at: unbeaten_rows(arrays),
+            lambda a: f"CASE WHEN {a} IS NOT NULL THEN coalesce(list_position(list_reverse(list_transform(list({a}) {_PAST}, lambda y: y > {a})), true) - 2, len(list({a}) {_PAST}) - 1)::DOUBLE END",
+            x=x,
+        )
+
+    def streak(self, condition: Term):
+        """Rows up to this one that meet the condition without a break."""
+        place = Term(lambda: C(ts.ORDER).cast("double"), "week_no::DOUBLE", exact=True)
+        past = lambda: Window.partitionBy(ts.KEY).orderBy(ts.ORDER).rowsBetween(Window.unboundedPreceding, 0)
+        broken = self._window(ALONG, lambda a: F.max(a).over(past()), lambda a: f"max({a}) {_PAST}", self.mask(place, ~condition), exact=True)
+        first = self._window(ALONG, lambda a: F.min(a).over(past()), lambda a: f"min({a}) {_PAST}", place, exact=True)
+        return place - self.fill_with(broken, first - 1)
+
+    def scatter(self, x, d):
+        """The mean absolute deviation from the window's mean."""
+
+        def column(a: Column) -> Column:
+            v, mean = ts.values(a, d), ts.ts_mean(a, d)
+            return F.aggregate(F.transform(v, lambda y: F.abs(y - mean)), F.lit(0.0), lambda t, y: t + y) / d
+
+        return self._window(ALONG, column, lambda a: f"CASE WHEN count({a}) {_w(d)} = {d} THEN list_avg(list_transform(list({a}) {_w(d)}, lambda y: abs(y - avg({a}) {_w(d)}))) END", x)
+
     # across a week
     def market(self, x):
         """The week's mean, the same for all its rows."""
@@ -317,6 +387,9 @@ class Panel:
     def root(self, x):
         return _same(x, lambda a: F.when(a >= 0, F.sqrt(a)), "CASE WHEN {x} >= 0 THEN sqrt({x}) END")
 
+    def fill_with(self, x, y) -> Term:
+        return x._with(y, lambda a, b: F.coalesce(a, b), "coalesce({}, {})")
+
     def fill(self, x, value=0.0):
         return _same(x, lambda a: F.coalesce(a, F.lit(float(value))), f"coalesce({{x}}, {float(value)!r})")
 
@@ -344,15 +417,15 @@ class Panel:
     def names(self) -> dict[str, object]:
         """What formulas may say."""
         base = {x: Term(lambda x=x: C(x), x, exact=True) for x in ("open", "high", "low", "close", "volume", "amount", "vwap", "cap")}
-        ops = ("delay", "delta", "sum", "mean", "product", "ts_min", "ts_max", "std", "cov", "corr", "ts_rank", "argmax", "argmin", "decay", "rank", "scale", "neutral", "where", "fill", "abs", "sign", "log", "power", "lesser", "greater", "wma", "trend", "highday", "lowday", "climbed", "sma", "slope_where", "market", "mask", "valid", "root")
+        ops = ("delay", "delta", "sum", "mean", "product", "ts_min", "ts_max", "std", "cov", "corr", "ts_rank", "argmax", "argmin", "decay", "rank", "scale", "neutral", "where", "fill", "abs", "sign", "log", "power", "lesser", "greater", "wma", "trend", "highday", "lowday", "climbed", "sma", "slope_where", "ewm", "blend", "unbeaten", "streak", "scatter", "market", "mask", "valid", "root")
         return base | {x: getattr(self, x) for x in ops} | {"ret": base["close"] / self.delay(base["close"], 1) - 1, "flag": lambda c: self.where(c, 1, 0), "adv": lambda d: self.mean(base["volume"], d)}
 
     def _levels(self) -> list[list[tuple[str, Term]]]:
         levels = sorted({made.level for _, made in self.steps.values()})
         return [[x for x in self.steps.values() if x[1].level == level] for level in levels]
 
-    def apply(self, rows: DataFrame, outputs: Iterable[Term] | None = None) -> DataFrame:
-        """The rows with a column for each step. If the outputs are named, a recursion's stage gets no column that nothing after it reads, as Spark sees into windows but not into such a stage."""
+    def apply(self, rows: DataFrame, outputs: Iterable[Term] | None = None, keep: Iterable[str] = ()) -> DataFrame:
+        """The rows with a column for each step. If the outputs are named, a recursion's stage gets no column that nothing after it reads and keep doesn't name, as Spark sees into windows but not into such a stage."""
         levels = self._levels()
         for k, level in enumerate(levels):
             windows = {name: made.column() for name, made in level if name not in self.recursions}
@@ -361,7 +434,7 @@ class Panel:
             if runs:
                 if outputs is not None:
                     later = [made.sql for some in levels[k + 1 :] for _, made in some] + [made.sql for name, made in level if name in self.recursions] + [x.sql for x in outputs]
-                    read = {ts.KEY, ts.ORDER}.union(*(re.findall(r"\w+", x) for x in later))
+                    read = {ts.KEY, ts.ORDER, *keep}.union(*(re.findall(r"\w+", x) for x in later))
                     rows = rows.select(*[c for c in rows.columns if c in read])
                 rows = kernels.apply(rows, runs)
         return rows

@@ -48,3 +48,18 @@ u AS (SELECT *, unnest(range(week_no, coalesce(after, week_no + 1))) AS week FRO
 dense AS (SELECT instrument, week::INT AS week_no, sector, industry, cap::DOUBLE AS cap, CASE WHEN week = week_no THEN volume::DOUBLE ELSE 1.0 END AS volume,
   """ + ", ".join(f"(CASE WHEN week = week_no THEN {x} ELSE close END)::DOUBLE AS {x}" for x in ("open", "high", "low", "close", "vwap", "amount")) + """ FROM u)
 """
+
+
+def gapped(panel: DataFrame) -> DataFrame:
+    """The panel with a row for every week between an instrument's first and last; a week without a row has no prices, volume or amount."""
+    after = F.lead("week_no").over(Window.partitionBy("instrument").orderBy("week_no"))
+    out = panel.withColumn("last_week", F.coalesce(after - 1, F.col("week_no"))).withColumn("week", F.explode(F.sequence("week_no", "last_week")))
+    told = [F.when(F.col("week") == F.col("week_no"), F.col(x).cast("double")).alias(x) for x in ("open", "high", "low", "close", "vwap", "amount", "volume")]
+    return out.select("instrument", F.col("week").alias("week_no"), *told, "sector", "industry", "cap")
+
+
+#: The same in DuckDB, after BARS_SQL.
+GAPPED_SQL = """
+n AS (SELECT *, lead(week_no) OVER (PARTITION BY instrument ORDER BY week_no) AS after FROM bars),
+u AS (SELECT *, unnest(range(week_no, coalesce(after, week_no + 1))) AS week FROM n),
+gapped AS (SELECT instrument, week::INT AS week_no, sector, industry, cap::DOUBLE AS cap, """ + ", ".join(f"(CASE WHEN week = week_no THEN {x} END)::DOUBLE AS {x}" for x in ("open", "high", "low", "close", "vwap", "amount", "volume")) + " FROM u)"
