@@ -321,11 +321,11 @@ class Panel:
         first = "CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN {{'y': {a}, 'w': {b}}} ELSE {{'y': NULL::DOUBLE, 'w': NULL::DOUBLE}} END"
         return self._recursion(lambda arrays, at: blended(arrays), lambda a, b: f"list_reduce(list({first.format(a=a, b=b)}) {_PAST}, lambda y, v: {step}).y", x=x, w=w)
 
-    def unbeaten(self, x):
-        """Rows directly before that are not above this one."""
+    def unbeaten(self, x, up=True):
+        """Rows directly before that are not above this one, or not below it."""
         return self._recursion(
-            lambda arrays, at: unbeaten_rows(arrays),
-            lambda a: f"CASE WHEN {a} IS NOT NULL THEN coalesce(list_position(list_reverse(list_transform(list({a}) {_PAST}, lambda y: y > {a})), true) - 2, len(list({a}) {_PAST}) - 1)::DOUBLE END",
+            lambda arrays, at: unbeaten_rows(arrays if up else {"x": -arrays["x"]}),
+            lambda a: f"CASE WHEN {a} IS NOT NULL THEN coalesce(list_position(list_reverse(list_transform(list({a}) {_PAST}, lambda y: y {'>' if up else '<'} {a})), true) - 2, len(list({a}) {_PAST}) - 1)::DOUBLE END",
             x=x,
         )
 

@@ -84,7 +84,7 @@ INDICATORS: dict[str, tuple[str, int]] = {
     "updays": ("streak(close > before)", 1),
     "downdays": ("streak(close < before)", 1),
     "topdays": ("unbeaten(high)", 1),
-    "lowdays": ("unbeaten(-low)", 1),
+    "lowdays": ("unbeaten(low, False)", 1),
 }
 
 GROUP = 11
