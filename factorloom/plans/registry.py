@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: tuple[str, ...] = ("panel", "study", "price_volume", "rules", "statements", "formulas", "formulas_191", "technical", "regressions", "risk", "selection", "stores", "held")
+MODULES: tuple[str, ...] = ("panel", "study", "price_volume", "rules", "statements", "formulas", "formulas_191", "technical", "regressions", "risk", "selection", "stores", "held", "evaluation")
 
 
 def queries() -> dict[str, Query]:
