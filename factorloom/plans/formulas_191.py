@@ -11,8 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factorloom.functions.scalars import snap
 from factorloom.plans.formulas import GROUP, _shown, shown
-from factorloom.plans.nested import Panel, Term, constant
+from factorloom.plans.nested import Panel, Term, constant, snap_sql
 from factorloom.sources.bars import BARS_SQL, DENSE_SQL, bars, dense
 
 #: The published formulas. `per` divides; `when` is a value where a condition holds, else 0, and missing unless the further values are there.
@@ -136,7 +137,7 @@ FORMULAS: dict[int, str] = {
     118: "per(sum(high - open, 20), sum(open - low, 20)) * 100",
     119: "rank(decay(corr(vwap, sum(adv(5), 26), 5), 7)) - rank(decay(ts_rank(ts_min(corr(rank(open), rank(adv(15)), 21), 9), 7), 8))",
     120: "per(rank(vwap - close), rank(vwap + close))",
-    121: "-power(rank(vwap - ts_min(vwap, 12)), ts_rank(corr(ts_rank(vwap, 20), ts_rank(adv(60), 2), 18), 3))",
+    121: "-power(rank(vwap - ts_min(vwap, 12)), ts_rank(coarse(corr(ts_rank(vwap, 20), ts_rank(adv(60), 2), 18)), 3))",
     122: "per(delta(thrice()), delay(thrice(), 1))",
     123: "below(rank(corr(sum(middle, 20), sum(adv(60), 20), 9)), rank(corr(low, volume, 6)), -1)",
     124: "per(close - vwap, decay(rank(ts_max(close, 30)), 2))",
@@ -153,7 +154,7 @@ FORMULAS: dict[int, str] = {
     135: "sma(delay(per(close, delay(close, 20)), 1), 20, 1)",
     136: "-rank(delta(ret, 3)) * corr(open, volume, 10)",
     137: "gapped()",
-    138: "ts_rank(decay(ts_rank(corr(ts_rank(low, 8), ts_rank(adv(60), 17), 5), 19), 16), 7) - rank(decay(delta(low * 0.7 + vwap * 0.3, 3), 20))",
+    138: "ts_rank(decay(ts_rank(coarse(corr(ts_rank(low, 8), ts_rank(adv(60), 17), 5)), 19), 16), 7) - rank(decay(delta(low * 0.7 + vwap * 0.3, 3), 20))",
     139: "-corr(open, volume, 10)",
     140: "lesser(rank(decay(rank(open) + rank(low) - (rank(high) + rank(close)), 8)), ts_rank(decay(corr(ts_rank(close, 8), ts_rank(adv(60), 20), 8), 7), 3))",
     141: "-rank(corr(rank(high), rank(adv(15)), 9))",
@@ -230,6 +231,10 @@ def words(panel: Panel) -> dict[str, object]:
     def delta(x, d=1):
         return fixed(x) - delay(x, d)
 
+    def coarse(x):
+        """To 30 bits: correlations of few ranks tie often, and those of one value must not part at a bound of finer rounding."""
+        return Term(lambda: snap(x.column(), 30), snap_sql(x.sql, 30), x.level)
+
     def above_0(x):
         return when(x > 0, x, x)
 
@@ -279,7 +284,7 @@ def words(panel: Panel) -> dict[str, object]:
 
     return w | {
         "before": before, "middle": middle, "typical": typical, "change": c - before, "fixed": fixed,
-        "per": per, "given": given, "when": when, "delta": delta, "above_0": above_0, "less": less, "below": below,
+        "per": per, "given": given, "when": when, "delta": delta, "above_0": above_0, "less": less, "below": below, "coarse": coarse,
         "square": lambda x: x * x,
         "growth": lambda d: per(c - delay(c, d), delay(c, d)),
         "off": lambda d: per(c - p.mean(c, d), p.mean(c, d)),
