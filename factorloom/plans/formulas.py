@@ -149,7 +149,7 @@ def _terms(ids: list[int]) -> tuple[Panel, dict[str, Term]]:
 def _query(ids: list[int]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         panel, terms = _terms(ids)
-        return panel.apply(dense(bars(spark, sf_dir))).select("instrument", "week_no", *[shown(term.column()).alias(name) for name, term in terms.items()])
+        return panel.apply(dense(bars(spark, sf_dir)), terms.values()).select("instrument", "week_no", *[shown(term.column()).alias(name) for name, term in terms.items()])
 
     return query
 

@@ -1,7 +1,7 @@
 """Formulas whose windows stand inside other windows: each window becomes a column of its own, level by level.
 
 A level holds windows along instruments or cross-sections of weeks, never both, so that all windows of a level share a shuffle.
-Recursions stand in levels too, among the windows along instruments: all of a level run in one grouped stage, which gets only the columns that are still read.
+All of a level run in one stage of Arrow batches (`operators/batches.py`), which gets only the columns that are still read. Recursions stand in levels too, among the windows along instruments.
 What feeds a window is rounded to 40 bits first: values that differ in their last bits only tie, in ranks, extremes and flat windows.
 Division by zero is missing. Every operator is written twice, as a column and as DuckDB SQL.
 """
@@ -10,16 +10,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from functools import partial
 from math import floor
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.functions import scalars as row
+from factorloom.operators import batches
 from factorloom.operators import cross_section as xs
-from factorloom.operators import kernels
 from factorloom.operators import series as ts
 from factorloom.plans.panel import _full, _lag, _w
 
@@ -102,11 +103,15 @@ def _same(x: Term, how: Callable[[Column], Column], sql: str) -> Term:
     return Term(lambda: how(x.column()), sql.format(x=x.sql), x.level)
 
 
-def smoothed(arrays: dict[str, np.ndarray], at: np.ndarray, alpha: float) -> np.ndarray:
-    """y = alpha x + (1 - alpha) y before; a missing value or calendar row has no y, and the next x starts anew."""
+def smoothed(arrays: dict[str, np.ndarray], at: np.ndarray, alpha: float, group: np.ndarray | None = None) -> np.ndarray:
+    """y = alpha x + (1 - alpha) y before; a missing value or calendar row has no y, and the next x starts anew, as does each group."""
     x = arrays["x"]
-    anew = np.isnan(x) | np.r_[True, np.isnan(x[:-1]) | (np.diff(at) != 1)] if len(x) else np.zeros(0, bool)
-    return pd.Series(x).groupby(np.cumsum(anew)).transform(lambda run: run.ewm(alpha=alpha, adjust=False).mean()).to_numpy(float)
+    if not len(x):
+        return np.zeros(0)
+    anew = np.isnan(x) | np.r_[True, np.isnan(x[:-1]) | (np.diff(at) != 1)]
+    if group is not None:
+        anew |= np.r_[True, np.diff(group) != 0]
+    return pd.Series(x).groupby(np.cumsum(anew)).ewm(alpha=alpha, adjust=False).mean().to_numpy(float)
 
 
 def held_slope(arrays: dict[str, np.ndarray], d: int) -> np.ndarray:
@@ -123,10 +128,12 @@ def held_slope(arrays: dict[str, np.ndarray], d: int) -> np.ndarray:
     return np.where(latest >= 0, told[latest], np.nan)
 
 
-def carried(arrays: dict[str, np.ndarray], at: np.ndarray, alpha: float) -> np.ndarray:
+def carried(arrays: dict[str, np.ndarray], at: np.ndarray, alpha: float, group: np.ndarray | None = None) -> np.ndarray:
     """The exponential average from the first value on; over missing values it stays, and what came before loses weight. Rows without an ordinal are no part of it."""
     out, own = np.full(len(at), np.nan), ~np.isnan(at.astype(float))
-    out[own] = pd.Series(arrays["x"][own]).ewm(alpha=alpha, adjust=False, ignore_na=False).mean().to_numpy(float)
+    group = np.zeros(len(at), int) if group is None else group
+    if own.any():
+        out[own] = pd.Series(arrays["x"][own]).groupby(group[own]).ewm(alpha=alpha, adjust=False, ignore_na=False).mean().to_numpy(float)
     return out
 
 
@@ -157,9 +164,9 @@ class Panel:
 
     def __init__(self) -> None:
         self.steps: dict[str, tuple[str, Term]] = {}
-        self.recursions: dict[str, Callable[[], kernels.Kernel]] = {}
+        self.windows: dict[str, tuple[batches.Window, list[Term]]] = {}
 
-    def _step(self, column: Callable[[], Column], sql: str, level: float, exact: bool = False) -> Term:
+    def _step(self, column: Callable[[], Column] | None, sql: str, level: float, exact: bool = False) -> Term:
         if sql not in self.steps:
             name = f"step_{len(self.steps)}"
             self.steps[sql] = (name, Term(column, sql, level, exact))
@@ -171,76 +178,78 @@ class Panel:
         x = constant(x)
         return x if x.exact else self._step(lambda: row.snap(x.column()), snap_sql(x.sql), (x.level + floor(x.level) + 1) / 2, True)
 
-    def _window(self, kind: int, how: Callable[..., Column], sql: Callable[..., str], *inputs, exact: bool = False) -> Term:
+    def _window(self, kind: int, how: batches.Window, sql: Callable[..., str], *inputs, exact: bool = False, beside: tuple[str, ...] = ()) -> Term:
+        """A function of the groups, the rounded inputs and the columns beside them."""
         fixed = [self._fixed(x) for x in inputs]
         level = int(max(x.level for x in fixed) + 1)
         level += level % 2 != kind
-        return self._step(lambda: how(*[x.column() for x in fixed]), sql(*[x.sql for x in fixed]), level, exact)
+        made = self._step(None, sql(*[x.sql for x in fixed]), level, exact)
+        self.windows[made.sql] = (how, [*fixed, *(Term(lambda c=c: C(c), c) for c in beside)])
+        return made
 
-    def _recursion(self, function: Callable[[dict[str, np.ndarray], np.ndarray], np.ndarray], sql: Callable[..., str], **inputs) -> Term:
-        fixed = {k: self._fixed(x) for k, x in inputs.items()}
-        made = self._window(ALONG, lambda *_: None, sql, *inputs.values())
-        name = made.sql
+    def _across(self, how: Callable[..., np.ndarray], sql: Callable[..., str], x, exact: bool = False, beside: tuple[str, ...] = ()) -> Term:
+        """A function of one week's rows."""
+        return self._window(ACROSS, lambda g, *arrays: g.each(how, *arrays), sql, x, exact=exact, beside=beside)
 
-        def kernel() -> kernels.Kernel:
-            return kernels.Kernel(kernels.SERIES, {k: x.column() for k, x in fixed.items()}, (name,), lambda arrays, at: {name: function(arrays, at)})
+    def _recursion(self, function: Callable[[dict[str, np.ndarray], batches.Groups], np.ndarray], sql: Callable[..., str], **inputs) -> Term:
+        names = list(inputs)
+        return self._window(ALONG, lambda g, *arrays: function(dict(zip(names, arrays, strict=True)), g), sql, *inputs.values())
 
-        self.recursions[name] = kernel
-        return made
+    def _each(self, function: Callable[[dict[str, np.ndarray]], np.ndarray], sql: Callable[..., str], **inputs) -> Term:
+        """A recursion of one history."""
+        names = list(inputs)
+        return self._recursion(lambda arrays, g: g.each(lambda *own: function(dict(zip(names, own, strict=True))), *arrays.values()), sql, **inputs)
 
     # along an instrument
     def delay(self, x, d):
-        return self._window(ALONG, lambda a: ts.delay(a, d), lambda a: _lag(a, d), x, exact=True)
+        return self._window(ALONG, lambda g, a: batches.delay(g, a, d), lambda a: _lag(a, d), x, exact=True)
 
     def delta(self, x, d=1):
         return x - self.delay(x, d)
 
     def sum(self, x, d):
-        return self._window(ALONG, lambda a: ts.ts_sum(a, d), lambda a: _full(d, f"sum({a})", a), x)
+        return self._window(ALONG, lambda g, a: batches.weighted(g, a, [1.0] * d), lambda a: _full(d, f"sum({a})", a), x)
 
     def mean(self, x, d):
-        return self._window(ALONG, lambda a: ts.ts_mean(a, d), lambda a: _full(d, f"avg({a})", a), x)
+        return self._window(ALONG, lambda g, a: batches.weighted(g, a, [1.0] * d) / d, lambda a: _full(d, f"avg({a})", a), x)
 
     def product(self, x, d):
-        return self._window(ALONG, lambda a: ts.product(a, d), lambda a: _full(d, f"product({a})", a), x)
+        return self._window(ALONG, lambda g, a: batches.product(g, a, d), lambda a: _full(d, f"product({a})", a), x)
 
     def ts_min(self, x, d):
-        return self._window(ALONG, lambda a: ts.ts_min(a, d), lambda a: _full(d, f"min({a})", a), x, exact=True)
+        return self._window(ALONG, lambda g, a: batches.extreme(g, a, d, True), lambda a: _full(d, f"min({a})", a), x, exact=True)
 
     def ts_max(self, x, d):
-        return self._window(ALONG, lambda a: ts.ts_max(a, d), lambda a: _full(d, f"max({a})", a), x, exact=True)
+        return self._window(ALONG, lambda g, a: batches.extreme(g, a, d, False), lambda a: _full(d, f"max({a})", a), x, exact=True)
 
     def std(self, x, d):
-        return self._window(ALONG, lambda a: ts.stddev(a, d), lambda a: f"CASE WHEN min({a}) {_w(d)} = max({a}) {_w(d)} AND count({a}) {_w(d)} = {d} THEN 0.0 ELSE {_full(d, f'stddev_samp({a})', a)} END", x)
+        return self._window(ALONG, lambda g, a: batches.deviation(g, a, d), lambda a: f"CASE WHEN min({a}) {_w(d)} = max({a}) {_w(d)} AND count({a}) {_w(d)} = {d} THEN 0.0 ELSE {_full(d, f'stddev_samp({a})', a)} END", x)
 
     def cov(self, x, y, d):
-        return self._window(ALONG, lambda a, b: ts.covariance(a, b, d), lambda a, b: _full(d, f"covar_samp({a}, {b})", a, b), x, y)
+        return self._window(ALONG, lambda g, a, b: batches.covariance(g, a, b, d), lambda a, b: _full(d, f"covar_samp({a}, {b})", a, b), x, y)
 
     def corr(self, x, y, d):
         def sql(a: str, b: str) -> str:
             flat = f"min({a}) {_w(d)} = max({a}) {_w(d)} OR min({b}) {_w(d)} = max({b}) {_w(d)}"
             return f"CASE WHEN count({a}) {_w(d)} = {d} AND count({b}) {_w(d)} = {d} THEN CASE WHEN {flat} THEN 0.0 ELSE greatest(-1.0, least(1.0, corr({a}, {b}) {_w(d)})) END END"
 
-        def column(a: Column, b: Column) -> Column:
-            return F.when((F.count(a).over(ts.frame(d)) == d) & (F.count(b).over(ts.frame(d)) == d), ts.correlation(a, b, d))
-
-        return self._window(ALONG, column, sql, x, y)
+        return self._window(ALONG, lambda g, a, b: batches.correlation(g, a, b, d), sql, x, y)
 
     def ts_rank(self, x, d):
         places = "(len(list_filter({v}, lambda y: y < {a})) + (len(list_filter({v}, lambda y: y = {a})) + 1) / 2) / {d}"
-        return self._window(ALONG, lambda a: ts.ts_rank(a, d), lambda a: f"CASE WHEN count({a}) {_w(d)} = {d} THEN " + places.format(v=f"(list({a}) {_w(d)})", a=a, d=d) + " END", x, exact=True)
+        return self._window(ALONG, lambda g, a: batches.place_in_window(g, a, d), lambda a: f"CASE WHEN count({a}) {_w(d)} = {d} THEN " + places.format(v=f"(list({a}) {_w(d)})", a=a, d=d) + " END", x, exact=True)
 
     def argmax(self, x, d):
-        return self._window(ALONG, lambda a: ts.argmax(a, d), lambda a: f"CASE WHEN count({a}) {_w(d)} = {d} THEN list_position(list({a}) {_w(d)}, max({a}) {_w(d)})::DOUBLE END", x, exact=True)
+        return self._window(ALONG, lambda g, a: batches.first_place(g, a, d, False), lambda a: f"CASE WHEN count({a}) {_w(d)} = {d} THEN list_position(list({a}) {_w(d)}, max({a}) {_w(d)})::DOUBLE END", x, exact=True)
 
     def argmin(self, x, d):
-        return self._window(ALONG, lambda a: ts.argmin(a, d), lambda a: f"CASE WHEN count({a}) {_w(d)} = {d} THEN list_position(list({a}) {_w(d)}, min({a}) {_w(d)})::DOUBLE END", x, exact=True)
+        return self._window(ALONG, lambda g, a: batches.first_place(g, a, d, True), lambda a: f"CASE WHEN count({a}) {_w(d)} = {d} THEN list_position(list({a}) {_w(d)}, min({a}) {_w(d)})::DOUBLE END", x, exact=True)
 
     def decay(self, x, d):
         """Weights 1 to d, the newest heaviest."""
         return self._window(
             ALONG,
-            lambda a: F.aggregate(F.transform(ts.values(a, d), lambda y, i: y * (i + 1)), F.lit(0.0), lambda t, y: t + y) / (d * (d + 1) / 2),
+            lambda g, a: batches.weighted(g, a, [k + 1.0 for k in range(d)]) / (d * (d + 1) / 2),
             lambda a: f"CASE WHEN count({a}) {_w(d)} = {d} THEN list_sum(list_transform(list({a}) {_w(d)}, lambda y, i: y * i)) / {d * (d + 1) / 2!r} END",
             x,
         )
@@ -250,7 +259,7 @@ class Panel:
         whole = sum(0.9**k for k in range(d))
         return self._window(
             ALONG,
-            lambda a: F.aggregate(F.transform(ts.values(a, d), lambda y, i: y * F.pow(F.lit(0.9), d - 1 - i)), F.lit(0.0), lambda t, y: t + y) / whole,
+            lambda g, a: batches.weighted(g, a, [0.9 ** (d - 1 - k) for k in range(d)]) / whole,
             lambda a: f"CASE WHEN count({a}) {_w(d)} = {d} THEN list_sum(list_transform(list({a}) {_w(d)}, lambda y, i: y * power(0.9, {d} - i))) / {whole!r} END",
             x,
         )
@@ -260,36 +269,31 @@ class Panel:
         middle, whole = (d - 1) / 2, d * (d * d - 1) / 12
         return self._window(
             ALONG,
-            lambda a: F.aggregate(F.transform(ts.values(a, d), lambda y, i: y * (i - middle)), F.lit(0.0), lambda t, y: t + y) / whole,
+            lambda g, a: batches.weighted(g, a, [k - middle for k in range(d)]) / whole,
             lambda a: _full(d, f"regr_slope({a}, week_no::DOUBLE)", a),
             x,
         )
 
-    def _rows_since(self, x, d, extreme: Callable[[Column], Column], sql: str):
-        def column(a: Column) -> Column:
-            v = ts.values(a, d)
-            return (F.array_position(F.reverse(v), extreme(v)) - 1).cast("double")
-
-        return self._window(ALONG, column, lambda a: f"CASE WHEN count({a}) {_w(d)} = {d} THEN (list_position(list_reverse(list({a}) {_w(d)}), {sql}({a}) {_w(d)}) - 1)::DOUBLE END", x, exact=True)
+    def _rows_since(self, x, d, least: bool, sql: str):
+        return self._window(ALONG, lambda g, a: d - batches.first_place(g, a, d, least, latest=True), lambda a: f"CASE WHEN count({a}) {_w(d)} = {d} THEN (list_position(list_reverse(list({a}) {_w(d)}), {sql}({a}) {_w(d)}) - 1)::DOUBLE END", x, exact=True)
 
     def highday(self, x, d):
         """Rows back to the latest maximum; 0 is this row."""
-        return self._rows_since(x, d, F.array_max, "max")
+        return self._rows_since(x, d, False, "max")
 
     def lowday(self, x, d):
-        return self._rows_since(x, d, F.array_min, "min")
+        return self._rows_since(x, d, True, "min")
 
     def climbed(self, x):
         """The product of 1 + x over all rows so far where x is positive."""
         past = "OVER (PARTITION BY instrument ORDER BY week_no ROWS UNBOUNDED PRECEDING)"
-        frame = lambda: Window.partitionBy(ts.KEY).orderBy(ts.ORDER).rowsBetween(Window.unboundedPreceding, 0)
-        return self._window(ALONG, lambda a: row.replace_inf(F.product(F.when(a > 0, 1 + a).otherwise(F.lit(1.0))).over(frame())), lambda a: f"exp(sum(CASE WHEN {a} > 0 THEN ln(1 + {a}) ELSE 0.0 END) {past})", x)
+        return self._window(ALONG, lambda g, a: g.each(np.cumprod, np.where(a > 0, 1 + a, 1.0)), lambda a: f"exp(sum(CASE WHEN {a} > 0 THEN ln(1 + {a}) ELSE 0.0 END) {past})", x)
 
     def sma(self, x, n, m):
         """y = (m x + (n - m) y before) / n, anew after each missing value."""
         step = f"CASE WHEN v IS NULL THEN NULL WHEN y IS NULL THEN v ELSE (v * {float(m)!r} + y * {float(n - m)!r}) / {float(n)!r} END"
         return self._recursion(
-            lambda arrays, at: smoothed(arrays, at, m / n),
+            lambda arrays, g: smoothed(arrays, g.at, m / n, g.group),
             lambda a: f"list_reduce(list({a}) OVER (PARTITION BY instrument ORDER BY week_no ROWS UNBOUNDED PRECEDING), lambda y, v: {step})",
             x=x,
         )
@@ -304,14 +308,14 @@ class Panel:
             told = f"CASE WHEN len(w) = {d} AND {spread} > 1e-8 THEN ({d} * {add('s.x * s.y')} - {add('s.x')} * {add('s.y')}) / {spread} END"
             return f"list_transform([list_filter({rows}, lambda s: s.c = 1 AND s.x IS NOT NULL AND s.y IS NOT NULL)[-{d}:]], lambda w: {told})[1]"
 
-        return self._recursion(lambda arrays, at: held_slope(arrays, d), sql, y=y, x=x, flag=self.where(condition, 1, 0))
+        return self._each(partial(held_slope, d=d), sql, y=y, x=x, flag=self.where(condition, 1, 0))
 
     def ewm(self, x, alpha):
         """The exponential average that carries its value over missing rows."""
         f = 1 - alpha
         step = f"CASE WHEN y.y IS NULL THEN v WHEN v.y IS NULL THEN {{'y': y.y, 'w': y.w * {f!r}}} ELSE {{'y': (y.w * {f!r} * y.y + {alpha!r} * v.y) / (y.w * {f!r} + {alpha!r}), 'w': 1.0::DOUBLE}} END"
         return self._recursion(
-            lambda arrays, at: carried(arrays, at, alpha),
+            lambda arrays, g: carried(arrays, g.at, alpha, g.group),
             lambda a: f"list_reduce(list({{'y': {a}, 'w': 1.0::DOUBLE}}) {_PAST}, lambda y, v: {step}).y",
             x=x,
         )
@@ -319,12 +323,12 @@ class Panel:
     def blend(self, x, w):
         step = "CASE WHEN v.y IS NULL OR v.w IS NULL THEN y WHEN y.y IS NULL THEN v ELSE {'y': v.w * v.y + (1 - v.w) * y.y, 'w': v.w} END"
         first = "CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN {{'y': {a}, 'w': {b}}} ELSE {{'y': NULL::DOUBLE, 'w': NULL::DOUBLE}} END"
-        return self._recursion(lambda arrays, at: blended(arrays), lambda a, b: f"list_reduce(list({first.format(a=a, b=b)}) {_PAST}, lambda y, v: {step}).y", x=x, w=w)
+        return self._each(blended, lambda a, b: f"list_reduce(list({first.format(a=a, b=b)}) {_PAST}, lambda y, v: {step}).y", x=x, w=w)
 
     def unbeaten(self, x, up=True):
         """Rows directly before that are not above this one, or not below it."""
-        return self._recursion(
-            lambda arrays, at: unbeaten_rows(arrays if up else {"x": -arrays["x"]}),
+        return self._each(
+            lambda arrays: unbeaten_rows(arrays if up else {"x": -arrays["x"]}),
             lambda a: f"CASE WHEN {a} IS NOT NULL THEN coalesce(list_position(list_reverse(list_transform(list({a}) {_PAST}, lambda y: y {'>' if up else '<'} {a})), true) - 2, len(list({a}) {_PAST}) - 1)::DOUBLE END",
             x=x,
         )
@@ -332,38 +336,27 @@ class Panel:
     def streak(self, condition: Term):
         """Rows up to this one that meet the condition without a break."""
         place = Term(lambda: C(ts.ORDER).cast("double"), "week_no::DOUBLE", exact=True)
-        past = lambda: Window.partitionBy(ts.KEY).orderBy(ts.ORDER).rowsBetween(Window.unboundedPreceding, 0)
-        broken = self._window(ALONG, lambda a: F.max(a).over(past()), lambda a: f"max({a}) {_PAST}", self.mask(place, ~condition), exact=True)
-        first = self._window(ALONG, lambda a: F.min(a).over(past()), lambda a: f"min({a}) {_PAST}", place, exact=True)
+        broken = self._window(ALONG, lambda g, a: g.each(np.fmax.accumulate, a), lambda a: f"max({a}) {_PAST}", self.mask(place, ~condition), exact=True)
+        first = self._window(ALONG, lambda g, a: g.each(np.fmin.accumulate, a), lambda a: f"min({a}) {_PAST}", place, exact=True)
         return place - self.fill_with(broken, first - 1)
 
     def scatter(self, x, d):
         """The mean absolute deviation from the window's mean."""
-
-        def column(a: Column) -> Column:
-            v, mean = ts.values(a, d), ts.ts_mean(a, d)
-            return F.aggregate(F.transform(v, lambda y: F.abs(y - mean)), F.lit(0.0), lambda t, y: t + y) / d
-
-        return self._window(ALONG, column, lambda a: f"CASE WHEN count({a}) {_w(d)} = {d} THEN list_avg(list_transform(list({a}) {_w(d)}, lambda y: abs(y - avg({a}) {_w(d)}))) END", x)
+        return self._window(ALONG, lambda g, a: batches.scatter(g, a, d), lambda a: f"CASE WHEN count({a}) {_w(d)} = {d} THEN list_avg(list_transform(list({a}) {_w(d)}, lambda y: abs(y - avg({a}) {_w(d)}))) END", x)
 
     # across a week
     def market(self, x):
         """The week's mean, the same for all its rows."""
-        return self._window(ACROSS, lambda a: F.avg(a).over(xs.Window.partitionBy(xs.DATE)), lambda a: f"avg({a}) {_D}", x)
+        return self._across(batches.mean_present, lambda a: f"avg({a}) {_D}", x)
 
     def rank(self, x):
-        def column(a: Column) -> Column:
-            week = xs.Window.partitionBy(xs.DATE)
-            n = F.count(a).over(week)
-            return F.when(a.isNotNull(), (F.rank().over(week.orderBy(a.asc_nulls_last())) + n + 1 - F.rank().over(week.orderBy(a.desc_nulls_last()))) / 2 / n)
-
-        return self._window(ACROSS, column, lambda a: f"CASE WHEN {a} IS NOT NULL THEN (rank() OVER (PARTITION BY week_no ORDER BY {a} NULLS LAST) + (count(*) OVER (PARTITION BY week_no, {a}) - 1) / 2) / count({a}) {_D} END", x, exact=True)
+        return self._across(batches.rank_present, lambda a: f"CASE WHEN {a} IS NOT NULL THEN (rank() OVER (PARTITION BY week_no ORDER BY {a} NULLS LAST) + (count(*) OVER (PARTITION BY week_no, {a}) - 1) / 2) / count({a}) {_D} END", x, exact=True)
 
     def scale(self, x):
-        return self._window(ACROSS, xs.scale, lambda a: f"{a} / nullif(sum(abs({a})) {_D}, 0)", x)
+        return self._across(batches.share, lambda a: f"{a} / nullif(sum(abs({a})) {_D}, 0)", x)
 
     def neutral(self, x, group: str):
-        return self._window(ACROSS, lambda a: xs.neutralize(a, group), lambda a: f"{a} - avg({a}) OVER (PARTITION BY week_no, {group})", x)
+        return self._across(batches.off_mean, lambda a: f"{a} - avg({a}) OVER (PARTITION BY week_no, {group})", x, beside=(group,))
 
     # of one row
     def where(self, condition: Term, a, b) -> Term:
@@ -425,18 +418,20 @@ class Panel:
         return [[x for x in self.steps.values() if x[1].level == level] for level in levels]
 
     def apply(self, rows: DataFrame, outputs: Iterable[Term] | None = None, keep: Iterable[str] = ()) -> DataFrame:
-        """The rows with a column for each step. If the outputs are named, a recursion's stage gets no column that nothing after it reads and keep doesn't name, as Spark sees into windows but not into such a stage."""
+        """The rows with a column for each step. If the outputs are named, a stage passes on no column that nothing after it reads and keep doesn't name, as Spark does not see into a stage."""
         levels = self._levels()
+        outputs = None if outputs is None else list(outputs)
         for k, level in enumerate(levels):
-            windows = {name: made.column() for name, made in level if name not in self.recursions}
-            rows = rows.withColumns(windows) if windows else rows
-            runs = [self.recursions[name]() for name, _ in level if name in self.recursions]
-            if runs:
-                if outputs is not None:
-                    later = [made.sql for some in levels[k + 1 :] for _, made in some] + [made.sql for name, made in level if name in self.recursions] + [x.sql for x in outputs]
-                    read = {ts.KEY, ts.ORDER, *keep}.union(*(re.findall(r"\w+", x) for x in later))
-                    rows = rows.select(*[c for c in rows.columns if c in read])
-                rows = kernels.apply(rows, runs)
+            if level[0][0] not in self.windows:
+                rows = rows.withColumns({name: made.column() for name, made in level})
+                continue
+            read = None
+            if outputs is not None:
+                later = [made.sql for some in levels[k + 1 :] for _, made in some] + [x.sql for x in outputs]
+                read = {ts.KEY, ts.ORDER, *keep}.union(*(re.findall(r"\w+", x) for x in later))
+            runs = {name: (self.windows[name][0], [x.sql if x.sql in rows.columns else x.column() for x in self.windows[name][1]]) for name, _ in level}
+            along = level[0][1].level % 2 == ALONG
+            rows = batches.stage(rows, *((ts.KEY, ts.ORDER) if along else (xs.DATE, ts.KEY)), runs, read)
         return rows
 
     def sql(self, source: str) -> tuple[str, str]:
