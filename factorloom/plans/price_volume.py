@@ -1,6 +1,6 @@
 """Two factor sets from bars alone, made by rule: shapes and windows (158 columns), and lags (360 columns), with the same in SQL.
 
-One query holds one window length, or one lagged field, so that a plan has some dozens of columns, one shuffle and one sort.
+One query holds one window length, or one lagged field, so that a plan has some dozens of columns. The windows of a length run in one stage of Arrow batches.
 Windows follow the package's rule: null unless all d values are there. A correlation without a value is 0.
 """
 
@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factorloom.operators import batches
 from factorloom.operators import series as ts
 from factorloom.plans.panel import _full, _lag, _snapped, _w, snapped
 from factorloom.sources.bars import BARS_SQL, bars
@@ -31,56 +33,83 @@ CANDLES: dict[str, str] = {
 } | {f"{x.upper()}0": f"{x} / close" for x in ("open", "high", "low", "vwap")}
 
 
-def _slope(d: int) -> Column:
-    return ts.slope(C("close"), d)
+def _quantile(g: batches.Groups, x: np.ndarray, q: float, d: int) -> np.ndarray:
+    """Between the two nearest of the window's values."""
+    ordered = np.sort(np.lib.stride_tricks.sliding_window_view(np.r_[np.full(d - 1, np.nan), x], d), axis=1)
+    at = q * (d - 1)
+    low, high = int(np.floor(at)), int(np.ceil(at))
+    value = ordered[:, low] if low == high else (high - at) * ordered[:, low] + (at - low) * ordered[:, high]
+    return np.where(np.isnan(batches.extreme(g, x, d, True)), np.nan, value)
 
 
-def _first(x: str, extreme: Callable[[Column], Column], d: int) -> Column:
-    """The window's first extreme, counted from 1 at the oldest row."""
-    v = ts.values(C(x), d)
-    return F.array_position(v, extreme(v))
+def _stage(d: int) -> dict[str, tuple[batches.Window, list[str]]]:
+    """The windows of d rows, over `moves`."""
+    whole = d * (d * d - 1) / 12
 
+    def total(g, x):
+        return batches.weighted(g, x, [1.0] * d)
 
-def _part(x: str, move: str, d: int) -> Column:
-    return ts.full(d, lambda: F.sum(f"{x}_{move}"), C(f"{x}_move")) / (ts.ts_sum(C(f"{x}_move"), d) + TINY)
+    def told(g, x, move):
+        return total(g, np.where(np.isnan(move), np.nan, x))
 
-
-def _share(up: bool, d: int) -> Column:
-    rose = C("close_up") > 0 if up else C("close_down") > 0
-    return ts.count_if(rose, C("close_move"), d) / d
-
-
-#: Windows of d rows: name, and the column by d.
+    return {
+        "w_lag": (lambda g, x: batches.delay(g, x, d), ["close"]),
+        "w_mean": (lambda g, x: total(g, x) / d, ["close"]),
+        "w_sd": (lambda g, x: batches.deviation(g, x, d), ["close"]),
+        "w_slope": (lambda g, x: batches.weighted(g, x, [k - (d - 1) / 2 for k in range(d)]) / whole, ["close"]),
+        "w_high": (lambda g, x: batches.extreme(g, x, d, False), ["high"]),
+        "w_low": (lambda g, x: batches.extreme(g, x, d, True), ["low"]),
+        "w_upper": (lambda g, x: _quantile(g, x, 0.8, d), ["close"]),
+        "w_lower": (lambda g, x: _quantile(g, x, 0.2, d), ["close"]),
+        "w_rank": (lambda g, x: batches.place_in_window(g, x, d), ["close"]),
+        "w_high_at": (lambda g, x: batches.first_place(g, x, d, False), ["high"]),
+        "w_low_at": (lambda g, x: batches.first_place(g, x, d, True), ["low"]),
+        "w_corr": (lambda g, x, y: batches.correlation(g, x, y, d), ["close", "log_volume"]),
+        "w_cord": (lambda g, x, y: batches.correlation(g, x, y, d), ["close_ratio", "volume_ratio"]),
+        "w_rose": (lambda g, x, move: told(g, x > 0, move), ["close_up", "close_move"]),
+        "w_fell": (lambda g, x, move: told(g, x > 0, move), ["close_down", "close_move"]),
+        "w_volume": (lambda g, x: total(g, x) / d, ["volume"]),
+        "w_volume_sd": (lambda g, x: batches.deviation(g, x, d), ["volume"]),
+        "w_swing": (lambda g, x: total(g, x) / d, ["swing"]),
+        "w_swing_sd": (lambda g, x: batches.deviation(g, x, d), ["swing"]),
+    } | {f"w_{x}_{move}": (told, [f"{x}_{move}", f"{x}_move"]) for x in ("close", "volume") for move in ("move", "up", "down")}
+
+
+def _part(x: str, move: str) -> Column:
+    return C(f"w_{x}_{move}") / (C(f"w_{x}_move") + TINY)
+
+
+#: Windows of d rows: name, and the column by d, over `_stage`.
 ROLLING: dict[str, Callable[[int], Column]] = {
-    "ROC": lambda d: ts.delay(C("close"), d) / C("close"),
-    "MA": lambda d: ts.ts_mean(C("close"), d) / C("close"),
-    "STD": lambda d: ts.stddev(C("close"), d) / C("close"),
-    "BETA": lambda d: _slope(d) / C("close"),
-    "RSQR": lambda d: F.when(ts.ts_min(C("close"), d) < ts.ts_max(C("close"), d), F.try_divide(_slope(d) * _slope(d) * (d * (d + 1) / 12), F.var_samp("close").over(ts.frame(d)))),
-    "RESI": lambda d: (C("close") - ts.ts_mean(C("close"), d) - _slope(d) * ((d - 1) / 2)) / C("close"),
-    "MAX": lambda d: ts.ts_max(C("high"), d) / C("close"),
-    "MIN": lambda d: ts.ts_min(C("low"), d) / C("close"),
-    "QTLU": lambda d: ts.quantile(C("close"), 0.8, d) / C("close"),
-    "QTLD": lambda d: ts.quantile(C("close"), 0.2, d) / C("close"),
-    "RANK": lambda d: ts.ts_rank(C("close"), d),
-    "RSV": lambda d: F.when(ts.ts_min(C("low"), d).isNotNull(), F.least(F.lit(10.0), (C("close") - ts.ts_min(C("low"), d)) / (ts.ts_max(C("high"), d) - ts.ts_min(C("low"), d) + TINY))),
-    "IMAX": lambda d: _first("high", F.array_max, d) / d,
-    "IMIN": lambda d: _first("low", F.array_min, d) / d,
-    "IMXD": lambda d: (_first("high", F.array_max, d) - _first("low", F.array_min, d)) / d,
-    "CORR": lambda d: F.coalesce(ts.correlation(C("close"), C("log_volume"), d), F.lit(0.0)),
-    "CORD": lambda d: F.coalesce(ts.correlation(C("close_ratio"), C("volume_ratio"), d), F.lit(0.0)),
-    "CNTP": lambda d: _share(True, d),
-    "CNTN": lambda d: _share(False, d),
-    "CNTD": lambda d: _share(True, d) - _share(False, d),
-    "SUMP": lambda d: _part("close", "up", d),
-    "SUMN": lambda d: _part("close", "down", d),
-    "SUMD": lambda d: _part("close", "up", d) - _part("close", "down", d),
-    "VMA": lambda d: ts.ts_mean(C("volume"), d) / (C("volume") + TINY),
-    "VSTD": lambda d: ts.stddev(C("volume"), d) / (C("volume") + TINY),
-    "WVMA": lambda d: ts.stddev(C("swing"), d) / (ts.ts_mean(C("swing"), d) + TINY),
-    "VSUMP": lambda d: _part("volume", "up", d),
-    "VSUMN": lambda d: _part("volume", "down", d),
-    "VSUMD": lambda d: _part("volume", "up", d) - _part("volume", "down", d),
+    "ROC": lambda d: C("w_lag") / C("close"),
+    "MA": lambda d: C("w_mean") / C("close"),
+    "STD": lambda d: C("w_sd") / C("close"),
+    "BETA": lambda d: C("w_slope") / C("close"),
+    "RSQR": lambda d: F.when(C("w_sd") > 0, F.try_divide(C("w_slope") * C("w_slope") * (d * (d + 1) / 12), C("w_sd") * C("w_sd"))),
+    "RESI": lambda d: (C("close") - C("w_mean") - C("w_slope") * ((d - 1) / 2)) / C("close"),
+    "MAX": lambda d: C("w_high") / C("close"),
+    "MIN": lambda d: C("w_low") / C("close"),
+    "QTLU": lambda d: C("w_upper") / C("close"),
+    "QTLD": lambda d: C("w_lower") / C("close"),
+    "RANK": lambda d: C("w_rank"),
+    "RSV": lambda d: F.when(C("w_low").isNotNull(), F.least(F.lit(10.0), (C("close") - C("w_low")) / (C("w_high") - C("w_low") + TINY))),
+    "IMAX": lambda d: C("w_high_at") / d,
+    "IMIN": lambda d: C("w_low_at") / d,
+    "IMXD": lambda d: (C("w_high_at") - C("w_low_at")) / d,
+    "CORR": lambda d: F.coalesce(C("w_corr"), F.lit(0.0)),
+    "CORD": lambda d: F.coalesce(C("w_cord"), F.lit(0.0)),
+    "CNTP": lambda d: C("w_rose") / d,
+    "CNTN": lambda d: C("w_fell") / d,
+    "CNTD": lambda d: C("w_rose") / d - C("w_fell") / d,
+    "SUMP": lambda d: _part("close", "up"),
+    "SUMN": lambda d: _part("close", "down"),
+    "SUMD": lambda d: _part("close", "up") - _part("close", "down"),
+    "VMA": lambda d: C("w_volume") / (C("volume") + TINY),
+    "VSTD": lambda d: C("w_volume_sd") / (C("volume") + TINY),
+    "WVMA": lambda d: C("w_swing_sd") / (C("w_swing") + TINY),
+    "VSUMP": lambda d: _part("volume", "up"),
+    "VSUMN": lambda d: _part("volume", "down"),
+    "VSUMD": lambda d: _part("volume", "up") - _part("volume", "down"),
 }
 
 
@@ -144,7 +173,10 @@ def _rolling_id(i: int, d: int) -> str:
 
 
 def _rolling(d: int) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: moves(bars(spark, sf_dir)).select("instrument", "week_no", *[snapped(f(d)).alias(_rolling_id(i, d)) for i, f in enumerate(ROLLING.values())])
+    def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return batches.stage(moves(bars(spark, sf_dir)), ts.KEY, ts.ORDER, _stage(d), [ts.KEY, ts.ORDER, "close", "volume"])
+
+    return lambda spark, sf_dir: windows(spark, sf_dir).select("instrument", "week_no", *[snapped(f(d)).alias(_rolling_id(i, d)) for i, f in enumerate(ROLLING.values())])
 
 
 #: The lagged fields in order.

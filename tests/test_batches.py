@@ -47,3 +47,19 @@ def test_one_sort_for_a_stage(spark, sf_dir):
     plan = _query([33, 34, 35, 36, 37, 38, 39, 40])(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1  # of the dense bars
     assert plan.count("MapInArrow") == 6
+
+
+def test_rolling_factors_in_one_stage(spark, sf_dir):
+    """Quantiles and fits of rows with gaps as Spark's windows have them, in one stage; before, every row folded some forty frames in the JVM."""
+    from factorloom.plans import price_volume as pv
+
+    draw = np.random.default_rng(4)
+    df = spark.createDataFrame([(k, w, float(draw.integers(2, 9))) for k in range(6) for w in range(40) if draw.random() > 0.1], "instrument int, week_no int, close double")
+    made = {n: v for n, v in pv._stage(5).items() if n in ("w_upper", "w_lower", "w_slope", "w_lag")}
+    got = batches.stage(df, "instrument", "week_no", made).orderBy("instrument", "week_no").toPandas()
+    c = F.col("close")
+    want = df.select("instrument", "week_no", ts.quantile(c, 0.8, 5).alias("w_upper"), ts.quantile(c, 0.2, 5).alias("w_lower"), ts.slope(c, 5).alias("w_slope"), ts.delay(c, 5).alias("w_lag")).orderBy("instrument", "week_no").toPandas()
+    for n in made:
+        np.testing.assert_allclose(got[n].to_numpy(float), want[n].to_numpy(float), rtol=1e-9, atol=1e-9, err_msg=n)
+    plan = pv.QUERIES["a158_rolling_20"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("collect_list") == 0
