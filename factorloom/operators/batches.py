@@ -200,8 +200,11 @@ def off_mean(x: np.ndarray, part: np.ndarray) -> np.ndarray:
     return x - (np.bincount(part, weights=np.where(has, x, 0.0)) / np.where(n == 0, np.nan, n))[part]
 
 
-def stage(df: DataFrame, key: str, order: str, runs: dict[str, tuple[Window, list[Column | str]]], keep: Iterable[str] | None = None) -> DataFrame:
-    """df's columns (of keep, if given) with one for each run (name: function of groups and arrays, and what it reads), in whole groups by key in the order of order. Infinite results are missing."""
+def stage(df: DataFrame, key: str, order: str, runs: dict[str, tuple[Window, list[Column | str]]], keep: Iterable[str] | None = None, laid: bool = False) -> DataFrame:
+    """df's columns (of keep, if given) with one for each run (name: function of groups and arrays, and what it reads), in whole groups by key in the order of order. Infinite results are missing.
+
+    laid: df's partitions hold whole groups in that order already, as those of a stage of the same key and order do; it is not shuffled and sorted again.
+    """
     kept = list(df.columns) if keep is None else [c for c in df.columns if c in set(keep)]
     read, extra = {}, {}
     for name, (_, inputs) in runs.items():
@@ -231,4 +234,6 @@ def stage(df: DataFrame, key: str, order: str, runs: dict[str, tuple[Window, lis
             yield from out.to_batches(max_chunksize=10_000)
 
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, T.DoubleType()) for n in runs])
-    return rows.repartition(key).sortWithinPartitions(F.col(key), F.col(order).asc_nulls_last()).mapInArrow(run, schema)
+    if not laid:
+        rows = rows.repartition(key).sortWithinPartitions(F.col(key), F.col(order).asc_nulls_last())
+    return rows.mapInArrow(run, schema)

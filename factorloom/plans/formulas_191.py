@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factorloom.functions.scalars import snap
 from factorloom.plans.formulas import GROUP, _shown, shown
-from factorloom.plans.nested import Panel, Term, constant, snap_sql
+from factorloom.plans.nested import ALONG, Panel, Term, constant, snap_sql
 from factorloom.sources.bars import BARS_SQL, DENSE_SQL, bars, dense
 
 #: The published formulas. `per` divides; `when` is a value where a condition holds, else 0, and missing unless the further values are there.
@@ -233,7 +233,7 @@ def words(panel: Panel) -> dict[str, object]:
 
     def coarse(x):
         """To 30 bits: correlations of few ranks tie often, and those of one value must not part at a bound of finer rounding."""
-        return Term(lambda: snap(x.column(), 30), snap_sql(x.sql, 30), x.level)
+        return Term(lambda: snap(x.column(), 30), snap_sql(x.sql, 30), x.level, phase=x.phase)
 
     def above_0(x):
         return when(x > 0, x, x)
@@ -313,15 +313,15 @@ def _terms(ids: list[int]) -> tuple[Panel, dict[str, Term]]:
     return panel, {f"a191_{k:03}": eval(FORMULAS[k], {"__builtins__": {}}, names) for k in ids}
 
 
-def columns(rows: DataFrame, ids: list[int]) -> DataFrame:
+def columns(rows: DataFrame, ids: list[int], laid: int | None = None) -> DataFrame:
     """instrument, week_no and a column a191_NNN for each of the formulas, over dense bars with the columns of `sources.bars`."""
     panel, terms = _terms(ids)
-    return panel.apply(rows, terms.values()).select("instrument", "week_no", *[term.column().alias(name) for name, term in terms.items()])
+    return panel.table(rows, terms, ["instrument", "week_no"], laid)
 
 
 def _query(ids: list[int]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = columns(dense(bars(spark, sf_dir)), ids)
+        out = columns(dense(bars(spark, sf_dir)), ids, ALONG)
         return out.select("instrument", "week_no", *[shown(out[x]).alias(x) for x in out.columns[2:]])
 
     return query

@@ -1,7 +1,8 @@
 """Formulas whose windows stand inside other windows: each window becomes a column of its own, level by level.
 
-A level holds windows along instruments or cross-sections of weeks, never both, so that all windows of a level share a shuffle.
-All of a level run in one stage of Arrow batches (`operators/batches.py`), which gets only the columns that are still read. Recursions stand in levels too, among the windows along instruments.
+A level holds windows along instruments or cross-sections of weeks, never both. Levels that need no turn from one to the other between them are of one phase, and share a shuffle and a sort.
+All of a level of a phase run in one stage of Arrow batches (`operators/batches.py`), which gets only the columns that are still read. Recursions stand in levels too, among the windows along instruments.
+A step may run in a later phase than it could, where fewer columns are then shuffled between phases.
 What feeds a window is rounded to 40 bits first: values that differ in their last bits only tie, in ranks, extremes and flat windows.
 Division by zero is missing. Every operator is written twice, as a column and as DuckDB SQL.
 """
@@ -37,14 +38,14 @@ def snap_sql(x: str, bits: int = BITS) -> str:
 
 
 class Term:
-    """A value of every row: a column (made when a session is there), its SQL, the level that it is known after, and whether it needs no rounding."""
+    """A value of every row: a column (made when a session is there), its SQL, the level that it is known after, whether it needs no rounding, and the first phase that it can be known in."""
 
-    def __init__(self, column: Callable[[], Column], sql: str, level: float = -1, exact: bool = False):
-        self.column, self.sql, self.level, self.exact = column, sql, level, exact
+    def __init__(self, column: Callable[[], Column], sql: str, level: float = -1, exact: bool = False, phase: int = 0):
+        self.column, self.sql, self.level, self.exact, self.phase = column, sql, level, exact, phase
 
     def _with(self, other, how: Callable[[Column, Column], Column], sql: str, turned: bool = False) -> Term:
         a, b = (constant(other), self) if turned else (self, constant(other))
-        return Term(lambda: how(a.column(), b.column()), sql.format(a.sql, b.sql), max(a.level, b.level))
+        return Term(lambda: how(a.column(), b.column()), sql.format(a.sql, b.sql), max(a.level, b.level), phase=max(a.phase, b.phase))
 
     def __add__(self, other):
         return self._with(other, lambda a, b: a + b, "({} + {})")
@@ -71,7 +72,7 @@ class Term:
         return self._with(other, F.try_divide, "({} / nullif({}, 0))", True)
 
     def __neg__(self):
-        return Term(lambda: -self.column(), f"(-{self.sql})", self.level)
+        return Term(lambda: -self.column(), f"(-{self.sql})", self.level, phase=self.phase)
 
     def __lt__(self, other):
         return self._with(other, lambda a, b: row.told(a < b), "coalesce({} < {}, false)")
@@ -92,7 +93,12 @@ class Term:
         return self._with(other, lambda a, b: a | b, "({} OR {})")
 
     def __invert__(self):
-        return Term(lambda: ~self.column(), f"(NOT {self.sql})", self.level)
+        return Term(lambda: ~self.column(), f"(NOT {self.sql})", self.level, phase=self.phase)
+
+
+def _names(x: Term) -> set[str]:
+    """Columns that a term may read, by its SQL."""
+    return set(re.findall(r"\w+", x.sql))
 
 
 def constant(x) -> Term:
@@ -100,7 +106,7 @@ def constant(x) -> Term:
 
 
 def _same(x: Term, how: Callable[[Column], Column], sql: str) -> Term:
-    return Term(lambda: how(x.column()), sql.format(x=x.sql), x.level)
+    return Term(lambda: how(x.column()), sql.format(x=x.sql), x.level, phase=x.phase)
 
 
 def smoothed(arrays: dict[str, np.ndarray], at: np.ndarray, alpha: float, group: np.ndarray | None = None) -> np.ndarray:
@@ -166,24 +172,26 @@ class Panel:
         self.steps: dict[str, tuple[str, Term]] = {}
         self.windows: dict[str, tuple[batches.Window, list[Term]]] = {}
 
-    def _step(self, column: Callable[[], Column] | None, sql: str, level: float, exact: bool = False) -> Term:
+    def _step(self, column: Callable[[], Column] | None, sql: str, level: float, exact: bool = False, phase: int = 0) -> Term:
         if sql not in self.steps:
             name = f"step_{len(self.steps)}"
-            self.steps[sql] = (name, Term(column, sql, level, exact))
+            self.steps[sql] = (name, Term(column, sql, level, exact, phase))
         name, made = self.steps[sql]
-        return Term(lambda: C(name), name, made.level, made.exact)
+        return Term(lambda: C(name), name, made.level, made.exact, made.phase)
 
     def _fixed(self, x) -> Term:
         """Rounded, as a column of its own."""
         x = constant(x)
-        return x if x.exact else self._step(lambda: row.snap(x.column()), snap_sql(x.sql), (x.level + floor(x.level) + 1) / 2, True)
+        return x if x.exact else self._step(lambda: row.snap(x.column()), snap_sql(x.sql), (x.level + floor(x.level) + 1) / 2, True, x.phase)
 
     def _window(self, kind: int, how: batches.Window, sql: Callable[..., str], *inputs, exact: bool = False, beside: tuple[str, ...] = ()) -> Term:
         """A function of the groups, the rounded inputs and the columns beside them."""
         fixed = [self._fixed(x) for x in inputs]
         level = int(max(x.level for x in fixed) + 1)
         level += level % 2 != kind
-        made = self._step(None, sql(*[x.sql for x in fixed]), level, exact)
+        phase = max(x.phase for x in fixed)
+        phase += phase % 2 != kind
+        made = self._step(None, sql(*[x.sql for x in fixed]), level, exact, phase)
         self.windows[made.sql] = (how, [*fixed, *(Term(lambda c=c: C(c), c) for c in beside)])
         return made
 
@@ -361,12 +369,12 @@ class Panel:
     # of one row
     def where(self, condition: Term, a, b) -> Term:
         a, b = constant(a), constant(b)
-        return Term(lambda: F.when(condition.column(), a.column()).otherwise(b.column()), f"CASE WHEN {condition.sql} THEN {a.sql} ELSE {b.sql} END", max(condition.level, a.level, b.level))
+        return Term(lambda: F.when(condition.column(), a.column()).otherwise(b.column()), f"CASE WHEN {condition.sql} THEN {a.sql} ELSE {b.sql} END", max(condition.level, a.level, b.level), phase=max(condition.phase, a.phase, b.phase))
 
     def mask(self, x, condition: Term) -> Term:
         """Missing where the condition does not hold."""
         x = constant(x)
-        return Term(lambda: F.when(condition.column(), x.column()), f"CASE WHEN {condition.sql} THEN {x.sql} END", max(condition.level, x.level))
+        return Term(lambda: F.when(condition.column(), x.column()), f"CASE WHEN {condition.sql} THEN {x.sql} END", max(condition.level, x.level), phase=max(condition.phase, x.phase))
 
     def valid(self, *inputs: Term) -> Term:
         def column() -> Column:
@@ -375,7 +383,7 @@ class Panel:
                 told = told & x.column().isNotNull()
             return told
 
-        return Term(column, "(" + " AND ".join(f"{x.sql} IS NOT NULL" for x in inputs) + ")", max(x.level for x in inputs))
+        return Term(column, "(" + " AND ".join(f"{x.sql} IS NOT NULL" for x in inputs) + ")", max(x.level for x in inputs), phase=max(x.phase for x in inputs))
 
     def root(self, x):
         return _same(x, lambda a: F.when(a >= 0, F.sqrt(a)), "CASE WHEN {x} >= 0 THEN sqrt({x}) END")
@@ -417,21 +425,63 @@ class Panel:
         levels = sorted({made.level for _, made in self.steps.values()})
         return [[x for x in self.steps.values() if x[1].level == level] for level in levels]
 
-    def apply(self, rows: DataFrame, outputs: Iterable[Term] | None = None, keep: Iterable[str] = ()) -> DataFrame:
-        """The rows with a column for each step. If the outputs are named, a stage passes on no column that nothing after it reads and keep doesn't name, as Spark does not see into a stage."""
-        levels = self._levels()
-        outputs = None if outputs is None else list(outputs)
-        for k, level in enumerate(levels):
+    def _phases(self, steps: list[tuple[str, Term]], read: dict[str, set[str]], end: int) -> dict[str, int]:
+        """The phase that each step runs in: its first one, or a later one up to its readers', so that few columns are shuffled at the starts of phases."""
+        readers: dict[str, list[str]] = {}
+        for name, _ in steps:
+            for c in read[name]:
+                readers.setdefault(c, []).append(name)
+
+        def shuffled(phase: dict[str, int]) -> int:
+            last = {c: max(phase[n] for n in names) for c, names in readers.items()} | {n: end for n, _ in steps if n not in readers}
+            return sum(last[c] - phase.get(c, 0) for c in last)
+
+        def options(name: str, made: Term, phase: dict[str, int]) -> range:
+            until = min((phase[n] for n in readers.get(name, ())), default=end)
+            return range(made.phase, until + 1, 2 if name in self.windows else 1)
+
+        first = {name: made.phase for name, made in steps}
+        late: dict[str, int] = {}
+        for name, made in reversed(steps):
+            late[name] = options(name, made, late)[-1]
+        for phase in (first, late):
+            for name, made in [*reversed(steps), *steps]:
+                lowest = max((phase.get(c, 0) for c in read[name]), default=0)
+                phase[name] = min((k for k in options(name, made, phase) if k >= lowest), key=lambda k: (shuffled(phase | {name: k}), -k))
+        return min(first, late, key=shuffled)
+
+    def apply(self, rows: DataFrame, outputs: Iterable[Term] | None = None, keep: Iterable[str] = (), laid: int | None = None) -> DataFrame:
+        """The rows with a column for each step. If the outputs are named, a stage passes on no column that nothing after it reads and keep doesn't name, as Spark does not see into a stage. laid tells that the rows lie in whole histories by week (ALONG) already."""
+        steps = [x for level in self._levels() for x in level]
+        return self._run(rows, steps, {name: made.phase for name, made in steps}, None if outputs is None else {*keep}.union(*(_names(x) for x in outputs)), laid)
+
+    def table(self, rows: DataFrame, terms: dict[str, Term], keep: Iterable[str], laid: int | None = None) -> DataFrame:
+        """The columns of keep and those of the terms, by name, each made as soon as that makes rows narrower."""
+        steps = [x for level in self._levels() for x in level]
+        steps += [(name, Term(x.column, x.sql, (x.level + floor(x.level) + 1) / 2, phase=x.phase)) for name, x in terms.items()]
+        steps.sort(key=lambda x: x[1].level)
+        own = {name for name, _ in steps}
+        known = {*rows.columns, *own}
+        read = {name: {x.sql for x in self.windows[name][1] if x.sql in known} if name in self.windows else _names(made) & known for name, made in steps}
+        phases = self._phases(steps, read, max(made.phase for _, made in steps))
+        return self._run(rows, steps, phases, {*keep, *terms}, laid).select(*keep, *terms)
+
+    def _run(self, rows: DataFrame, steps: list[tuple[str, Term]], phases: dict[str, int], last: set[str] | None, laid: int | None) -> DataFrame:
+        """All steps by phase and level; last names the columns that are read at the end (None: all)."""
+        runs: dict[tuple[int, float], list[tuple[str, Term]]] = {}
+        for name, made in steps:
+            runs.setdefault((phases[name], made.level), []).append((name, made))
+        order = sorted(runs)
+        for k, at in enumerate(order):
+            level = runs[at]
             if level[0][0] not in self.windows:
                 rows = rows.withColumns({name: made.column() for name, made in level})
                 continue
-            read = None
-            if outputs is not None:
-                later = [made.sql for some in levels[k + 1 :] for _, made in some] + [x.sql for x in outputs]
-                read = {ts.KEY, ts.ORDER, *keep}.union(*(re.findall(r"\w+", x) for x in later))
-            runs = {name: (self.windows[name][0], [x.sql if x.sql in rows.columns else x.column() for x in self.windows[name][1]]) for name, _ in level}
-            along = level[0][1].level % 2 == ALONG
-            rows = batches.stage(rows, *((ts.KEY, ts.ORDER) if along else (xs.DATE, ts.KEY)), runs, read)
+            read = None if last is None else {ts.KEY, ts.ORDER, *last}.union(*(_names(made) for later in order[k + 1 :] for _, made in runs[later]))
+            made = {name: (self.windows[name][0], [x.sql if x.sql in rows.columns else x.column() for x in self.windows[name][1]]) for name, _ in level}
+            kind = at[0] % 2
+            rows = batches.stage(rows, *((ts.KEY, ts.ORDER) if kind == ALONG else (xs.DATE, ts.KEY)), made, read, laid=laid == kind)
+            laid = kind
         return rows
 
     def sql(self, source: str) -> tuple[str, str]:

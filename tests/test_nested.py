@@ -76,3 +76,26 @@ def test_dense(spark):
     out = dense(spark.createDataFrame([row(3, 7.0), row(6, None), row(8, 2.0)], SCHEMA)).orderBy("week_no").collect()
     assert [(r.week_no, r.high, r.close, r.volume) for r in out] == [(3, 9.0, 7.0, 4.0), (4, 7.0, 7.0, 1.0), (5, 7.0, 7.0, 1.0), (6, 9.0, None, 4.0), (7, None, None, 1.0), (8, 9.0, 2.0, 4.0)]
     assert dense(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_phases_share_shuffles(spark, sf_dir):
+    """Levels that need no turn between instruments and weeks share a shuffle; before, each of the eleven levels of 153 to 160 shuffled all rows, and 1 GB of tables filled the disk."""
+    from factorloom.plans.formulas_191 import QUERIES
+
+    plan = QUERIES["a191_153_160"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 4  # a turn each; the dense bars lie by instrument already
+
+
+def test_steps_wait_where_rows_are_narrower(spark, rows):
+    """What only later phases read is made there, from columns that are carried anyway, and results are the same in every order of the steps."""
+    text = "corr(rank(close), delta(close, 1) + delta(close, 2) + ts_max(close, 3), 6) + rank(ts_min(rank(ts_min(rank(close), 2)) + volume, 2))"
+    panel = Panel()
+    term = eval(text, {"__builtins__": {}}, panel.names())
+    df = spark.createDataFrame(rows, SCHEMA)
+    steps = [x for level in panel._levels() for x in level]
+    want = panel.apply(df).select("instrument", "week_no", term.column().alias("value")).orderBy("instrument", "week_no").toPandas()
+    got = panel.table(df, {"value": term}, ["instrument", "week_no"]).orderBy("instrument", "week_no").toPandas()
+    np.testing.assert_array_equal(got["value"].to_numpy(float), want["value"].to_numpy(float))
+    read = {n: {x.sql for x in panel.windows[n][1]} if n in panel.windows else {x for x in ("close", "volume", *[m for m, _ in steps]) if x in made.sql.replace("(", " ").replace(")", " ").split()} for n, made in steps}
+    phases = panel._phases(steps, read, 5)
+    assert all(phases[n] >= phases.get(c, 0) for n, _ in steps for c in read[n]) and all(phases[n] >= made.phase for n, made in steps)
