@@ -99,3 +99,17 @@ def test_steps_wait_where_rows_are_narrower(spark, rows):
     read = {n: {x.sql for x in panel.windows[n][1]} if n in panel.windows else {x for x in ("close", "volume", *[m for m, _ in steps]) if x in made.sql.replace("(", " ").replace(")", " ").split()} for n, made in steps}
     phases = panel._phases(steps, read, 5)
     assert all(phases[n] >= phases.get(c, 0) for n, _ in steps for c in read[n]) and all(phases[n] >= made.phase for n, made in steps)
+
+
+@pytest.mark.parametrize("missing", [0.0, 0.2, 0.9, 1.0])
+def test_averages_of_many_runs(missing):
+    from factorloom.plans.nested import smoothed
+
+    draw = np.random.default_rng(3)
+    x = np.where(draw.random(400) < missing, np.nan, draw.integers(1, 9, 400).astype(float))
+    at, group = np.arange(400) % 50, np.arange(400) // 50
+    y, want = np.nan, []
+    for k, v in enumerate(x.tolist()):
+        y = v if y != y or at[k] == 0 else 0.3 * v + 0.7 * y
+        want.append(y)
+    np.testing.assert_allclose(smoothed({"x": x}, at, 0.3, group), want, rtol=1e-12)
