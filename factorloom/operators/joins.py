@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 def asof_backward(left: DataFrame, right: DataFrame, key: str, at: str, since: str, value: str) -> DataFrame:
     """left with the value of right's latest row at or before it, by key; null before the first. Of right rows of one key and time the greatest value counts. Rows without a time stay, without a value."""
     turn, told = "asof_turn", "asof_told"
-    newest = right.groupBy(key, F.col(since).alias(at)).agg(F.max(F.struct(value)).alias(told)).withColumn(turn, F.lit(0))
-    both = newest.unionByName(left.withColumn(turn, F.lit(1)), allowMissingColumns=True)
-    past = Window.partitionBy(key).orderBy(F.col(at).asc_nulls_last(), turn).rowsBetween(Window.unboundedPreceding, 0)
+    values = right.select(key, F.col(since).alias(at), F.struct(value).alias(told), F.lit(0).alias(turn))
+    both = values.unionByName(left.withColumn(turn, F.lit(1)), allowMissingColumns=True)
+    past = Window.partitionBy(key).orderBy(F.col(at).asc_nulls_last(), turn, F.col(told).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn(told, F.when(F.col(at).isNotNull(), F.last(told, ignorenulls=True).over(past))).where(F.col(turn) == 1)
     return out.select(*left.columns, F.col(told)[value].alias(value))
 
@@ -27,7 +27,7 @@ def interval(left: DataFrame, spans: DataFrame, key: str, at: str, since: str, u
 def collapse(df: DataFrame, key: str, at: str) -> DataFrame:
     """Rows of one key at consecutive ordinals become one span (key, since, until); repeated rows count once."""
     own = Window.partitionBy(key).orderBy(at)
-    rows = df.select(key, at).distinct().withColumn("island", F.col(at) - F.row_number().over(own))
+    rows = df.select(key, at).withColumn("island", F.col(at) - F.dense_rank().over(own))
     return rows.groupBy(key, "island").agg(F.min(at).alias("since"), F.max(at).alias("until")).drop("island")
 
 
