@@ -71,7 +71,8 @@ def _back(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def _oldest_first(x: np.ndarray, d: int) -> Iterator[np.ndarray]:
-    return (_back(x, k) for k in range(d - 1, -1, -1))
+    padded = np.concatenate([np.full(d - 1, np.nan), x])
+    return (padded[k : k + len(x)] for k in range(d))
 
 
 def _full(g: Groups, d: int, value: np.ndarray) -> np.ndarray:
@@ -92,14 +93,14 @@ def weighted(g: Groups, x: np.ndarray, weights: list[float]) -> np.ndarray:
     """Weights of the oldest row first."""
     total = np.zeros(len(x))
     for w, y in zip(weights, _oldest_first(x, len(weights)), strict=True):
-        total = total + (y if w == 1.0 else y * w)
+        total += y if w == 1.0 else y * w
     return _full(g, len(weights), total)
 
 
 def product(g: Groups, x: np.ndarray, d: int) -> np.ndarray:
     out = np.ones(len(x))
     for y in _oldest_first(x, d):
-        out = out * y
+        out *= y
     return _full(g, d, out)
 
 
@@ -121,8 +122,10 @@ def covariance(g: Groups, x: np.ndarray, y: np.ndarray, d: int) -> np.ndarray:
     mx, my, c = (np.zeros(len(x)) for _ in range(3))
     for n, (a, b) in enumerate(zip(_oldest_first(x, d), _oldest_first(y, d), strict=True), 1):
         dx = a - mx
-        mx, my = mx + dx / n, my + (b - my) / n
-        c = c + dx * (b - my)
+        mx += dx / n
+        my += (b - my) / n
+        dx *= b - my
+        c += dx
     return _full(g, d, c / (d - 1))
 
 
@@ -131,25 +134,42 @@ def deviation(g: Groups, x: np.ndarray, d: int) -> np.ndarray:
     mean, m2 = np.zeros(len(x)), np.zeros(len(x))
     for n, a in enumerate(_oldest_first(x, d), 1):
         off = a - mean
-        mean = mean + off / n
-        m2 = m2 + off * (off - off / n)
+        part = off / n
+        mean += part
+        np.subtract(off, part, out=part)
+        part *= off
+        m2 += part
     return np.where(flat(g, x, d), 0.0, _full(g, d, np.sqrt(m2 / (d - 1))))
 
 
 def correlation(g: Groups, x: np.ndarray, y: np.ndarray, d: int) -> np.ndarray:
-    """Pearson, 0 if a side is constant, within -1 and 1."""
-    spread = deviation(g, x, d) * deviation(g, y, d)
-    r = np.clip(covariance(g, x, y, d) / np.where(spread == 0, np.nan, spread), -1.0, 1.0)
-    there = ~np.isnan(extreme(g, x, d, True) + extreme(g, y, d, True))
-    return np.where(there & (flat(g, x, d) | flat(g, y, d)), 0.0, r)
+    """Pearson, 0 if a side is constant, within -1 and 1. One pass for the means of both sides, with what `covariance` and `deviation` add up."""
+    mx, my, c, vx, vy = (np.zeros(len(x)) for _ in range(5))
+    for n, (a, b) in enumerate(zip(_oldest_first(x, d), _oldest_first(y, d), strict=True), 1):
+        dx, dy = a - mx, b - my
+        for off, mean, square in ((dx, mx, vx), (dy, my, vy)):
+            part = off / n
+            mean += part
+            np.subtract(off, part, out=part)
+            part *= off
+            square += part
+        np.subtract(b, my, out=dy)
+        dy *= dx
+        c += dy
+    lx, ly = extreme(g, x, d, True), extreme(g, y, d, True)
+    constant = (lx == extreme(g, x, d, False)) | (ly == extreme(g, y, d, False))
+    spread = np.sqrt(vx / (d - 1)) * np.sqrt(vy / (d - 1))
+    r = _full(g, d, np.clip(c / (d - 1) / np.where(spread == 0, np.nan, spread), -1.0, 1.0))
+    return np.where(~np.isnan(lx + ly) & constant, 0.0, r)
 
 
 def place_in_window(g: Groups, x: np.ndarray, d: int) -> np.ndarray:
     """The newest value's percentile, ties averaged."""
-    less, same = np.zeros(len(x)), np.zeros(len(x))
+    less, same = (np.zeros(len(x), np.int8 if d < 128 else np.int32) for _ in range(2))
     for y in _oldest_first(x, d):
-        less, same = less + (y < x), same + (y == x)
-    return np.where(np.isnan(extreme(g, x, d, True)), np.nan, (less + (same + 1) / 2) / d)
+        less += y < x
+        same += y == x
+    return np.where(np.isnan(extreme(g, x, d, True)), np.nan, (less + (same.astype(float) + 1) / 2) / d)
 
 
 def first_place(g: Groups, x: np.ndarray, d: int, least: bool, latest: bool = False) -> np.ndarray:
@@ -168,15 +188,18 @@ def scatter(g: Groups, x: np.ndarray, d: int) -> np.ndarray:
     """The mean absolute deviation from the window's mean."""
     mean, total = weighted(g, x, [1.0] * d) / d, np.zeros(len(x))
     for y in _oldest_first(x, d):
-        total = total + np.abs(y - mean)
+        total += np.abs(y - mean)
     return _full(g, d, total / d)
 
 
 def rank_present(x: np.ndarray) -> np.ndarray:
     """Percentiles in one group among the values that are there, ties averaged."""
-    has = ~np.isnan(x)
-    v, out = np.sort(x[has]), np.full(len(x), np.nan)
-    out[has] = (np.searchsorted(v, x[has], "left") + np.searchsorted(v, x[has], "right") + 1) / 2 / max(len(v), 1)
+    n, order, out = len(x) - int(np.isnan(x).sum()), np.argsort(x), np.full(len(x), np.nan)  # what is missing sorts last
+    if n:
+        v = x[order[:n]]
+        first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+        after = np.r_[first[1:], n]
+        out[order[:n]] = np.repeat((first + after + 1) / 2 / n, after - first)
     return out
 
 
@@ -200,22 +223,27 @@ def off_mean(x: np.ndarray, part: np.ndarray) -> np.ndarray:
     return x - (np.bincount(part, weights=np.where(has, x, 0.0)) / np.where(n == 0, np.nan, n))[part]
 
 
-def stage(df: DataFrame, key: str, order: str, runs: dict[str, tuple[Window, list[Column | str]]], keep: Iterable[str] | None = None, laid: bool = False) -> DataFrame:
-    """df's columns (of keep, if given) with one for each run (name: function of groups and arrays, and what it reads), in whole groups by key in the order of order. Infinite results are missing.
+def stage(df: DataFrame, key: str, order: str, runs: dict[str, tuple[Window, list[Column | str]]], keep: Iterable[str] | None = None, laid: bool = False, infinite: Iterable[str] = (), inner: Iterable[str] = ()) -> DataFrame:
+    """df's columns (of keep, if given) with one for each run (name: function of groups and arrays, and what it reads: columns of df, or runs before it), in whole groups by key in the order of order.
 
+    Runs that inner names serve later runs only. Infinite results are missing, but for the runs that infinite names.
     laid: df's partitions hold whole groups in that order already, as those of a stage of the same key and order do; it is not shuffled and sorted again.
     """
     kept = list(df.columns) if keep is None else [c for c in df.columns if c in set(keep)]
+    passed = [name for name in runs if name not in set(inner)]
     read, extra = {}, {}
     for name, (_, inputs) in runs.items():
+        read[name] = []
         for c in inputs:
             if not isinstance(c, str):
-                extra[free(df, f"read_{len(extra)}")] = c.cast("double")
-        made = iter(list(extra)[len(extra) - sum(not isinstance(c, str) for c in inputs) :])
-        read[name] = [c if isinstance(c, str) else next(made) for c in inputs]
+                extra[own := free(df, f"read_{len(extra)}")] = c.cast("double")
+                c = own
+            read[name].append(c)
     sent = [c for c in df.columns if c in {key, order, *kept, *(c for cs in read.values() for c in cs)}]
     rows = df.select(*[F.col(f"`{c}`") for c in sent], *[c.alias(n) for n, c in extra.items()])
     functions = {name: function for name, (function, _) in runs.items()}  # what tasks need: no columns
+    unbound = frozenset(infinite)
+    last = {c: name for name, cs in read.items() for c in cs}
 
     def numbers(table: pa.Table, c: str) -> np.ndarray:
         return np.asarray(table[c].to_numpy(), dtype=float)
@@ -223,17 +251,22 @@ def stage(df: DataFrame, key: str, order: str, runs: dict[str, tuple[Window, lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole(batches, key):
             new = np.r_[True, _changes(table[key].combine_chunks() if table[key].num_chunks != 1 else table[key].chunk(0))]
-            groups, arrays, out = Groups(new, numbers(table, order)), {}, table.select(kept)
+            groups, arrays, told = Groups(new, numbers(table, order)), {}, {}
             with np.errstate(all="ignore"):
                 for name, function in functions.items():
                     for c in read[name]:
                         if c not in arrays:
                             arrays[c] = numbers(table, c)
-                    told = function(groups, *(arrays[c] for c in read[name]))
-                    out = out.append_column(pa.field(name, pa.float64()), pa.array(np.where(np.isfinite(told), told, np.nan), pa.float64(), from_pandas=True))
-            yield from out.to_batches(max_chunksize=10_000)
-
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, T.DoubleType()) for n in runs])
+                    made = function(groups, *(arrays[c] for c in read[name]))
+                    arrays[name] = made = made if name in unbound else np.where(np.isfinite(made), made, np.nan)
+                    if name in passed:
+                        told[name] = pa.array(made, pa.float64(), from_pandas=True)
+                    for c in {*read[name], name}:
+                        if last.get(c, name) == name:
+                            del arrays[c]
+            yield from pa.table([*table.select(kept).columns, *(told[n] for n in passed)], names=[*kept, *passed]).to_batches(max_chunksize=10_000)
+
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, T.DoubleType()) for n in passed])
     if not laid:
         rows = rows.repartition(key).sortWithinPartitions(F.col(key), F.col(order).asc_nulls_last())
     return rows.mapInArrow(run, schema)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factorloom.functions.scalars import snap
 from factorloom.plans.formulas import GROUP, _shown, shown
-from factorloom.plans.nested import ALONG, Panel, Term, constant, snap_sql
+from factorloom.plans.nested import ALONG, Panel, Term, constant, snap_sql, snapped
 from factorloom.sources.bars import BARS_SQL, DENSE_SQL, bars, dense
 
 #: The published formulas. `per` divides; `when` is a value where a condition holds, else 0, and missing unless the further values are there.
@@ -233,7 +233,7 @@ def words(panel: Panel) -> dict[str, object]:
 
     def coarse(x):
         """To 30 bits: correlations of few ranks tie often, and those of one value must not part at a bound of finer rounding."""
-        return Term(lambda: snap(x.column(), 30), snap_sql(x.sql, 30), x.level, phase=x.phase)
+        return Term(lambda: snap(x.column(), 30), lambda arrays, array=x.array: snapped(array(arrays), 30), snap_sql(x.sql, 30), x.level, phase=x.phase)
 
     def above_0(x):
         return when(x > 0, x, x)

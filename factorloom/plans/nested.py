@@ -1,15 +1,16 @@
 """Formulas whose windows stand inside other windows: each window becomes a column of its own, level by level.
 
 A level holds windows along instruments or cross-sections of weeks, never both. Levels that need no turn from one to the other between them are of one phase, and share a shuffle and a sort.
-All of a level of a phase run in one stage of Arrow batches (`operators/batches.py`), which gets only the columns that are still read. Recursions stand in levels too, among the windows along instruments.
+All of a level of a phase, with the values of one row before or after it, run in one stage of Arrow batches (`operators/batches.py`), which gets only the columns that are still read. Recursions stand in levels too, among the windows along instruments.
 A step may run in a later phase than it could, where fewer columns are then shuffled between phases.
 What feeds a window is rounded to 40 bits first: values that differ in their last bits only tie, in ranks, extremes and flat windows.
-Division by zero is missing. Every operator is written twice, as a column and as DuckDB SQL.
+Division by zero is missing. Values of one row are written as columns, as arrays (missing is NaN) and as DuckDB SQL; windows as arrays and as SQL.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterable
 from functools import partial
 from math import floor
@@ -37,15 +38,18 @@ def snap_sql(x: str, bits: int = BITS) -> str:
     return f"CASE WHEN abs({x}) < 1e-12 THEN 0.0 ELSE round_even({x} * {scale}, 0) / {scale} END"
 
 
+Arrays = dict[str, np.ndarray]
+
+
 class Term:
-    """A value of every row: a column (made when a session is there), its SQL, the level that it is known after, whether it needs no rounding, and the first phase that it can be known in."""
+    """A value of every row: a column (made when a session is there), an array by those of the columns, its SQL, the level that it is known after, whether it needs no rounding, and the first phase that it can be known in."""
 
-    def __init__(self, column: Callable[[], Column], sql: str, level: float = -1, exact: bool = False, phase: int = 0):
-        self.column, self.sql, self.level, self.exact, self.phase = column, sql, level, exact, phase
+    def __init__(self, column: Callable[[], Column], array: Callable[[Arrays], np.ndarray], sql: str, level: float = -1, exact: bool = False, phase: int = 0):
+        self.column, self.array, self.sql, self.level, self.exact, self.phase = column, array, sql, level, exact, phase
 
-    def _with(self, other, how: Callable[[Column, Column], Column], sql: str, turned: bool = False) -> Term:
+    def _with(self, other, how: Callable[[Column, Column], Column], sql: str, turned: bool = False, on: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Term:
         a, b = (constant(other), self) if turned else (self, constant(other))
-        return Term(lambda: how(a.column(), b.column()), sql.format(a.sql, b.sql), max(a.level, b.level), phase=max(a.phase, b.phase))
+        return Term(lambda: how(a.column(), b.column()), _on(on or how, a, b), sql.format(a.sql, b.sql), max(a.level, b.level), phase=max(a.phase, b.phase))
 
     def __add__(self, other):
         return self._with(other, lambda a, b: a + b, "({} + {})")
@@ -66,25 +70,25 @@ class Term:
         return self._with(other, lambda a, b: a * b, "({} * {})", True)
 
     def __truediv__(self, other):
-        return self._with(other, F.try_divide, "({} / nullif({}, 0))")
+        return self._with(other, F.try_divide, "({} / nullif({}, 0))", on=_divided)
 
     def __rtruediv__(self, other):
-        return self._with(other, F.try_divide, "({} / nullif({}, 0))", True)
+        return self._with(other, F.try_divide, "({} / nullif({}, 0))", True, _divided)
 
     def __neg__(self):
-        return Term(lambda: -self.column(), f"(-{self.sql})", self.level, phase=self.phase)
+        return Term(lambda: -self.column(), _on(np.negative, self), f"(-{self.sql})", self.level, phase=self.phase)
 
     def __lt__(self, other):
-        return self._with(other, lambda a, b: row.told(a < b), "coalesce({} < {}, false)")
+        return self._with(other, lambda a, b: row.told(a < b), "coalesce({} < {}, false)", on=np.less)
 
     def __gt__(self, other):
-        return self._with(other, lambda a, b: row.told(a > b), "coalesce({} > {}, false)")
+        return self._with(other, lambda a, b: row.told(a > b), "coalesce({} > {}, false)", on=np.greater)
 
     def __le__(self, other):
-        return self._with(other, lambda a, b: row.told(a <= b), "coalesce({} <= {}, false)")
+        return self._with(other, lambda a, b: row.told(a <= b), "coalesce({} <= {}, false)", on=np.less_equal)
 
     def __ge__(self, other):
-        return self._with(other, lambda a, b: row.told(a >= b), "coalesce({} >= {}, false)")
+        return self._with(other, lambda a, b: row.told(a >= b), "coalesce({} >= {}, false)", on=np.greater_equal)
 
     def __and__(self, other):
         return self._with(other, lambda a, b: a & b, "({} AND {})")
@@ -93,7 +97,37 @@ class Term:
         return self._with(other, lambda a, b: a | b, "({} OR {})")
 
     def __invert__(self):
-        return Term(lambda: ~self.column(), f"(NOT {self.sql})", self.level, phase=self.phase)
+        return Term(lambda: ~self.column(), _on(np.logical_not, self), f"(NOT {self.sql})", self.level, phase=self.phase)
+
+
+def _on(how: Callable[..., np.ndarray], *terms: Term) -> Callable[[Arrays], np.ndarray]:
+    """A function of the terms' arrays; it holds no columns, as tasks get it."""
+    parts = [x.array for x in terms]
+    return lambda arrays: how(*(f(arrays) for f in parts))
+
+
+def named(name: str, exact: bool = False) -> Term:
+    """A column of the table, as a number."""
+    return Term(lambda: C(name), lambda arrays: arrays[name], name, exact=exact)
+
+
+def _divided(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a / np.where(b == 0, np.nan, b)
+
+
+def _filled(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.where(np.isnan(x), y, x)
+
+
+def snapped(x: np.ndarray, bits: int = BITS, zero: float = 1e-12) -> np.ndarray:
+    """As `scalars.snap`."""
+    wide = x * float(2 ** (53 - bits) + 1)
+    return _filled(wide - (wide - x), x) * (np.abs(x) >= zero) + 0.0
+
+
+def _powers(x: np.ndarray, e: np.ndarray) -> np.ndarray:
+    told = np.power(x, e)
+    return np.where((x > 0) & ~np.isnan(e) & np.isfinite(told), told, np.nan)  # NumPy has 1 for 1 to a missing power and for a missing value to the power of 0
 
 
 def _names(x: Term) -> set[str]:
@@ -101,12 +135,20 @@ def _names(x: Term) -> set[str]:
     return set(re.findall(r"\w+", x.sql))
 
 
+def week() -> Term:
+    """The row's week, as a number."""
+    return Term(lambda: C(ts.ORDER).cast("double"), named(ts.ORDER).array, "week_no::DOUBLE", exact=True)
+
+
 def constant(x) -> Term:
-    return x if isinstance(x, Term) else Term(lambda: F.lit(float(x)), f"{float(x)!r}::DOUBLE", exact=True)
+    if isinstance(x, Term):
+        return x
+    value = np.float64(x)
+    return Term(lambda: F.lit(float(x)), lambda arrays: value, f"{float(x)!r}::DOUBLE", exact=True)
 
 
-def _same(x: Term, how: Callable[[Column], Column], sql: str) -> Term:
-    return Term(lambda: how(x.column()), sql.format(x=x.sql), x.level, phase=x.phase)
+def _same(x: Term, how: Callable[[Column], Column], sql: str, on: Callable[[np.ndarray], np.ndarray]) -> Term:
+    return Term(lambda: how(x.column()), _on(on, x), sql.format(x=x.sql), x.level, phase=x.phase)
 
 
 def smoothed(arrays: dict[str, np.ndarray], at: np.ndarray, alpha: float, group: np.ndarray | None = None) -> np.ndarray:
@@ -179,6 +221,17 @@ def unbeaten_rows(arrays: dict[str, np.ndarray]) -> np.ndarray:
     return told
 
 
+def _run_of(how: batches.Window | None, inputs: list[Callable[[Arrays], np.ndarray]], names: list[str]) -> batches.Window:
+    """What a stage runs for a step: a window of its inputs, or (None) the one input itself, from the arrays of names."""
+
+    def run(g: batches.Groups, *arrays: np.ndarray) -> np.ndarray:
+        known = dict(zip(names, arrays, strict=True))
+        told = [np.broadcast_to(np.asarray(f(known), dtype=float), len(g.at)) for f in inputs]
+        return told[0] if how is None else how(g, *told)
+
+    return run
+
+
 class Panel:
     """Collects the steps of some formulas; equal steps are made once."""
 
@@ -186,17 +239,17 @@ class Panel:
         self.steps: dict[str, tuple[str, Term]] = {}
         self.windows: dict[str, tuple[batches.Window, list[Term]]] = {}
 
-    def _step(self, column: Callable[[], Column] | None, sql: str, level: float, exact: bool = False, phase: int = 0) -> Term:
+    def _step(self, column: Callable[[], Column] | None, array: Callable[[Arrays], np.ndarray] | None, sql: str, level: float, exact: bool = False, phase: int = 0) -> Term:
         if sql not in self.steps:
             name = f"step_{len(self.steps)}"
-            self.steps[sql] = (name, Term(column, sql, level, exact, phase))
+            self.steps[sql] = (name, Term(column, array, sql, level, exact, phase))
         name, made = self.steps[sql]
-        return Term(lambda: C(name), name, made.level, made.exact, made.phase)
+        return Term(lambda: C(name), named(name).array, name, made.level, made.exact, made.phase)
 
     def _fixed(self, x) -> Term:
         """Rounded, as a column of its own."""
         x = constant(x)
-        return x if x.exact else self._step(lambda: row.snap(x.column()), snap_sql(x.sql), (x.level + floor(x.level) + 1) / 2, True, x.phase)
+        return x if x.exact else self._step(lambda: row.snap(x.column()), _on(snapped, x), snap_sql(x.sql), (x.level + floor(x.level) + 1) / 2, True, x.phase)
 
     def _window(self, kind: int, how: batches.Window, sql: Callable[..., str], *inputs, exact: bool = False, beside: tuple[str, ...] = ()) -> Term:
         """A function of the groups, the rounded inputs and the columns beside them."""
@@ -205,8 +258,8 @@ class Panel:
         level += level % 2 != kind
         phase = max(x.phase for x in fixed)
         phase += phase % 2 != kind
-        made = self._step(None, sql(*[x.sql for x in fixed]), level, exact, phase)
-        self.windows[made.sql] = (how, [*fixed, *(Term(lambda c=c: C(c), c) for c in beside)])
+        made = self._step(None, None, sql(*[x.sql for x in fixed]), level, exact, phase)
+        self.windows[made.sql] = (how, [*fixed, *(named(c) for c in beside)])
         return made
 
     def _across(self, how: Callable[..., np.ndarray], sql: Callable[..., str], x, exact: bool = False, beside: tuple[str, ...] = ()) -> Term:
@@ -357,7 +410,7 @@ class Panel:
 
     def streak(self, condition: Term):
         """Rows up to this one that meet the condition without a break."""
-        place = Term(lambda: C(ts.ORDER).cast("double"), "week_no::DOUBLE", exact=True)
+        place = week()
         broken = self._window(ALONG, lambda g, a: g.each(np.fmax.accumulate, a), lambda a: f"max({a}) {_PAST}", self.mask(place, ~condition), exact=True)
         first = self._window(ALONG, lambda g, a: g.each(np.fmin.accumulate, a), lambda a: f"min({a}) {_PAST}", place, exact=True)
         return place - self.fill_with(broken, first - 1)
@@ -383,12 +436,12 @@ class Panel:
     # of one row
     def where(self, condition: Term, a, b) -> Term:
         a, b = constant(a), constant(b)
-        return Term(lambda: F.when(condition.column(), a.column()).otherwise(b.column()), f"CASE WHEN {condition.sql} THEN {a.sql} ELSE {b.sql} END", max(condition.level, a.level, b.level), phase=max(condition.phase, a.phase, b.phase))
+        return Term(lambda: F.when(condition.column(), a.column()).otherwise(b.column()), _on(np.where, condition, a, b), f"CASE WHEN {condition.sql} THEN {a.sql} ELSE {b.sql} END", max(condition.level, a.level, b.level), phase=max(condition.phase, a.phase, b.phase))
 
     def mask(self, x, condition: Term) -> Term:
         """Missing where the condition does not hold."""
         x = constant(x)
-        return Term(lambda: F.when(condition.column(), x.column()), f"CASE WHEN {condition.sql} THEN {x.sql} END", max(condition.level, x.level), phase=max(condition.phase, x.phase))
+        return Term(lambda: F.when(condition.column(), x.column()), _on(lambda c, a: np.where(c, a, np.nan), condition, x), f"CASE WHEN {condition.sql} THEN {x.sql} END", max(condition.level, x.level), phase=max(condition.phase, x.phase))
 
     def valid(self, *inputs: Term) -> Term:
         def column() -> Column:
@@ -397,41 +450,42 @@ class Panel:
                 told = told & x.column().isNotNull()
             return told
 
-        return Term(column, "(" + " AND ".join(f"{x.sql} IS NOT NULL" for x in inputs) + ")", max(x.level for x in inputs), phase=max(x.phase for x in inputs))
+        there = lambda *arrays: np.logical_and.reduce(np.broadcast_arrays(*(~np.isnan(a) for a in arrays)))
+        return Term(column, _on(there, *inputs), "(" + " AND ".join(f"{x.sql} IS NOT NULL" for x in inputs) + ")", max(x.level for x in inputs), phase=max(x.phase for x in inputs))
 
     def root(self, x):
-        return _same(x, lambda a: F.when(a >= 0, F.sqrt(a)), "CASE WHEN {x} >= 0 THEN sqrt({x}) END")
+        return _same(x, lambda a: F.when(a >= 0, F.sqrt(a)), "CASE WHEN {x} >= 0 THEN sqrt({x}) END", np.sqrt)
 
     def fill_with(self, x, y) -> Term:
-        return x._with(y, lambda a, b: F.coalesce(a, b), "coalesce({}, {})")
+        return x._with(y, lambda a, b: F.coalesce(a, b), "coalesce({}, {})", on=_filled)
 
     def fill(self, x, value=0.0):
-        return _same(x, lambda a: F.coalesce(a, F.lit(float(value))), f"coalesce({{x}}, {float(value)!r})")
+        return _same(x, lambda a: F.coalesce(a, F.lit(float(value))), f"coalesce({{x}}, {float(value)!r})", lambda a: _filled(a, value))
 
     def abs(self, x):
-        return _same(x, F.abs, "abs({x})")
+        return _same(x, F.abs, "abs({x})", np.abs)
 
     def sign(self, x):
         """Of the rounded value, so that differences of equal values are 0."""
-        return _same(self._fixed(x), F.signum, "sign({x})::DOUBLE")
+        return _same(self._fixed(x), F.signum, "sign({x})::DOUBLE", np.sign)
 
     def log(self, x):
-        return _same(x, row.log, "CASE WHEN {x} > 0 THEN ln({x}) END")
+        return _same(x, row.log, "CASE WHEN {x} > 0 THEN ln({x}) END", lambda a: np.log(np.where(a > 0, a, np.nan)))
 
     def power(self, x, e):
         """Of a positive base; missing where the result is infinite."""
         e = constant(e)
-        return x._with(e, lambda a, b: row.replace_inf(F.when(a > 0, F.pow(a, b))), f"CASE WHEN {x.sql} > 0 AND isfinite(power({x.sql}, {e.sql})) THEN power({x.sql}, {e.sql}) END")
+        return x._with(e, lambda a, b: row.replace_inf(F.when(a > 0, F.pow(a, b))), f"CASE WHEN {x.sql} > 0 AND isfinite(power({x.sql}, {e.sql})) THEN power({x.sql}, {e.sql}) END", on=_powers)
 
     def lesser(self, x, y):
-        return x._with(y, row.element_min, f"CASE WHEN {x.sql} IS NOT NULL AND {y.sql} IS NOT NULL THEN least({x.sql}, {y.sql}) END")
+        return x._with(y, row.element_min, f"CASE WHEN {x.sql} IS NOT NULL AND {y.sql} IS NOT NULL THEN least({x.sql}, {y.sql}) END", on=np.minimum)
 
     def greater(self, x, y):
-        return x._with(y, row.element_max, f"CASE WHEN {x.sql} IS NOT NULL AND {y.sql} IS NOT NULL THEN greatest({x.sql}, {y.sql}) END")
+        return x._with(y, row.element_max, f"CASE WHEN {x.sql} IS NOT NULL AND {y.sql} IS NOT NULL THEN greatest({x.sql}, {y.sql}) END", on=np.maximum)
 
     def names(self) -> dict[str, object]:
         """What formulas may say."""
-        base = {x: Term(lambda x=x: C(x), x, exact=True) for x in ("open", "high", "low", "close", "volume", "amount", "vwap", "cap")}
+        base = {x: named(x, True) for x in ("open", "high", "low", "close", "volume", "amount", "vwap", "cap")}
         ops = ("delay", "delta", "sum", "mean", "product", "ts_min", "ts_max", "std", "cov", "corr", "ts_rank", "argmax", "argmin", "decay", "rank", "scale", "neutral", "where", "fill", "abs", "sign", "log", "power", "lesser", "greater", "wma", "trend", "highday", "lowday", "climbed", "sma", "slope_where", "ewm", "blend", "unbeaten", "streak", "scatter", "market", "mask", "valid", "root")
         return base | {x: getattr(self, x) for x in ops} | {"ret": base["close"] / self.delay(base["close"], 1) - 1, "flag": lambda c: self.where(c, 1, 0), "adv": lambda d: self.mean(base["volume"], d)}
 
@@ -472,7 +526,7 @@ class Panel:
     def table(self, rows: DataFrame, terms: dict[str, Term], keep: Iterable[str], laid: int | None = None) -> DataFrame:
         """The columns of keep and those of the terms, by name, each made as soon as that makes rows narrower."""
         steps = [x for level in self._levels() for x in level]
-        steps += [(name, Term(x.column, x.sql, (x.level + floor(x.level) + 1) / 2, phase=x.phase)) for name, x in terms.items()]
+        steps += [(name, Term(x.column, x.array, x.sql, (x.level + floor(x.level) + 1) / 2, phase=x.phase)) for name, x in terms.items()]
         steps.sort(key=lambda x: x[1].level)
         own = {name for name, _ in steps}
         known = {*rows.columns, *own}
@@ -482,22 +536,44 @@ class Panel:
 
     def _run(self, rows: DataFrame, steps: list[tuple[str, Term]], phases: dict[str, int], last: set[str] | None, laid: int | None) -> DataFrame:
         """All steps by phase and level; last names the columns that are read at the end (None: all)."""
-        runs: dict[tuple[int, float], list[tuple[str, Term]]] = {}
-        for name, made in steps:
-            runs.setdefault((phases[name], made.level), []).append((name, made))
-        order = sorted(runs)
-        for k, at in enumerate(order):
-            level = runs[at]
-            if level[0][0] not in self.windows:
-                rows = rows.withColumns({name: made.column() for name, made in level})
+        reads = {name: set().union(*(_names(x) for x in self.windows[name][1])) if name in self.windows else _names(made) for name, made in steps}
+        plans = [self._stages(steps, phases, eager) for eager in (False, True)]
+
+        def sent(plan: list[tuple[int, list[tuple[str, Term]]]]) -> int:
+            """Columns that pass from stage to stage."""
+            later = [set(last or ()).union(*(reads[name] for _, after in plan[k + 1 :] for name, _ in after)) for k in range(len(plan))]
+            return sum(len(later[k] & {*rows.columns, *(name for _, before in plan[: k + 1] for name, _ in before)}) for k in range(len(plan)))
+
+        plan = min(plans, key=sent)
+        for k, (phase, now) in enumerate(plan):
+            if not any(name in self.windows for name, _ in now):
+                for level in sorted({made.level for _, made in now}):
+                    rows = rows.withColumns({name: made.column() for name, made in now if made.level == level})
                 continue
-            read = None if last is None else {ts.KEY, ts.ORDER, *last}.union(*(_names(made) for later in order[k + 1 :] for _, made in runs[later]))
-            made = {name: (self.windows[name][0], [x.sql if x.sql in rows.columns else x.column() for x in self.windows[name][1]]) for name, _ in level}
-            kind = at[0] % 2
-            rows = batches.stage(rows, *((ts.KEY, ts.ORDER) if kind == ALONG else (xs.DATE, ts.KEY)), made, read, laid=laid == kind)
+            read = None if last is None else {ts.KEY, ts.ORDER, *last}.union(*(reads[name] for _, later in plan[k + 1 :] for name, _ in later))
+            known, runs = {*rows.columns, *(name for name, _ in now)}, {}
+            for name, made in now:
+                how, inputs = self.windows.get(name, (None, [made]))
+                names = sorted(reads[name] & known)
+                runs[name] = (_run_of(how, [x.array for x in inputs], names), names)
+            kind = phase % 2
+            rows = batches.stage(rows, *((ts.KEY, ts.ORDER) if kind == ALONG else (xs.DATE, ts.KEY)), runs, read, laid == kind, [n for n in runs if n not in self.windows], [n for n in runs if read is not None and n not in read])
             laid = kind
         return rows
 
+    def _stages(self, steps: list[tuple[str, Term]], phases: dict[str, int], eager: bool) -> list[tuple[int, list[tuple[str, Term]]]]:
+        """The steps by phase, one stage for each level of windows in it. Values of one row go with the windows before them (eager) or with those that read them; a phase without windows is one stage."""
+        out = []
+        for phase in sorted({*phases.values()}):
+            now = [x for x in steps if phases[x[0]] == phase]
+            levels = sorted({made.level for name, made in now if name in self.windows})
+            parts: list[list[tuple[str, Term]]] = [[] for _ in levels or [0]]
+            for name, made in now:
+                at = bisect_left(levels, made.level)
+                parts[at if name in self.windows else max(at - 1, 0) if eager else min(at, len(parts) - 1)].append((name, made))
+            out += [(phase, part) for part in parts]
+        return out
+
     def sql(self, source: str) -> tuple[str, str]:
         """Further WITH items that add the steps to the source, and the last one's name."""
         items, last = [], source

@@ -16,7 +16,7 @@ from factorloom.operators import series as ts
 from factorloom.operators.traded import numbered, over_traded
 from factorloom.plans.formulas import _shown, shown
 from factorloom.plans.formulas_191 import words
-from factorloom.plans.nested import Panel, Term
+from factorloom.plans.nested import Panel, Term, week
 from factorloom.sources.bars import BARS_SQL, GAPPED_SQL, bars, gapped
 
 C = F.col
@@ -95,7 +95,7 @@ def _terms(names: list[str]) -> tuple[Panel, dict[str, Term]]:
     w = words(p)
     per, when, delta = w["per"], w["when"], w["delta"]
     high, low, volume, typical, change = (w[x] for x in ("high", "low", "volume", "typical", "change"))
-    place = Term(lambda: C("week_no").cast("double"), "week_no::DOUBLE", exact=True)
+    place = week()
 
     def ema(x, n):
         return p.ewm(x, 2 / (n + 1))

@@ -113,3 +113,21 @@ def test_averages_of_many_runs(missing):
         y = v if y != y or at[k] == 0 else 0.3 * v + 0.7 * y
         want.append(y)
     np.testing.assert_allclose(smoothed({"x": x}, at, 0.3, group), want, rtol=1e-12)
+
+
+def test_powers_of_missing_values(spark, rows):
+    """A missing base or exponent gives a missing value, also to the power of 0 and of a base of 1."""
+    got = _value(spark, rows, "power(ts_rank(close, 4), delta(close, 2))")
+    want = (lambda x: x.rolling(4).rank(pct=True) ** x.diff(2))(_wide(rows, "close")).where(lambda v: _wide(rows, "close").rolling(4).count() == 4)
+    np.testing.assert_allclose(got.to_numpy(float), want.to_numpy(float), rtol=1e-9)
+    ones = _value(spark, rows, "power(sign(volume), delta(close, 2))")
+    assert ones.iloc[:2].isna().all().all() and (ones.iloc[2:] == 1).all().all()
+
+
+def test_values_of_one_row_stay_in_the_stage(spark, sf_dir):
+    """What is fed to a window is made in the window's stage; before, Spark made it in columns of its own, which were passed to Python and, where read again, back."""
+    from factorloom.plans.formulas import _query
+
+    plan = _query([81, 82, 83, 84, 85, 86, 87, 88])(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.rindex("MapInArrow")]
+    assert above.count("134217729") == above.count("8193") == 0  # the rounding's factor
