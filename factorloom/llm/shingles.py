@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from factorloom.llm.common import components, each_salt, salt, salts, written
+from factorloom.llm.common import components, each_salt, salt, salts, small_batches, written
 from factorloom.llm.simhash import Forest, blocks, first_rows, identified, pairs_in_groups, set_counts, shingle_hashes, whole_groups, words_of
 
 #: The chance that a pair at the least similarity shares no partition; pairs above it have less.
@@ -96,7 +96,7 @@ def _sketches(shingle: int, plan: list[tuple[int, int]]):
             w = words_of(t)
             bits = bits_of(np.unique(shingle_hashes(w, shingle)), words)
             checked = np.packbits(bits[-CHECKED:], bitorder="little").view("<i8").tolist()
-            out.append((hashlib.md5(b" ".join(w)).hexdigest(), keys_of(bits) if w else [], *checked))
+            out.append((hashlib.md5(b" ".join(w)).hexdigest(), np.array(keys_of(bits) if w else [], dtype=np.int64), *checked))
         return pd.DataFrame(out, columns=["same", "keys", "c0", "c1"])
 
     return of
@@ -105,7 +105,7 @@ def _sketches(shingle: int, plan: list[tuple[int, int]]):
 def _sets(shingle: int):
     @pandas_udf("array<bigint>")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(words_of(t), shingle)).view("<i8").tolist() for t in texts])
+        return pd.Series([np.unique(shingle_hashes(words_of(t), shingle)).view("<i8") for t in texts], dtype=object)
 
     return of
 
@@ -213,7 +213,8 @@ def links(nodes: DataFrame, texts: DataFrame, shingle: int, least: float, plan:
     found = written(_candidates(blocks(probed, ["part", "key"], "node", block), most))
     touched = written(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     wanted = written(nodes.join(touched, "node").select("node", "one", "two"))
-    hashes = written(texts.join(wanted, ["one", "two"]).dropDuplicates(["node"]).select("node", _sets(shingle)("text").alias("hashes")))
+    with small_batches(nodes.sparkSession):
+        hashes = written(texts.join(wanted, ["one", "two"]).dropDuplicates(["node"]).select("node", _sets(shingle)("text").alias("hashes")))
     both = _with_hub(found, hashes)
     held = written(both.where(_alike(F.size(F.array_intersect("hashes", "others")), F.size("hashes"), F.size("others"), least)).select("a", "b"))
 
@@ -233,7 +234,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = identified(df, id_col, text_col)
     plan = allotted(df.count(), least, miss)
-    slim = written(rows.select("id", "one", "two", _sketches(shingle, plan)("text").alias("s")).select("id", "one", "two", "s.*"))
+    with small_batches(df.sparkSession):
+        slim = written(rows.select("id", "one", "two", _sketches(shingle, plan)("text").alias("s")).select("id", "one", "two", "s.*"))
     nodes = written(slim.groupBy("same").agg(F.min_by(F.struct("one", "two", "keys", "c0", "c1"), F.struct("one", "two")).alias("m"), salts("one").alias("bits")).select("same", "m.*", "bits").withColumn("node", F.monotonically_increasing_id()))
     found = components(links(nodes, rows.select("one", "two", "text"), shingle, least, plan, block))
     groups = nodes.join(found, "node", "left").select("same", F.coalesce("component", "node").alias("group"), each_salt("bits").alias("part"))

@@ -88,3 +88,21 @@ def test_rows_without_id_stay(spark):
         out = [(r["doc_id"], r["text"]) for r in got.collect()]
         assert sorted([x for x in out if x[1]], key=str) == want and len(out) == len(want) + 1
     assert shingles.deduplicate(df.where("false")).count() == 0
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """Before, fingerprints and hash sets were made of 10,000 whole texts at a time, as Python numbers, and an executor took more than 3,000 MB."""
+    from factorloom.llm import shingles
+
+    name, seen, written = "spark.sql.execution.arrow.maxRecordsPerBatch", [], shingles.written
+    before = spark.conf.get(name)
+
+    def told(df):
+        if "ArrowEvalPython" in df._jdf.queryExecution().optimizedPlan().toString():
+            seen.append(int(spark.conf.get(name)))
+        return written(df)
+
+    monkeypatch.setattr(shingles, "written", told)
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(40)) + (" x" if k else "")) for k in range(2)], "doc_id long, text string")
+    assert shingles.deduplicate(docs).count() == 1
+    assert len(seen) == 2 and max(seen) <= 256 and spark.conf.get(name) == before
