@@ -8,10 +8,12 @@ an ordinal has none. Missing is NaN. Sums run from the oldest row on, as Spark's
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -223,14 +225,70 @@ def off_mean(x: np.ndarray, part: np.ndarray) -> np.ndarray:
     return x - (np.bincount(part, weights=np.where(has, x, 0.0)) / np.where(n == 0, np.nan, n))[part]
 
 
+def _numbers(table: pa.Table, c: str) -> np.ndarray:
+    return np.asarray(table[c].to_numpy(), dtype=float)
+
+
+def _new(table: pa.Table, key: str) -> np.ndarray:
+    return np.r_[True, _changes(table[key].combine_chunks() if table[key].num_chunks != 1 else table[key].chunk(0))]
+
+
+#: Rows that runs see at once, about.
+AT_ONCE = 1 << 13
+
+
+class Work:
+    """What a stage makes of a table of whole groups: runs (name: function and the names of its inputs) after one another, and the columns it passes on."""
+
+    def __init__(self, runs: dict[str, tuple[Window, list[str]]], kept: list[str], infinite: Iterable[str] = (), inner: Iterable[str] = ()):
+        self.runs, self.kept, self.unbound, self.inner = runs, kept, frozenset(infinite), frozenset(inner)
+        self.passed = [name for name in runs if name not in self.inner]
+        self.last = {c: name for name, (_, inputs) in runs.items() for c in inputs}
+
+    def of(self, table: pa.Table, key: str, order: str) -> pa.Table:
+        """Missing results are NaN. Some groups at a time, so that their arrays stay in the processor's cache."""
+        new = _new(table, key)
+        starts = np.flatnonzero(new)
+        cuts = [0]
+        for i in starts[np.searchsorted(starts, np.arange(AT_ONCE, len(table), AT_ONCE))[: len(starts)].clip(max=len(starts) - 1)].tolist():
+            if i > cuts[-1]:
+                cuts.append(i)
+        told: dict[str, list[np.ndarray]] = {name: [] for name in self.passed}
+        for i, j in zip(cuts, [*cuts[1:], len(table)], strict=True):
+            for name, made in self._made(table.slice(i, j - i), new[i:j], order):
+                told[name].append(made)
+        return pa.table([*table.select(self.kept).columns, *(pa.array(np.concatenate(x), pa.float64()) for x in told.values())], names=[*self.kept, *self.passed])
+
+    def _made(self, table: pa.Table, new: np.ndarray, order: str) -> Iterator[tuple[str, np.ndarray]]:
+        groups, arrays = Groups(new, _numbers(table, order)), {}
+        with np.errstate(all="ignore"):
+            for name, (function, inputs) in self.runs.items():
+                for c in inputs:
+                    if c not in arrays:
+                        arrays[c] = _numbers(table, c)
+                made = function(groups, *(arrays[c] for c in inputs))
+                arrays[name] = made = made if name in self.unbound else np.where(np.isfinite(made), made, np.nan)
+                if name not in self.inner:
+                    yield name, made
+                for c in {*inputs, name}:
+                    if self.last.get(c, name) == name:
+                        del arrays[c]
+
+
+def _plain(table: pa.Table, made: Iterable[str]) -> Iterator[pa.RecordBatch]:
+    """Batches for Spark, in which what was made is null where it is missing."""
+    for c in made:
+        table = table.set_column(table.column_names.index(c), c, pa.array(_numbers(table, c), pa.float64(), from_pandas=True))
+    return iter(table.to_batches(max_chunksize=10_000))
+
+
 def stage(df: DataFrame, key: str, order: str, runs: dict[str, tuple[Window, list[Column | str]]], keep: Iterable[str] | None = None, laid: bool = False, infinite: Iterable[str] = (), inner: Iterable[str] = ()) -> DataFrame:
     """df's columns (of keep, if given) with one for each run (name: function of groups and arrays, and what it reads: columns of df, or runs before it), in whole groups by key in the order of order.
 
     Runs that inner names serve later runs only. Infinite results are missing, but for the runs that infinite names.
-    laid: df's partitions hold whole groups in that order already, as those of a stage of the same key and order do; it is not shuffled and sorted again.
+    laid: df's partitions hold whole groups in that order already; it is not shuffled and sorted again.
     """
     kept = list(df.columns) if keep is None else [c for c in df.columns if c in set(keep)]
-    passed = [name for name in runs if name not in set(inner)]
     read, extra = {}, {}
     for name, (_, inputs) in runs.items():
         read[name] = []
@@ -241,32 +299,135 @@ def stage(df: DataFrame, key: str, order: str, runs: dict[str, tuple[Window, lis
             read[name].append(c)
     sent = [c for c in df.columns if c in {key, order, *kept, *(c for cs in read.values() for c in cs)}]
     rows = df.select(*[F.col(f"`{c}`") for c in sent], *[c.alias(n) for n, c in extra.items()])
-    functions = {name: function for name, (function, _) in runs.items()}  # what tasks need: no columns
-    unbound = frozenset(infinite)
-    last = {c: name for name, cs in read.items() for c in cs}
-
-    def numbers(table: pa.Table, c: str) -> np.ndarray:
-        return np.asarray(table[c].to_numpy(), dtype=float)
+    work = Work({name: (function, read[name]) for name, (function, _) in runs.items()}, kept, infinite, inner)  # what tasks need: no columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole(batches, key):
-            new = np.r_[True, _changes(table[key].combine_chunks() if table[key].num_chunks != 1 else table[key].chunk(0))]
-            groups, arrays, told = Groups(new, numbers(table, order)), {}, {}
-            with np.errstate(all="ignore"):
-                for name, function in functions.items():
-                    for c in read[name]:
-                        if c not in arrays:
-                            arrays[c] = numbers(table, c)
-                    made = function(groups, *(arrays[c] for c in read[name]))
-                    arrays[name] = made = made if name in unbound else np.where(np.isfinite(made), made, np.nan)
-                    if name in passed:
-                        told[name] = pa.array(made, pa.float64(), from_pandas=True)
-                    for c in {*read[name], name}:
-                        if last.get(c, name) == name:
-                            del arrays[c]
-            yield from pa.table([*table.select(kept).columns, *(told[n] for n in passed)], names=[*kept, *passed]).to_batches(max_chunksize=10_000)
-
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, T.DoubleType()) for n in passed])
-    if not laid:
-        rows = rows.repartition(key).sortWithinPartitions(F.col(key), F.col(order).asc_nulls_last())
-    return rows.mapInArrow(run, schema)
+            yield from _plain(work.of(table, key, order), work.passed)
+
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, T.DoubleType()) for n in work.passed])
+    return (rows if laid else _laid(rows, key, order)).mapInArrow(run, schema)
+
+
+def _laid(rows: DataFrame, key: str, order: str) -> DataFrame:
+    return rows.repartition(F.col(f"`{key}`")).sortWithinPartitions(F.col(f"`{key}`"), F.col(f"`{order}`").asc_nulls_last())
+
+
+#: Rows of a block of histories, about; a block holds whole ones.
+BLOCK = 1 << 17
+#: Rows of one piece at most, and bytes of the pieces of one batch, about.
+PIECE, SENT = 1 << 16, 1 << 23
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], key: str, block: str, size: int) -> Iterator[pa.Table]:
+    """Tables of some whole groups, size rows or a little more each, with the number of the table among all tasks' tables in the column block. The rows of a task come in a fixed order, so a task that runs again numbers alike."""
+    held, rows, n = [], 0, TaskContext.get().partitionId() << 32
+
+    def numbered() -> pa.Table:
+        table = pa.concat_tables(held).combine_chunks()
+        return table.append_column(block, pa.array(np.full(len(table), n, np.int64)))
+
+    for table in whole(batches, key):
+        held.append(table)
+        rows += len(table)
+        if rows >= size:
+            yield numbered()
+            held, rows, n = [], 0, n + 1
+    if held:
+        yield numbered()
+
+
+def _sorted(table: pa.Table, *keys: str) -> pa.Table:
+    return table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in keys], null_placement="at_end")).combine_chunks()
+
+
+def _sent(table: pa.Table, key: str) -> Iterator[pa.RecordBatch]:
+    """Rows (key, piece) of a table that is sorted by key: each key's rows as Arrow bytes, in pieces of a bounded size."""
+    starts = np.flatnonzero(_new(table, key))
+    keys, pieces, size = [], [], 0
+    for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(table)], strict=True):
+        for at in range(i, j, PIECE):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table.slice(at, min(PIECE, j - at)))
+            keys.append(at)
+            pieces.append(sink.getvalue())
+            size += pieces[-1].size
+            if size >= SENT:
+                yield _rows(table, key, keys, pieces)
+                keys, pieces, size = [], [], 0
+    if keys:
+        yield _rows(table, key, keys, pieces)
+
+
+def _rows(table: pa.Table, key: str, places: list[int], pieces: list[pa.Buffer]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([table[key].take(pa.array(places)).combine_chunks(), pa.array([p.to_pybytes() for p in pieces], pa.binary())], names=["key", "piece"])
+
+
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The tables of the keys, from rows (key, piece) in which a key's pieces follow each other."""
+    held, now = [], None
+    for b in batches:
+        for key, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if held and key != now:
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+            now = key
+            held.append(pa.ipc.open_stream(piece).read_all())
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+@dataclass(frozen=True)
+class Part:
+    """One of many stages: over histories or over dates, its runs, the columns that are read after it (None: all), and the runs that may be infinite and those that later runs of the stage alone read."""
+
+    along: bool
+    runs: dict[str, tuple[Window, list[str]]]
+    keep: frozenset[str] | None = None
+    infinite: frozenset[str] = frozenset()
+    inner: frozenset[str] = frozenset()
+
+
+def stages(df: DataFrame, along: str, across: str, parts: list[Part], laid: bool = False, size: int = BLOCK) -> DataFrame:
+    """Stages one after the other, over histories (groups of along in the order of across) or over dates (groups of across in the order of along); results are those of `stage` for each of them.
+
+    Histories stand in blocks of size rows or a little more. Between stages Spark has a row for each block, date, or date's part of a block, with all its columns as Arrow
+    bytes in pieces of a bounded size, and turns between histories and dates shuffle those. So columns become rows of the table, and rows columns, at the start and the end only.
+    laid: df's partitions hold whole histories by date already.
+    """
+    if not parts[0].along:  # blocks come first
+        parts = [Part(True, {}, None if any(p.keep is None for p in parts) else frozenset().union(*(p.keep or () for p in parts), *(inputs for p in parts for _, inputs in p.runs.values()))), *parts]
+    block, columns, works = free(df, "block"), list(df.columns), []
+    for k, part in enumerate(parts):
+        always = {along, across, block} if k + 1 < len(parts) else set()
+        kept = [c for c in columns if part.keep is None and c != block or c in (part.keep or ()) or c in always]
+        works.append(Work(part.runs, kept, part.infinite, part.inner))
+        columns = [*kept, *works[-1].passed]
+        if k == 0:
+            works[0].kept, columns = [*kept, block], [*columns, block]
+    told = [c for c in columns if c != block]
+    kinds = {c: df.schema[c] if c in df.columns else T.StructField(c, T.DoubleType()) for c in told}
+    keys = {True: T.StructField("key", T.LongType()), False: T.StructField("key", df.schema[across].dataType)}
+    read = {along, across, *works[0].kept, *(c for _, inputs in works[0].runs.values() for c in inputs)}
+    out = df.select(*[F.col(f"`{c}`") for c in df.columns if c in read])
+    out = out if laid else _laid(out, along, across)
+    for k, (part, work) in enumerate(zip(parts, works, strict=True)):
+        after = parts[k + 1].along if k + 1 < len(parts) else None
+        schema = T.StructType(list(kinds.values()) if after is None else [keys[after], T.StructField("piece", T.BinaryType())])
+        by, turned, turns = (along, across) if part.along else (across, along), k > 0 and parts[k - 1].along != part.along, after is not None and after != part.along
+        out = out.mapInArrow(_task(work, by, turned, (block, size) if k == 0 else None, None if after is None else block if after else across, turns, [c for c in told if c not in df.columns]), schema)
+        if turns:
+            out = out.repartition("key").sortWithinPartitions("key")
+    return out
+
+
+def _task(work: Work, by: tuple[str, str], turned: bool, start: tuple[str, int] | None, then: str | None, turns: bool, made: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a stage of `stages` does in a task: rows or pieces come in, pieces by the key of the next stage or rows go out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _blocks(batches, by[0], *start) if start else _gathered(batches):
+            table = work.of(_sorted(table, *by) if turned else table, *by)
+            yield from _plain(table, made) if then is None else _sent(_sorted(table, then) if turns else table, then)
+
+    return run

@@ -545,20 +545,33 @@ class Panel:
             return sum(len(later[k] & {*rows.columns, *(name for _, before in plan[: k + 1] for name, _ in before)}) for k in range(len(plan)))
 
         plan = min(plans, key=sent)
-        for k, (phase, now) in enumerate(plan):
-            if not any(name in self.windows for name, _ in now):
-                for level in sorted({made.level for _, made in now}):
-                    rows = rows.withColumns({name: made.column() for name, made in now if made.level == level})
-                continue
+        windowed = [k for k, (_, now) in enumerate(plan) if any(name in self.windows for name, _ in now)]
+        start, end = (windowed[0], windowed[-1] + 1) if windowed else (len(plan), len(plan))
+        rows = self._columns(rows, plan[:start])
+        known, parts = {*rows.columns}, []
+        for k in range(start, end):
+            phase, now = plan[k]
             read = None if last is None else {ts.KEY, ts.ORDER, *last}.union(*(reads[name] for _, later in plan[k + 1 :] for name, _ in later))
-            known, runs = {*rows.columns, *(name for name, _ in now)}, {}
+            known |= {name for name, _ in now}
+            runs = {}
             for name, made in now:
                 how, inputs = self.windows.get(name, (None, [made]))
                 names = sorted(reads[name] & known)
                 runs[name] = (_run_of(how, [x.array for x in inputs], names), names)
-            kind = phase % 2
-            rows = batches.stage(rows, *((ts.KEY, ts.ORDER) if kind == ALONG else (xs.DATE, ts.KEY)), runs, read, laid == kind, [n for n in runs if n not in self.windows], [n for n in runs if read is not None and n not in read])
-            laid = kind
+            kind = phase % 2 == ALONG if k in windowed else parts[-1].along
+            parts.append(batches.Part(kind, runs, None if read is None else frozenset(read), frozenset(n for n in runs if n not in self.windows), frozenset(n for n in runs if read is not None and n not in read)))
+        if len(parts) > 1:
+            rows = batches.stages(rows, ts.KEY, xs.DATE, parts, laid == ALONG)
+        elif parts:
+            by = (ts.KEY, ts.ORDER) if parts[0].along else (xs.DATE, ts.KEY)
+            rows = batches.stage(rows, *by, parts[0].runs, parts[0].keep, parts[0].along and laid == ALONG, parts[0].infinite, parts[0].inner)
+        return self._columns(rows, plan[end:])
+
+    def _columns(self, rows: DataFrame, plan: list[tuple[int, list[tuple[str, Term]]]]) -> DataFrame:
+        """Values of one row before the first and after the last window."""
+        for _, now in plan:
+            for level in sorted({made.level for _, made in now}):
+                rows = rows.withColumns({name: made.column() for name, made in now if made.level == level})
         return rows
 
     def _stages(self, steps: list[tuple[str, Term]], phases: dict[str, int], eager: bool) -> list[tuple[int, list[tuple[str, Term]]]]:

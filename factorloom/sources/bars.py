@@ -20,13 +20,15 @@ def total(name: str) -> Column:
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (instrument, week_no) with prices, volume, amount, sector and cap. Weeks count Mondays, so gaps stay visible.
 
-    Line items aggregate map-side before their only shuffle; the dimension tables join after it, on far fewer rows. A last bit of an amount settles whether later ranks
+    Line items are dealt and sorted by instrument once, so bars, the dimension tables' join and later windows along an instrument need no further shuffle or sort: a week
+    has few line items of an instrument, so sums before the shuffle would sort all of them for little. A last bit of an amount settles whether later ranks
     tie, so amounts are the same in whatever order line items come: reruns and copies of an instrument agree.
     """
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    price = F.col("l_extendedprice") / F.col("l_quantity")
-    lines = read("lineitem").select("l_suppkey", F.floor(F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-05")) / 7).cast("int").alias("week_no"), F.struct("l_orderkey", "l_linenumber", price.alias("p")).alias("at"), price.alias("p"), "l_quantity", "l_extendedprice")
-    out = lines.groupBy(F.col("l_suppkey").alias("instrument"), "week_no").agg(
+    week = F.floor(F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-05")) / 7).cast("int")
+    lines = read("lineitem").select(F.col("l_suppkey").alias("instrument"), week.alias("week_no"), "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice").hint("rebalance", F.col("instrument"))
+    lines = lines.withColumn("p", F.col("l_extendedprice") / F.col("l_quantity")).withColumn("at", F.struct("l_orderkey", "l_linenumber", "p"))
+    out = lines.groupBy("instrument", "week_no").agg(
         F.min("at")["p"].alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max("at")["p"].alias("close"), total("l_quantity").alias("volume"), total("l_extendedprice").alias("amount")
     )
     where = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("instrument"), F.col("n_regionkey").alias("sector"), F.col("n_nationkey").alias("industry"), (F.col("s_acctbal") + 2000).alias("cap"))

@@ -63,3 +63,49 @@ def test_rolling_factors_in_one_stage(spark, sf_dir):
         np.testing.assert_allclose(got[n].to_numpy(float), want[n].to_numpy(float), rtol=1e-9, atol=1e-9, err_msg=n)
     plan = pv.QUERIES["a158_rolling_20"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.count("collect_list") == 0
+
+
+def test_stages_like_one_after_the_other(spark):
+    """Blocks of few rows, short pieces, gaps, and missing keys and values: what stages in blocks make is what they make row by row."""
+    draw = np.random.default_rng(8)
+    rows = [(k if k < 38 else None, w, float(draw.integers(1, 9)) / 3 if draw.random() > 0.1 else None, k % 3, f"n{k}") for k in range(39) for w in [*range(k % 7, 25), None] if w is not None or k % 5 == 0 if draw.random() > 0.1]
+    df = spark.createDataFrame(rows, "instrument int, week_no int, x double, part int, label string").repartition(5)
+    total, rank = (lambda g, a: batches.weighted(g, a, [1.0] * 3)), (lambda g, a: g.each(batches.rank_present, a))
+    parts = [
+        batches.Part(True, {"a": (total, ["x"]), "b": (lambda g, a: a * 2, ["a"])}, None, frozenset(["b"]), frozenset(["a"])),
+        batches.Part(True, {"c": (lambda g, a: batches.delay(g, a, 2), ["b"])}),
+        batches.Part(False, {"d": (rank, ["c"]), "e": (lambda g, a: g.each(batches.mean_present, a), ["x"])}),
+        batches.Part(False, {"f": (rank, ["e"])}, frozenset(["instrument", "week_no", "label", "b", "d", "e", "part"])),
+        batches.Part(True, {"h": (total, ["d"])}, frozenset(["instrument", "week_no", "label", "part", "d", "e", "h"])),
+    ]
+    for some in (parts, parts[:3], [batches.Part(False, {"d": (rank, ["x"])}), batches.Part(True, {"h": (total, ["d"])})]):
+        want = df
+        for p in some:
+            want = batches.stage(want, *(("instrument", "week_no") if p.along else ("week_no", "instrument")), p.runs, p.keep, False, p.infinite, p.inner)
+        for size in (1, 40, 10**6):
+            got = batches.stages(df, "instrument", "week_no", some, size=size)
+            assert got.dtypes == want.dtypes
+            assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and got.count() == len(rows)
+    assert batches.stages(df.where("false"), "instrument", "week_no", parts).count() == 0
+
+
+def test_pieces_are_bounded():
+    table = pa.table({"k": pa.array([1] * (batches.PIECE + 5) + [None, None], pa.int32()), "v": np.arange(batches.PIECE + 7.0)})
+    sent = list(batches._sent(table, "k"))
+    assert sum((b["key"].to_pylist() for b in sent), []) == [1, 1, None]
+    assert [t.to_pydict() for t in batches._gathered(sent)] == [table.slice(0, batches.PIECE + 5).to_pydict(), table.slice(batches.PIECE + 5).to_pydict()]
+
+
+def test_turns_shuffle_pieces(spark, sf_dir):
+    """Before, every turn made all rows anew, and every level passed them to Python one by one."""
+    plan = _query([41, 42, 43, 44, 45, 46, 47, 48])(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [key") == plan.count("RepartitionByExpression") == 2
+
+
+def test_bars_sort_once(spark, sf_dir):
+    """Line items are dealt by instrument and sorted by instrument and week, which later windows need anyway; before, partial sums were sorted before and after a shuffle by instrument and week."""
+    from factorloom.sources.bars import bars
+
+    plan = bars(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(instrument") == plan.count("Sort [instrument") == 1
+    assert plan.count("REBALANCE_PARTITIONS_BY_COL") == 1
