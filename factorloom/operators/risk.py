@@ -124,7 +124,7 @@ def risk_model(df: DataFrame, y: str, cap: str, group: str, styles: dict[str, li
     before = exposures.join(dates, DATE).where("next is not null").select(KEY, F.col("next").alias(DATE), "x", "cap")
     told = df.select(KEY, DATE, F.col(f"`{y}`").cast("double").alias("y")).join(before, [KEY, DATE])
     beta = fits(told, F.col("y"), F.col("x"), F.sqrt(F.when(F.col("cap") > 0, F.col("cap"))), least=max(least, len(names) + 1))
-    returns = beta.withColumn("place", F.row_number().over(Window.orderBy(DATE)))
+    returns = beta.withColumn("place", F.row_number().over(Window.orderBy(DATE))).persist()  # one row a date; signal dates look their places up in it before the residuals read it again
     use = (F.col("cap") > 0) & F.col("y").isNotNull() & ~F.isnan("y") & (F.abs("y") < float("inf"))
     residuals = told.where(use).join(returns.select(DATE, "place", "beta"), DATE).select(KEY, DATE, "place", (F.col("y") - dot(F.col("x"), F.col("beta"))).alias("residual"))
     return RiskModel(names, exposures.select(KEY, DATE, "x"), returns, residuals)

@@ -147,3 +147,13 @@ def test_limits_and_empty(spark, market):
         risk.exposure_limits(["size"], "sector", size=-1.0)
     model = risk.risk_model(market[0].where("false"), "y", "cap", "sector", STYLES)
     assert model.factor_returns.count() == 0 and model.residuals.count() == 0 and model.specific([1]).count() == 0
+
+
+def test_factor_returns_are_made_once(spark, sf_dir):
+    """The places of signal dates and the residuals read the same factor returns; before, each fitted the whole panel anew."""
+    from factorloom.plans.risk import specific
+
+    plan = specific(spark, sf_dir)._jdf.queryExecution().withCachedData().toString()
+    assert plan.count("InMemoryRelation") == 1
+    above = plan[: plan.index("InMemoryRelation")]
+    assert "MapInPandas" not in above and "FlatMapGroupsInPandas" not in above
