@@ -1,6 +1,6 @@
 """Formulas whose windows stand inside other windows: each window becomes a column of its own, level by level.
 
-A level holds windows along instruments or cross-sections of weeks, never both. Levels that need no turn from one to the other between them are of one phase, and share a shuffle and a sort.
+A level holds windows along instruments or cross-sections of weeks, never both. Levels that need no turn from one to the other between them are of one phase, and share a shuffle and a sort; between stages, rows stay in blocks of columns.
 All of a level of a phase, with the values of one row before or after it, run in one stage of Arrow batches (`operators/batches.py`), which gets only the columns that are still read. Recursions stand in levels too, among the windows along instruments.
 A step may run in a later phase than it could, where fewer columns are then shuffled between phases.
 What feeds a window is rounded to 40 bits first: values that differ in their last bits only tie, in ranks, extremes and flat windows.
