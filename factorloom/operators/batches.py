@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -367,15 +368,21 @@ def _rows(table: pa.Table, key: str, places: list[int], pieces: list[pa.Buffer])
 def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The tables of the keys, from rows (key, piece) in which a key's pieces follow each other."""
     held, now = [], None
+
+    def joined() -> pa.Table:
+        """The pieces so far, which are let go."""
+        table = pa.concat_tables(held).combine_chunks()
+        held.clear()
+        return table
+
     for b in batches:
-        for key, piece in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for key, piece in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             if held and key != now:
-                yield pa.concat_tables(held).combine_chunks()
-                held = []
+                yield joined()
             now = key
-            held.append(pa.ipc.open_stream(piece).read_all())
+            held.append(pa.ipc.open_stream(piece.as_py()).read_all())
     if held:
-        yield pa.concat_tables(held).combine_chunks()
+        yield joined()
 
 
 @dataclass(frozen=True)
@@ -389,6 +396,24 @@ class Part:
     inner: frozenset[str] = frozenset()
 
 
+#: Stages of one kind in a row that have processes of their own; more of them share one.
+APART = 3
+
+
+def _together(parts: list[Part], columns: list[str], always: set[str]) -> list[Part]:
+    """The parts, those of a longer row of one kind than APART as one. Each process of a task holds a block and its own libraries, so many in a row took more memory than an executor has; in one, values that only the row itself reads live for some groups at a time."""
+    told, columns, last = [], list(columns), parts[-1]
+    for along, row in groupby(parts, key=lambda p: p.along):
+        row, before = list(row), columns
+        for p in row:
+            columns = [*(c for c in columns if p.keep is None or c in p.keep or p is not last and c in always), *(n for n in p.runs if n not in p.inner)]
+        if len(row) > APART:
+            runs = {n: f for p in row for n, f in p.runs.items()}
+            row = [Part(along, runs, frozenset(columns) & {*before}, frozenset().union(*(p.infinite for p in row)), frozenset(runs) - {*columns})]
+        told += row
+    return told
+
+
 def stages(df: DataFrame, along: str, across: str, parts: list[Part], laid: bool = False, size: int = BLOCK) -> DataFrame:
     """Stages one after the other, over histories (groups of along in the order of across) or over dates (groups of across in the order of along); results are those of `stage` for each of them.
 
@@ -398,13 +423,14 @@ def stages(df: DataFrame, along: str, across: str, parts: list[Part], laid: bool
     """
     if not parts[0].along:  # blocks come first
         parts = [Part(True, {}, None if any(p.keep is None for p in parts) else frozenset().union(*(p.keep or () for p in parts), *(inputs for p in parts for _, inputs in p.runs.values()))), *parts]
+    parts = _together(parts, df.columns, {along, across})
     block, columns, works = free(df, "block"), list(df.columns), []
     for k, part in enumerate(parts):
         always = {along, across, block} if k + 1 < len(parts) else set()
         kept = [c for c in columns if part.keep is None and c != block or c in (part.keep or ()) or c in always]
         works.append(Work(part.runs, kept, part.infinite, part.inner))
         columns = [*kept, *works[-1].passed]
-        if k == 0:
+        if k == 0 and always:
             works[0].kept, columns = [*kept, block], [*columns, block]
     told = [c for c in columns if c != block]
     kinds = {c: df.schema[c] if c in df.columns else T.StructField(c, T.DoubleType()) for c in told}
@@ -427,7 +453,9 @@ def _task(work: Work, by: tuple[str, str], turned: bool, start: tuple[str, int]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _blocks(batches, by[0], *start) if start else _gathered(batches):
-            table = work.of(_sorted(table, *by) if turned else table, *by)
+            if turned:
+                table = _sorted(table, *by)
+            table = work.of(table, *by)
             yield from _plain(table, made) if then is None else _sent(_sorted(table, then) if turns else table, then)
 
     return run

@@ -109,3 +109,30 @@ def test_bars_sort_once(spark, sf_dir):
     plan = bars(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(instrument") == plan.count("Sort [instrument") == 1
     assert plan.count("REBALANCE_PARTITIONS_BY_COL") == 1
+
+
+def test_long_rows_of_stages_share_a_process(spark, sf_dir):
+    """Before, each of five stages in a row had a process with a block of its own in every task, which took more memory than an executor of 10 GB has at 1 GB of tables."""
+    from factorloom.plans.formulas_191 import QUERIES
+
+    plan = QUERIES["a191_113_120"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 4
+    draw = np.random.default_rng(9)
+    df = spark.createDataFrame([(k, w, float(draw.integers(1, 9)) / 3 if draw.random() > 0.1 else None) for k in range(20) for w in range(k % 7, 25)], "instrument int, week_no int, x double")
+    total, over, rank = (lambda g, a: batches.weighted(g, a, [1.0] * 2)), (lambda g, a: a / 0), (lambda g, a: g.each(batches.rank_present, a))
+    rows = [
+        batches.Part(True, {"a": (total, ["x"]), "b": (over, ["a"])}, None, frozenset(["b"]), frozenset(["a"])),
+        batches.Part(True, {"c": (total, ["b"]), "d": (total, ["x"])}, frozenset(["x", "c", "d"])),
+        batches.Part(True, {"e": (total, ["d"])}),
+        batches.Part(True, {"f": (total, ["e"]), "h": (total, ["x"])}, frozenset(["instrument", "week_no", "c", "e", "f", "h"])),
+    ]
+    across = [batches.Part(False, {f"r{k}": (rank, [c])}) for k, c in enumerate(["c", "e", "f", "h"])]
+    for some in (rows, [*rows, *across], [*rows, *across, batches.Part(True, {"z": (total, ["r3"])}, frozenset(["instrument", "week_no", "r0", "z"]))]):
+        want = df
+        for p in some:
+            keep = p.keep if p.keep is None else p.keep | {"instrument", "week_no"}
+            want = batches.stage(want, *(("instrument", "week_no") if p.along else ("week_no", "instrument")), p.runs, keep, False, p.infinite, p.inner)
+        got = batches.stages(df, "instrument", "week_no", some, size=40)
+        assert got.dtypes == want.dtypes
+        assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and got.count() == df.count()
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == sum(1 for k, p in enumerate(some) if k == 0 or p.along != some[k - 1].along)
