@@ -8,6 +8,7 @@ an ordinal has none. Missing is NaN. Sums run from the oldest row on, as Spark's
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import nullcontext
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -342,14 +343,42 @@ def _sorted(table: pa.Table, *keys: str) -> pa.Table:
     return table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in keys], null_placement="at_end")).combine_chunks()
 
 
-def _sent(table: pa.Table, key: str) -> Iterator[pa.RecordBatch]:
-    """Rows (key, piece) of a table that is sorted by key: each key's rows as Arrow bytes, in pieces of a bounded size."""
+def _counted(x: np.ndarray) -> tuple[np.ndarray, int] | None:
+    """Integers k and the number n of values that are there, if each of these is k / 2 / n to the last bit, as a whole date's ranks are; 0 where a value is missing."""
+    n = int((~np.isnan(x)).sum())
+    for v in (x[:64], x):
+        k = np.rint(v * (2.0 * n))
+        if not n or 2 * n >= 1 << 31 or not (np.isnan(v) | (k >= 1) & (k <= 2 * n) & (k / 2 / max(n, 1) == v)).all():
+            return None
+    return np.where(np.isnan(k), 0, k).astype(np.int32), n
+
+
+def _ranks_as_counts(table: pa.Table) -> pa.Table:
+    """A date's table whose ranks are integers, a third of the size when compressed; the field tells what they are parts of."""
+    for i, field in enumerate(table.schema):
+        if field.type == pa.float64() and not table[i].null_count and (told := _counted(table[i].to_numpy())):
+            table = table.set_column(i, field.with_type(pa.int32()).with_metadata({"of": str(told[1])}), pa.array(told[0]))
+    return table
+
+
+def _ranks(table: pa.Table) -> pa.Table:
+    for i, field in enumerate(table.schema):
+        if field.metadata and b"of" in field.metadata:
+            k = table[i].to_numpy()
+            table = table.set_column(i, pa.field(field.name, pa.float64()), pa.array(np.where(k == 0, np.nan, k / 2 / int(field.metadata[b"of"]))))
+    return table
+
+
+def _sent(table: pa.Table, key: str, packed: bool = False, date: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows (key, piece) of a table that is sorted by key: each key's rows as Arrow bytes, in pieces of a bounded size. packed: compressed, as they are shuffled next; date: the table is a whole date."""
     starts = np.flatnonzero(_new(table, key))
+    if packed and date:
+        table = _ranks_as_counts(table)
     keys, pieces, size = [], [], 0
     for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(table)], strict=True):
         for at in range(i, j, PIECE):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as out:
+            with pa.CompressedOutputStream(sink, "zstd") if packed else nullcontext(sink) as to, pa.ipc.new_stream(to, table.schema) as out:
                 out.write_table(table.slice(at, min(PIECE, j - at)))
             keys.append(at)
             pieces.append(sink.getvalue())
@@ -365,7 +394,7 @@ def _rows(table: pa.Table, key: str, places: list[int], pieces: list[pa.Buffer])
     return pa.RecordBatch.from_arrays([table[key].take(pa.array(places)).combine_chunks(), pa.array([p.to_pybytes() for p in pieces], pa.binary())], names=["key", "piece"])
 
 
-def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+def _gathered(batches: Iterable[pa.RecordBatch], packed: bool = False) -> Iterator[pa.Table]:
     """The tables of the keys, from rows (key, piece) in which a key's pieces follow each other."""
     held, now = [], None
 
@@ -380,7 +409,8 @@ def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
             if held and key != now:
                 yield joined()
             now = key
-            held.append(pa.ipc.open_stream(piece.as_py()).read_all())
+            rows = pa.BufferReader(piece.as_py())
+            held.append(_ranks(pa.ipc.open_stream(pa.CompressedInputStream(rows, "zstd") if packed else rows).read_all()))
     if held:
         yield joined()
 
@@ -442,20 +472,20 @@ def stages(df: DataFrame, along: str, across: str, parts: list[Part], laid: bool
         after = parts[k + 1].along if k + 1 < len(parts) else None
         schema = T.StructType(list(kinds.values()) if after is None else [keys[after], T.StructField("piece", T.BinaryType())])
         by, turned, turns = (along, across) if part.along else (across, along), k > 0 and parts[k - 1].along != part.along, after is not None and after != part.along
-        out = out.mapInArrow(_task(work, by, turned, (block, size) if k == 0 else None, None if after is None else block if after else across, turns, [c for c in told if c not in df.columns]), schema)
+        out = out.mapInArrow(_task(work, by, turned, (block, size) if k == 0 else None, None if after is None else block if after else across, turns, not part.along, [c for c in told if c not in df.columns]), schema)
         if turns:
             out = out.repartition("key").sortWithinPartitions("key")
     return out
 
 
-def _task(work: Work, by: tuple[str, str], turned: bool, start: tuple[str, int] | None, then: str | None, turns: bool, made: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _task(work: Work, by: tuple[str, str], turned: bool, start: tuple[str, int] | None, then: str | None, turns: bool, date: bool, made: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """What a stage of `stages` does in a task: rows or pieces come in, pieces by the key of the next stage or rows go out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _blocks(batches, by[0], *start) if start else _gathered(batches):
+        for table in _blocks(batches, by[0], *start) if start else _gathered(batches, turned):
             if turned:
                 table = _sorted(table, *by)
             table = work.of(table, *by)
-            yield from _plain(table, made) if then is None else _sent(_sorted(table, then) if turns else table, then)
+            yield from _plain(table, made) if then is None else _sent(_sorted(table, then) if turns else table, then, turns, date)
 
     return run

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,6 +129,19 @@ def shown(x: Column) -> Column:
     return F.when(F.abs(x) < 1e-12, F.lit(0.0)).otherwise(F.floor(x * scale + 0.37) / scale)
 
 
+def _shown_array(x: np.ndarray) -> np.ndarray:
+    """As `shown`, for columns that are shuffled before the end; `shown` changes them no further."""
+    with np.errstate(all="ignore"):
+        scale = np.exp2(BITS - 1 - np.floor(np.log2(np.abs(x))))
+        told = np.floor(x * scale + 0.37) / scale
+    return np.where(np.abs(x) < 1e-12, 0.0, np.where(np.isfinite(told), told, x))
+
+
+def short(terms: dict[str, Term]) -> dict[str, Term]:
+    """The terms, as `shown` has them where arrays make them."""
+    return {name: Term(x.column, lambda arrays, of=x.array: _shown_array(np.asarray(of(arrays), dtype=float)), x.sql, x.level, phase=x.phase) for name, x in terms.items()}
+
+
 def _shown(x: str) -> str:
     scale = f"power(2.0, {BITS - 1} - floor(log2(abs({x}))))"
     return f"CASE WHEN abs({x}) < 1e-12 THEN 0.0 ELSE floor({x} * {scale} + 0.37) / {scale} END"
@@ -149,7 +163,7 @@ def _terms(ids: list[int]) -> tuple[Panel, dict[str, Term]]:
 def _query(ids: list[int]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         panel, terms = _terms(ids)
-        out = panel.table(dense(bars(spark, sf_dir)), terms, ["instrument", "week_no"], ALONG)
+        out = panel.table(dense(bars(spark, sf_dir)), short(terms), ["instrument", "week_no"], ALONG)
         return out.select("instrument", "week_no", *[shown(F.col(name)).alias(name) for name in terms])
 
     return query

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from factorloom.functions.scalars import snap
-from factorloom.plans.formulas import GROUP, _shown, shown
+from factorloom.plans.formulas import GROUP, _shown, short, shown
 from factorloom.plans.nested import ALONG, Panel, Term, constant, snap_sql, snapped
 from factorloom.sources.bars import BARS_SQL, DENSE_SQL, bars, dense
 
@@ -313,15 +313,15 @@ def _terms(ids: list[int]) -> tuple[Panel, dict[str, Term]]:
     return panel, {f"a191_{k:03}": eval(FORMULAS[k], {"__builtins__": {}}, names) for k in ids}
 
 
-def columns(rows: DataFrame, ids: list[int], laid: int | None = None) -> DataFrame:
-    """instrument, week_no and a column a191_NNN for each of the formulas, over dense bars with the columns of `sources.bars`."""
+def columns(rows: DataFrame, ids: list[int], laid: int | None = None, rounded: bool = False) -> DataFrame:
+    """instrument, week_no and a column a191_NNN for each of the formulas, over dense bars with the columns of `sources.bars`. rounded: they are shown rounded, so they may be rounded where they are made."""
     panel, terms = _terms(ids)
-    return panel.table(rows, terms, ["instrument", "week_no"], laid)
+    return panel.table(rows, short(terms) if rounded else terms, ["instrument", "week_no"], laid)
 
 
 def _query(ids: list[int]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = columns(dense(bars(spark, sf_dir)), ids, ALONG)
+        out = columns(dense(bars(spark, sf_dir)), ids, ALONG, rounded=True)
         return out.select("instrument", "week_no", *[shown(out[x]).alias(x) for x in out.columns[2:]])
 
     return query

@@ -238,6 +238,7 @@ class Panel:
     def __init__(self) -> None:
         self.steps: dict[str, tuple[str, Term]] = {}
         self.windows: dict[str, tuple[batches.Window, list[Term]]] = {}
+        self.rounded: set[str] = set()
 
     def _step(self, column: Callable[[], Column] | None, array: Callable[[Arrays], np.ndarray] | None, sql: str, level: float, exact: bool = False, phase: int = 0) -> Term:
         if sql not in self.steps:
@@ -249,7 +250,12 @@ class Panel:
     def _fixed(self, x) -> Term:
         """Rounded, as a column of its own."""
         x = constant(x)
-        return x if x.exact else self._step(lambda: row.snap(x.column()), _on(snapped, x), snap_sql(x.sql), (x.level + floor(x.level) + 1) / 2, True, x.phase)
+        if x.exact:
+            return x
+        made = self._step(lambda: row.snap(x.column()), _on(snapped, x), snap_sql(x.sql), (x.level + floor(x.level) + 1) / 2, True, x.phase)
+        if any(name in self.windows and not told.exact for name, told in self.steps.values() if name in _names(x)):
+            self.rounded.add(made.sql)  # ranks are shorter than what is made of them
+        return made
 
     def _window(self, kind: int, how: batches.Window, sql: Callable[..., str], *inputs, exact: bool = False, beside: tuple[str, ...] = ()) -> Term:
         """A function of the groups, the rounded inputs and the columns beside them."""
@@ -494,7 +500,7 @@ class Panel:
         return [[x for x in self.steps.values() if x[1].level == level] for level in levels]
 
     def _phases(self, steps: list[tuple[str, Term]], read: dict[str, set[str]], end: int) -> dict[str, int]:
-        """The phase that each step runs in: its first one, or a later one up to its readers', so that few columns are shuffled at the starts of phases."""
+        """The phase that each step runs in: its first one, or a later one up to its readers', so that few columns are shuffled at the starts of phases, and rounded ones rather than others, as they compress better."""
         readers: dict[str, list[str]] = {}
         for name, _ in steps:
             for c in read[name]:
@@ -515,7 +521,7 @@ class Panel:
         for phase in (first, late):
             for name, made in [*reversed(steps), *steps]:
                 lowest = max((phase.get(c, 0) for c in read[name]), default=0)
-                phase[name] = min((k for k in options(name, made, phase) if k >= lowest), key=lambda k: (shuffled(phase | {name: k}), -k))
+                phase[name] = min((k for k in options(name, made, phase) if k >= lowest), key=lambda k: (shuffled(phase | {name: k}), k if name in self.rounded else -k))
         return min(first, late, key=shuffled)
 
     def apply(self, rows: DataFrame, outputs: Iterable[Term] | None = None, keep: Iterable[str] = (), laid: int | None = None) -> DataFrame:

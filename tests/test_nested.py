@@ -131,3 +131,31 @@ def test_values_of_one_row_stay_in_the_stage(spark, sf_dir):
     plan = _query([81, 82, 83, 84, 85, 86, 87, 88])(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.rindex("MapInArrow")]
     assert above.count("134217729") == above.count("8193") == 0  # the rounding's factor
+
+
+def test_rounded_before_the_turn():
+    """What is rounded for a window after a turn is shuffled rounded; before, its whole last bits were. What only ranks are in is not: ranks are shorter."""
+    panel = Panel()
+    words = panel.names()
+    words["rank"](words["sum"](words["close"], 3) / 7)
+    words["sum"](1 / words["rank"](words["open"]), 3)
+    steps = [x for level in panel._levels() for x in level]
+    read = {n: {x.sql for x in panel.windows[n][1]} if n in panel.windows else {m for m, _ in steps if m in made.sql.replace("(", " ").replace(")", " ").split()} for n, made in steps}
+    phases = panel._phases(steps, read, max(made.phase for _, made in steps))
+    rounded = [n for n, made in steps if n not in panel.windows]
+    assert [n in panel.rounded for n in rounded] == [True, False]
+    assert phases[rounded[0]] == 0 and phases[rounded[1]] == 2
+
+
+def test_shown_early_and_again(spark):
+    from pyspark.sql import functions as F
+
+    from factorloom.plans.formulas import _shown_array, shown
+
+    draw = np.random.default_rng(6)
+    edge = np.outer(np.exp2(np.arange(-30, 31, 1.0)), [1.0, 1 - 2**-53, 1 + 2**-52, 1 - 2**-17, 1 + 2**-16]).ravel()
+    x = np.r_[edge, -edge, draw.normal(size=500) * np.exp2(draw.integers(-45, 45, 500)), 0.0, 1e-12, 9e-13]
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "early": _shown_array(x)}))
+    told = df.select(shown(F.col("x")).alias("once"), shown(F.col("early")).alias("twice")).toPandas()
+    np.testing.assert_array_equal(told["twice"], told["once"])
+    assert np.isnan(_shown_array(np.array([np.nan]))[0]) and np.isinf(_shown_array(np.array([-np.inf]))[0])
